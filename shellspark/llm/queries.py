@@ -20,6 +20,16 @@ def model_path() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kneser_ney as kn
+
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(True))
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    model = kn.fit(docs.where(~F.col("held_out")))
+    out = kn.score(docs, model, id_cols=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -35,7 +45,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_token_counts, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
