@@ -100,3 +100,35 @@ class Store:
             at = np.searchsorted(own, keys[a:b])
             at[at == len(own)] = 0
             yield bucket, slice(a, b), at, (own[at] == keys[a:b]) if len(own) else np.zeros(b - a, bool)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Membership of each key, in any order and repeated."""
+        own, inverse = np.unique(keys, return_inverse=True)
+        known = np.zeros(len(own), bool)
+        for _, part, _, found in self.parts(own):
+            known[part] = found
+        return known[inverse]
+
+
+def write_keys(df, path: str) -> int:
+    """Write the distinct 64-bit values of the only column as a store without further columns; returns its bits."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    spark, name = df.sparkSession, df.columns[0]
+    listed = f"{path}-keys"
+    df.select(F.col(name).alias("key")).distinct().write.parquet(listed)
+    keys = spark.read.parquet(listed)
+    bits = bits_for(keys.count())
+
+    def build(table: pa.Table) -> pa.Table:
+        key = np.sort(table["key"].to_numpy().view(np.uint64))
+        put(f"{path}/{table['bucket'][0].as_py():05d}.key", key)
+        return pa.table({"bucket": table["bucket"][:1].cast(pa.int32())})
+
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    done = {r.bucket for r in keys.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(build, "bucket int").collect()}
+    for b in set(range(1 << bits)) - done:
+        put(f"{path}/{b:05d}.key", np.zeros(0, np.uint64))
+    remove(spark, listed)
+    return bits

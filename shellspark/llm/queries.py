@@ -37,6 +37,27 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count(docs, model_path(), id_cols=("doc_id", "n_bytes")).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_quality as lq
+
+    out = lq.judge(_table(spark, sf_dir, "documents"), into="q", keep=["doc_id"])
+    return out.select("doc_id", *(F.col(f"q.{m}").alias(m) for m in lq.MEASURES), "q.base_failed", "q.kept")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document, item) pairs within the edit budget."""
+    from . import decontaminate
+
+    out = decontaminate.find(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    return out.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -45,7 +66,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_token_counts, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_kneser_ney, op4_token_counts, op5_line_quality, op6_license_scan, op7_decontaminate, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
