@@ -43,7 +43,7 @@ def put(uri: str, *parts) -> None:
     fs, path = _fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(own) as f:
+    with fs.open_output_stream(own, compression=None) as f:
         for p in parts:
             f.write(p if isinstance(p, bytes) else np.ascontiguousarray(p).data.cast("B") if p.size else b"")
     fs.move(own, path)
@@ -56,7 +56,7 @@ def mapped(uri: str, dtype) -> np.ndarray:
         local = os.path.join(tempfile.gettempdir(), f"store-{abs(hash(uri))}")
         if not os.path.exists(local):
             own = f"{local}.{uuid.uuid4().hex}"
-            with fs.open_input_stream(path) as src, open(own, "wb") as dst:
+            with fs.open_input_stream(path, compression=None) as src, open(own, "wb") as dst:
                 while block := src.read(1 << 22):
                     dst.write(block)
             os.replace(own, local)
@@ -101,6 +101,15 @@ class Store:
             at[at == len(own)] = 0
             yield bucket, slice(a, b), at, (own[at] == keys[a:b]) if len(own) else np.zeros(b - a, bool)
 
+    def values(self, keys: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The column's value for each key, in any order and repeated (unknown: 0), and whether it is known."""
+        own, inverse = np.unique(keys, return_inverse=True)
+        known, out = np.zeros(len(own), bool), np.zeros(len(own), self.dtypes[name])
+        for bucket, part, at, found in self.parts(own):
+            known[part] = found
+            out[part][found] = self.column(bucket, name)[at[found]]
+        return out[inverse], known[inverse]
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Membership of each key, in any order and repeated."""
         own, inverse = np.unique(keys, return_inverse=True)
@@ -110,25 +119,62 @@ class Store:
         return known[inverse]
 
 
-def write_keys(df, path: str) -> int:
-    """Write the distinct 64-bit values of the only column as a store without further columns; returns its bits."""
+def write(df, path: str) -> int:
+    """Write a table of longs, the first column its unique key, as a store of that column and the others; returns its bits.
+
+    Rows whose key is not unique are all left out.
+    """
     import pyarrow as pa
     from pyspark.sql import functions as F
 
-    spark, name = df.sparkSession, df.columns[0]
-    listed = f"{path}-keys"
-    df.select(F.col(name).alias("key")).distinct().write.parquet(listed)
-    keys = spark.read.parquet(listed)
-    bits = bits_for(keys.count())
+    spark, (first, *names) = df.sparkSession, df.columns
+    listed = f"{path}-rows"
+    df.select(F.col(first).alias("key"), *names).write.parquet(listed)
+    rows = spark.read.parquet(listed)
+    bits = bits_for(rows.count())
 
     def build(table: pa.Table) -> pa.Table:
-        key = np.sort(table["key"].to_numpy().view(np.uint64))
-        put(f"{path}/{table['bucket'][0].as_py():05d}.key", key)
-        return pa.table({"bucket": table["bucket"][:1].cast(pa.int32())})
+        key = table["key"].to_numpy().view(np.uint64)
+        bucket = table["bucket"][0].as_py()
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        same[:-1] |= same[1:]
+        for name in names:
+            put(f"{path}/{bucket:05d}.{name}", table[name].to_numpy()[order[~same]])
+        put(f"{path}/{bucket:05d}.key", k[~same])
+        return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    done = {r.bucket for r in keys.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(build, "bucket int").collect()}
+    done = {r.bucket for r in rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(build, "bucket int").collect()}
     for b in set(range(1 << bits)) - done:
-        put(f"{path}/{b:05d}.key", np.zeros(0, np.uint64))
+        for name in ("key", *names):
+            put(f"{path}/{b:05d}.{name}", np.zeros(0, np.uint64))
     remove(spark, listed)
     return bits
+
+
+class Sink:
+    """A file of the shared folder that has its name only when it is whole."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self.fs, self.path = _fs(uri)
+        self.fs.create_dir(os.path.dirname(self.path), recursive=True)
+        self.own = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.stream = self.fs.open_output_stream(self.own, compression=None, buffer_size=1 << 20)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+
+    def close(self) -> str:
+        self.stream.close()
+        self.fs.move(self.own, self.path)
+        return self.uri
+
+
+def source(uri: str):
+    """A stream over a file of the shared folder."""
+    fs, path = _fs(uri)
+    return fs.open_input_stream(path, compression=None)

@@ -108,7 +108,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", int
             host, line = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("host", "line"))
             yield pa.RecordBatch.from_arrays([pa.array(line_key(host, line).view(np.int64))], ["key"])
 
-    bits = hs.write_keys(lines.select("host", "line").mapInArrow(keys, "key long"), path)
+    bits = hs.write(lines.select("host", "line").mapInArrow(keys, "key long"), path)
     return _judged(docs, text_col, host_col, into, keep, path, bits, most_removed)
 
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_MODEL = "piece_bpe_32k.model"
+SHARDS, SHARD_SEED = 24, 20240607
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table, read in Arrow batches of rows that stay small also where texts are long."""
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches stay small also where texts are long; in local mode workers find this package where the driver did."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +39,20 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import order_minhash
+
+    return order_minhash.classes(_table(spark, sf_dir, "documents"))
+
+
+def op3_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    out = sharding.shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, SHARD_SEED)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", sharding.row_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -65,8 +88,22 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    out = warc.read(warc.write(_table(spark, sf_dir, "pages")), payload=False)
+    return out.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kneser_ney, op4_token_counts, op5_line_quality, op6_license_scan, op7_decontaminate, op9_sentencepiece)}
+    own = (op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality, op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
