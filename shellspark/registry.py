@@ -1,13 +1,587 @@
-"""Queries of the analytics engine by key, with the equivalent DuckDB SQL."""
+"""Queries of the analytics engine by key, over trajectories made of the relational tables."""
 
 from __future__ import annotations
 
+import math
+import os
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import registry_sql
+from .functions import geometry as geo
+from .functions import rng
+from .functions import scalars as sc
+from .operators import derived as de
+from .operators import finalise as fi
+from .operators import grid as gd
+from .operators import histograms as hi
+from .operators import pairs as pr
+from .operators import random_reference as rr
+from .operators import residue_map as rm
+from .operators.selection import molecule_index, predicate
+from .plans import engine
+from .plans.system import System
+from .sources import tables
+
+WEIGHTS = "(1 + frame % 4) / 4"
+RESIDUES = 7
+_MEMO: dict[tuple, object] = {}
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, make: Callable):
+    """A value made once for a session and a folder; the pairs of molecules are what most queries share."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _MEMO:
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def forget() -> None:
+    """Drop all that queries share, with what they have persisted."""
+    for x in _MEMO.values():
+        for df in (x if isinstance(x, tuple) else (x,)):
+            if isinstance(df, DataFrame):
+                df.unpersist()
+    _MEMO.clear()
+
+
+def _system(spark, d, **kind) -> System:
+    return _memo(spark, ("system", d, str(kind)), lambda: tables.system(spark, d, **kind))
+
+
+def _md(spark, d, **kind) -> DataFrame:
+    return _memo(spark, ("md", d, str(kind)), lambda: engine.minimum_distances(_system(spark, d, **kind)).persist())
+
+
+def _random(spark, d) -> DataFrame:
+    return _memo(spark, ("random", d), lambda: engine.random_distances(_system(spark, d), _md(spark, d)).persist())
+
+
+def _result(spark, d, groups: str = "") -> fi.Result:
+    """The full result; groups: by atom type, custom (the order's priority) or residue."""
+
+    def make():
+        s = _system(spark, d)
+        if groups:
+            s = System(**(s.__dict__ | {"groups": _groups(spark, d, groups)}))
+        r = engine.mddf(s, md=_md(spark, d), random=_random(spark, d))
+        r.bins = r.bins.persist()
+        r.groups = r.groups.persist()
+        return r
+
+    return _memo(spark, ("result", d, groups), make)
+
+
+def _groups(spark, d, kind: str) -> DataFrame:
+    side = F.when(F.col("mol") % 97 < 3, "solute").otherwise("solvent").alias("side")
+    atoms = tables.atoms(spark, d)
+    if kind == "residue":
+        return atoms.select(side, (1 + F.col("mol") % RESIDUES).cast("int").alias("group_id"), F.lit("").alias("group_name"), "atom")
+    return atoms.select(side, F.substring("priority", 1, 1).cast("int").alias("group_id"), F.col("priority").alias("group_name"), "atom")
+
+
+def _out(df: DataFrame) -> DataFrame:
+    """Numbers as the oracle has them: bigint, or double rounded to six places."""
+    kinds = dict(df.dtypes)
+    cast = lambda c: F.col(c).cast("bigint") if kinds[c] in ("int", "smallint", "tinyint") else F.round(c, 6) + F.lit(0.0) if kinds[c] == "double" else F.col(c)
+    return df.select(*(cast(c).alias(c) for c in df.columns))
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+        return _out(f(spark, sf_dir))
+
+    run.__name__ = f.__name__
+    _QUERIES[f.__name__.removeprefix("q_")] = run
+    return run
+
+
+def _labelled(spark, d) -> DataFrame:
+    """The atoms as a structure: names by atom type, residue names and numbers by molecule."""
+    names = F.array(*map(F.lit, registry_sql.ATOM_NAMES))
+    residues = F.array(*map(F.lit, registry_sql.RESIDUE_NAMES))
+    mol = F.col("mol")
+    return tables.atoms(spark, d).select(F.col("atom").alias("atom_index"), F.element_at(names, F.col("atype").cast("int")).alias("name"), F.element_at(residues, (mol % len(registry_sql.RESIDUE_NAMES) + 1).cast("int")).alias("resname"), (mol % 1000).alias("resnum"), F.substring(F.lit("ABCDE"), (mol % 5 + 1).cast("int"), F.lit(1)).alias("chain"), mol.alias("residue"), F.lit(1).alias("model"))
+
+
+# Scans, projections and selections.
+
+
+@query
+def q_sel_name(spark, d):
+    return _labelled(spark, d).where(predicate("name O H2")).select("atom_index", "name")
+
+
+@query
+def q_sel_resname(spark, d):
+    return _labelled(spark, d).where(predicate("resname ALA WAT or acidic")).select("atom_index", "resname")
+
+
+@query
+def q_sel_range(spark, d):
+    return _labelled(spark, d).where(predicate("resnum >= 100 and resnum < 250 and chain A B")).select("atom_index", "resnum", "chain")
+
+
+@query
+def q_sel_bool(spark, d):
+    return _labelled(spark, d).where(predicate("not (water or nonpolar) and (name H1 or index <= 30000) and not resnum 7 8 9")).select("atom_index", "name", "resname", "resnum")
+
+
+@query
+def q_molecule_index(spark, d):
+    one = tables.atoms(spark, d).where("frame = 1").select(F.col("atom").alias("atom_index"))
+    return molecule_index(one, 3).select("atom_index", "pos", "mol", "atype")
+
+
+@query
+def q_atom_group(spark, d):
+    return _groups(spark, d, "custom").where("group_name = '2-HIGH' and side = 'solute'").select("group_id", "atom")
+
+
+@query
+def q_atom_group_names(spark, d):
+    return _groups(spark, d, "custom").select("group_id", "group_name").distinct()
+
+
+@query
+def q_pruned_scan(spark, d):
+    return _system(spark, d).solute.where("frame between 3 and 5").select("frame", "satom", "sx", "sy", "sz")
+
+
+@query
+def q_frame_stride(spark, d):
+    s = tables.system(spark, d, firstframe=2, lastframe=17, stride=5).pruned()
+    return s.solvent.groupBy("frame").agg(F.count(F.lit(1)).alias("n_atoms"))
+
+
+@query
+def q_frame_weights(spark, d):
+    s = tables.system(spark, d, weights=f"CASE WHEN frame = 4 THEN 0 ELSE {WEIGHTS} END")
+    return s.considered().select("frame", "w")
+
+
+@query
+def q_irefatom(spark, d):
+    first = _system(spark, d).solvent.where("frame = 1 and vidx = 1")
+    mean = first.agg(*(F.avg(f"v{c}").alias(f"m{c}") for c in "xyz"))
+    dist = sum(((F.col(f"v{c}") - F.col(f"m{c}")) * (F.col(f"v{c}") - F.col(f"m{c}")) for c in "yz"), (F.col("vx") - F.col("mx")) * (F.col("vx") - F.col("mx")))
+    return first.crossJoin(F.broadcast(mean)).groupBy("vmol").agg(F.min(F.struct(F.round(dist, 9).alias("r"), "vatype")).alias("m")).select("vmol", F.col("m.vatype").alias("irefatom"))
+
+
+# Cells.
+
+
+def _some_cells(spark) -> DataFrame:
+    rows = spark.range(1, 41).select(F.col("id").alias("cell"), *((F.lit(float(a)) + F.col("id") % b).alias(c) for a, b, c in ((30, 7, "a"), (40, 5, "b"), (50, 3, "c"))), *((F.lit(90.0) + (F.col("id") % 4) * s).alias(c) for s, c in ((0.0, "alpha"), (5.0, "beta"), (7.5, "gamma"))))
+    return rows.withColumn("m", geo.cell_matrix(*(F.col(c) for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
+
+
+@query
+def q_cell_volume(spark, d):
+    return _some_cells(spark).select("cell", geo.volume(F.col("m")).alias("volume"))
+
+
+@query
+def q_cell_kind(spark, d):
+    return _some_cells(spark).select("cell", geo.is_orthorhombic(F.col("m")).cast("int").alias("is_ortho"))
+
+
+@query
+def q_avg_volume(spark, d):
+    q, v, n = tables.system(spark, d, weights=WEIGHTS).weight()
+    return spark.range(1).select(F.lit(q).alias("q"), F.lit(v).alias("volume"), F.lit(n).alias("n_frames"))
+
+
+# Joins and minimum distances.
+
+
+@query
+def q_range_join(spark, d):
+    s = _system(spark, d)
+    near = pr.range_join(s.solute, s.solvent, s.frames, 4.0)
+    return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
+
+
+@query
+def q_range_join_triclinic(spark, d):
+    s = _system(spark, d)
+    cell = F.array(*(F.lit(float(x)) for x in registry_sql.SKEWED))
+    near = pr.range_join(s.solute.where("frame <= 5"), s.solvent, s.frames.withColumn("m", cell), 4.0, ortho=False)
+    return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
+
+
+@query
+def q_min_distance(spark, d):
+    return _md(spark, d).select("frame", "smol", "vmol", "d", "i", "j")
+
+
+@query
+def q_ref_atom_distance(spark, d):
+    return _md(spark, d).where("d_ref is not null").select("frame", "smol", "vmol", "d_ref")
+
+
+@query
+def q_mddf_self(spark, d):
+    return _md(spark, d, autocorrelation=True).select("frame", "smol", "vmol", "d", "i", "j")
+
+
+# Histograms.
+
+
+def _weighted(spark, d, **kind) -> DataFrame:
+    return hi.weighted(_md(spark, d, **kind), _system(spark, d, **kind).considered())
+
+
+@query
+def q_histogram(spark, d):
+    s = tables.system(spark, d, weights=WEIGHTS)
+    return hi.histogram(hi.weighted(_md(spark, d), s.considered()), "d", 0.1, F.col("w"), "n")
+
+
+@query
+def q_md_count(spark, d):
+    return _result(spark, d).bins.select("bin", "md_count")
+
+
+@query
+def q_rdf_count(spark, d):
+    return _result(spark, d).bins.select("bin", "rdf_count")
+
+
+@query
+def q_md_count_random(spark, d):
+    return hi.counts(hi.weighted(_random(spark, d), _system(spark, d).frames), 0.1, "_random")
+
+
+@query
+def q_group_counts_atom(spark, d):
+    return hi.group_counts(_weighted(spark, d), 0.1)
+
+
+@query
+def q_group_counts_custom(spark, d):
+    return hi.group_counts(_weighted(spark, d), 0.1, _groups(spark, d, "custom"))
+
+
+@query
+def q_group_counts_self(spark, d):
+    return hi.group_counts(_weighted(spark, d, autocorrelation=True), 0.1, None, True)
+
+
+@query
+def q_coordination_number(spark, d):
+    r = engine.coordination_number(_system(spark, d), md=_md(spark, d))
+    return r.bins.select("bin", "d", "md_count", "coordination_number", "sum_rdf_count")
+
+
+# Random reference.
+
+
+@query
+def q_uniforms(spark, d):
+    rows = spark.range(1, 2001)
+    return rows.select(F.col("id").alias("key"), *(rng.uniform(c, 321, F.col("id"), "test").alias(f"u{c}") for c in range(4)))
+
+
+@query
+def q_ref_solutes(spark, d):
+    return rr.reference_solutes(_system(spark, d))
+
+
+def _bulk(spark, d) -> DataFrame:
+    s = _system(spark, d)
+    return rr.bulk_molecules(s, _md(spark, d), rr.reference_solutes(s))
+
+
+@query
+def q_bulk_molecules(spark, d):
+    return _bulk(spark, d).select("frame", "k", "vidx", "rn", "nb")
+
+
+@query
+def q_bulk_resample(spark, d):
+    return rr.slots(_system(spark, d), _bulk(spark, d)).select("frame", "k", "slot", "vidx")
+
+
+@query
+def q_unwrap(spark, d):
+    return rr.unwrapped(_system(spark, d)).where("frame <= 4").select("frame", "vatom", "ux", "uy", "uz")
+
+
+@query
+def q_random_move(spark, d):
+    s = _system(spark, d)
+    moved = rr.random_move(rr.slots(s, _bulk(spark, d)).where("frame <= 2"), rr.unwrapped(s), s.frames)
+    return moved.select("frame", "k", F.col("vidx").alias("slot"), "vatype", "vx", "vy", "vz")
+
+
+@query
+def q_eulermat(spark, d):
+    rows = spark.range(0, 200)
+    a = geo.euler(*(rng.uniform(c, 7, F.col("id")) * 360.0 for c in range(3)), degrees=True)
+    return rows.select(F.col("id").alias("key"), *(a[i][j].alias(f"a{i + 1}{j + 1}") for i in range(3) for j in range(3)))
+
+
+# Scalars.
+
+
+@query
+def q_shell_volume(spark, d):
+    return hi.dense(spark, 500).select("bin", sc.shell_volume(F.col("bin"), 0.02).alias("shell_volume"))
+
+
+@query
+def q_shell_radius(spark, d):
+    return hi.dense(spark, 500).select("bin", sc.shell_radius(F.col("bin"), 0.02).alias("shell_radius"))
+
+
+@query
+def q_report_format(spark, d):
+    rows = spark.range(0, 400).select(F.col("id").alias("key"), ((F.col("id") * 37 % 401 - 200).cast("double") * 16.0).alias("x"))
+    return rows.select("key", sc.formatted(F.col("x")).alias("text"))
+
+
+@query
+def q_residue_labels(spark, d):
+    rows = _labelled(spark, d).select("resname", "resnum").distinct()
+    return rows.select("resname", "resnum", rm.labels(F.col("resname"), F.col("resnum")).alias("label"))
+
+
+# Finalised results.
+
+
+def _bins(*columns: str):
+    def f(spark, d):
+        return _result(spark, d).bins.select("bin", "d", *columns)
+
+    return f
+
+
+for _name, _columns in {"mddf": ("mddf", "coordination_number"), "rdf": ("rdf", "sum_rdf_count"), "kb": ("kb", "coordination_number_random"), "kb_rdf": ("kb_rdf", "sum_rdf_count_random"), "shell_volumes_mc": ("shell_volume",)}.items():
+    _f = _bins(*_columns)
+    _f.__name__ = f"q_{_name}"
+    query(_f)
+
+
+@query
+def q_volumes(spark, d):
+    return _result(spark, d).scalars().select("volume_total", "volume_domain", "volume_bulk")
+
+
+@query
+def q_densities(spark, d):
+    return _result(spark, d).scalars().select("density_solvent", "density_solute", "density_solvent_bulk")
+
+
+@query
+def q_gr(spark, d):
+    return de.gr(_result(spark, d).bins, 0.1)
+
+
+@query
+def q_tail_stats(spark, d):
+    return _result(spark, d).tail()
+
+
+@query
+def q_overview(spark, d):
+    return de.overview(_result(spark, d))
+
+
+@query
+def q_smooth(spark, d):
+    return de.smooth(_result(spark, d).bins.select("bin", "d", "md_count"), "md_count", 4)
+
+
+@query
+def q_renormalize(spark, d):
+    return de.renormalize(_result(spark, d), 5.0).bins.select("bin", "mddf", "kb", "rdf")
+
+
+def _halves(spark, d) -> list[fi.Result]:
+    """Results of two ranges of frames, the first with frame weights."""
+    out = []
+    for kind in ({"firstframe": 1, "lastframe": 8, "weights": WEIGHTS}, {"firstframe": 9, "lastframe": 20}):
+        s = _system(spark, d, **kind)
+        out.append(engine.coordination_number(s, md=_md(spark, d, **kind)))
+    return out
+
+
+@query
+def q_merge(spark, d):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        merged = de.merge(_halves(spark, d))
+    return merged.bins.select("bin", "d", "md_count", "rdf_count", "coordination_number")
+
+
+@query
+def q_merge_weights(spark, d):
+    files = [(f"part{k}", int(n)) for k, n in enumerate((8, 12, 5), 1)]
+    return spark.createDataFrame([(name, n, w) for (name, n), w in zip(files, de.merge_weights(files), strict=True)], "file string, n_frames int, weight double")
+
+
+def _group_sum(spark, d, side: str, ids: list[int], groups: str = "", share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    r = _result(spark, d, groups)
+    rows = r.groups.where((F.col("side") == side) & F.col("group_id").isin(ids))
+    return rows.groupBy("bin").agg((F.sum("n") / share).alias("n"), (F.sum("n_random") / share).alias("n_random")), r.bins
+
+
+@query
+def q_contrib_mddf(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solute", [1, 2]), "mddf")
+
+
+@query
+def q_contrib_md_count(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solvent", [2]), "md_count")
+
+
+@query
+def q_contrib_cn(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solvent", [1, 3]), "coordination_number")
+
+
+@query
+def q_contrib_kbi(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solute", [3]), "kbi")
+
+
+@query
+def q_contrib_group(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solute", [2], "custom"), "md_count")
+
+
+@query
+def q_contrib_atoms(spark, d):
+    return de.as_type(*_group_sum(spark, d, "solvent", [1, 2], share=4.0), "coordination_number")
+
+
+@query
+def q_contrib_names(spark, d):
+    ids = [k for k, x in enumerate(registry_sql.ATOM_NAMES, 1) if x in ("H1", "H2")]
+    return de.as_type(*_group_sum(spark, d, "solvent", ids), "mddf")
+
+
+def _map(spark, d, kind: str) -> rm.ResidueContributions:
+    residues = [(k, 100 + k, registry_sql.RESIDUE_NAMES[k - 1], k) for k in range(1, RESIDUES + 1)]
+    atoms = spark.createDataFrame(residues, "residue int, resnum int, resname string, atom_index int")
+    return rm.ResidueContributions.make(_result(spark, d, "residue"), atoms, 2.0, 7.0, kind)
+
+
+@query
+def q_residue_map(spark, d):
+    return _map(spark, d, "md_count").table
+
+
+@query
+def q_rc_add(spark, d):
+    return (_map(spark, d, "md_count") + _map(spark, d, "coordination_number")).table
+
+
+@query
+def q_rc_sub(spark, d):
+    return (_map(spark, d, "coordination_number") - _map(spark, d, "md_count")).table
+
+
+@query
+def q_rc_mul(spark, d):
+    return (_map(spark, d, "coordination_number") * _map(spark, d, "md_count")).table
+
+
+@query
+def q_rc_div(spark, d):
+    return (_map(spark, d, "md_count") / _map(spark, d, "coordination_number")).table
+
+
+@query
+def q_rc_scale(spark, d):
+    return (2 * _map(spark, d, "md_count") / 5).table
+
+
+@query
+def q_rc_slice(spark, d):
+    return _map(spark, d, "coordination_number")[1:6:2].table
+
+
+@query
+def q_rc_findmax(spark, d):
+    return _map(spark, d, "md_count").findmax()
+
+
+@query
+def q_rc_extrema(spark, d):
+    return _map(spark, d, "coordination_number").extrema()
+
+
+@query
+def q_rc_plot_data(spark, d):
+    return _map(spark, d, "coordination_number").plot_data(4, 2)
+
+
+@query
+def q_grid3d(spark, d):
+    atoms = _system(spark, d).solute.where("frame = 1").select(F.col("satom").alias("atom"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), F.col("satype").alias("group_id"))
+    r = _result(spark, d)
+    values = de.as_type(r.groups.where("side = 'solute'"), r.bins, "coordination_number", ("group_id",))
+    profiles = atoms.select("atom", "group_id").join(values, "group_id").select("atom", "bin", "d", "value")
+    return gd.grid3d(atoms, profiles, 1.5, 4.0, 2.0)
+
+
+@query
+def q_report_main(spark, d):
+    return _result(spark, d).bins.select("bin", "d", "mddf", "kb", "md_count", "md_count_random", "coordination_number", "coordination_number_random", "shell_volume")
+
+
+@query
+def q_report_groups(spark, d):
+    from .sinks.report import group_table
+
+    return group_table(_result(spark, d), "solvent", "md_count")
+
+
+# Files: written by this query to a shared folder, then scanned.
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return tempfile.mkdtemp(prefix="scan-", dir=base.removeprefix("file://"))
+
+
+@query
+def q_dcd_scan(spark, d):
+    from .sources import dcd
+
+    rng_ = np.random.default_rng(3)
+    path = os.path.join(_folder(spark), "a.dcd")
+    dcd.write(path, [([30.0 + k, 90.0, 30.0, 90.0, 0.0 if k == 2 else 90.0, 30.0], rng_.random((7, 3)) * 30) for k in range(5)])
+    coords, cells = dcd.trajectory(spark, path)
+    return coords.join(cells.select("frame", "volume"), "frame")
+
+
+@query
+def q_pdb_scan(spark, d):
+    from .sources import pdb
+
+    path = os.path.join(_folder(spark), "a.pdb")
+    with open(path, "w") as f:
+        for k in range(4):
+            if k != 2:
+                f.write(f"CRYST1   {30 + k}.000   30.000   30.000  90.00  90.00  90.00 P 1           1\n")
+            for i in range(6):
+                f.write(f"ATOM  {i + 1:5d}  O   WAT X{i // 3 + 1:4d}    {i * 1.5 + k:8.3f}{i * 0.5:8.3f}{math.sin(i):8.3f}  0.00  0.00\n")
+            f.write("END\n")
+    coords, cells = pdb.trajectory(spark, path)
+    return coords.join(cells.select("frame", "volume"), "frame")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +589,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for k, v in registry_sql.all_sql().items() if k in _QUERIES}
