@@ -68,14 +68,15 @@ def nearest(m: Column, ortho: bool, dx: Column, dy: Column, dz: Column) -> Colum
     if ortho:
         x, y, z = (near(e, m[k]) for e, k in ((dx, 0), (dy, 4), (dz, 8)))
         return F.struct((x * x + y * y + z * z).alias("d2"), x.alias("x"), y.alias("y"), z.alias("z"))
-    f = [g - F.floor(g + 0.5) for g in fractions(m, dx, dy, dz)]
-    images = []
-    for i in (-1, 0, 1):
-        for j in (-1, 0, 1):
-            for k in (-1, 0, 1):
-                x, y, z = ((f[0] + i) * m[t] + (f[1] + j) * m[3 + t] + (f[2] + k) * m[6 + t] for t in range(3))
-                images.append(F.struct((x * x + y * y + z * z).alias("d2"), x.alias("x"), y.alias("y"), z.alias("z")))
-    return F.least(*images)
+    shifts = F.array(*(F.array(*(F.lit(float(t)) for t in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+
+    def image(f, s):
+        x, y, z = ((f[0] + s[0]) * m[t] + (f[1] + s[1]) * m[3 + t] + (f[2] + s[2]) * m[6 + t] for t in range(3))
+        return F.struct((x * x + y * y + z * z).alias("d2"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+    # The outer array binds the fractions, so that they are computed once for all images.
+    rounded = F.array(F.array(*(g - F.floor(g + 0.5) for g in fractions(m, dx, dy, dz))))
+    return F.transform(rounded, lambda f: F.array_min(F.transform(shifts, lambda s: image(f, s))))[0]
 
 
 def euler(beta: Column, gamma: Column, theta: Column, degrees: bool = False) -> list[list[Column]]:

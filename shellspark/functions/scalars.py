@@ -14,7 +14,8 @@ MOL_PER_L = 1e27 / MOLE
 
 
 def bin_of(distance: Column, step: float) -> Column:
-    return F.greatest(F.lit(1), F.ceil(distance / F.lit(float(step)))).cast("int")
+    """Bin of a distance, from 1 (null: null)."""
+    return F.when(distance.isNotNull(), F.greatest(F.lit(1), F.ceil(distance / F.lit(float(step))))).cast("int")
 
 
 def shell_volume(i: Column, step: float) -> Column:

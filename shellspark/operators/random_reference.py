@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.rng import draw, uniform
+from ..plans.staging import settled
 from ..plans.system import System
 from . import pairs as pr
 
@@ -86,7 +87,7 @@ def random_move(placed: DataFrame, local: DataFrame, frames: DataFrame) -> DataF
 def random_pairs(system: System, md: DataFrame, strategy: str = "cells") -> DataFrame:
     """Least distances of the copies to their sample's solute molecule: frame, k, sidx, vidx (the slot), d, i, j, d_ref."""
     refs = reference_solutes(system)
-    bulk = bulk_molecules(system, md, refs).persist()
+    bulk = settled(bulk_molecules(system, md, refs), "bulk")
     moved = random_move(slots(system, bulk), unwrapped(system), system.frames)
     solute = system.solute.join(refs, ["frame", "sidx"])
     near = pr.range_join(solute, moved, system.frames, system.options.radius, system.ortho, ("frame", "k"), strategy)

@@ -9,6 +9,7 @@ from ..operators import finalise as fi
 from ..operators import histograms as hi
 from ..operators import pairs as pr
 from ..operators import random_reference as rr
+from .staging import settled
 from .system import System
 
 
@@ -28,21 +29,21 @@ def mddf(system: System, *, coordination_number_only: bool = False, strategy: st
     o, (q, v, _) = system.options, system.weight()
     frames = system.considered()
     if md is None:
-        md = minimum_distances(system, strategy).persist()
+        md = settled(minimum_distances(system, strategy), "pairs")
     own = hi.weighted(md, frames)
     counts = hi.counts(own, o.binstep)
     groups = hi.group_counts(own, o.binstep, system.groups, system.autocorrelation)
     if coordination_number_only:
-        bins = fi.coordination_bins(counts, o, system.n_solute, system.n_solvent, q, v)
+        bins = settled(fi.coordination_bins(counts, o, system.n_solute, system.n_solvent, q, v), "bins")
         rows = fi.group_rows(groups, None, system.n_solute, 1, q, None)
     else:
         if random is None:
-            random = random_distances(system, md, strategy).persist()
+            random = settled(random_distances(system, md, strategy), "random")
         other = hi.weighted(random, frames)
-        bins = fi.mddf_bins(counts, hi.counts(other, o.binstep, "_random"), o, system.n_solute, system.n_solvent, system.solvent_nmols, q, v)
+        bins = settled(fi.mddf_bins(counts, hi.counts(other, o.binstep, "_random"), o, system.n_solute, system.n_solvent, system.solvent_nmols, q, v), "bins")
         fix = bins.where("bin = 1").select((F.col("density_solvent_bulk") / F.col("density_solvent")).alias("fix"))
         rows = fi.group_rows(groups, hi.group_counts(other, o.binstep, system.groups, system.autocorrelation, "n_random"), system.n_solute, o.n_random_samples, q, fix)
-    return fi.Result(bins, rows, o, system.n_solute, system.n_solvent, system.autocorrelation, files=system.files, weights=(1.0,), extra={"q": q, "v": v, "names": system.groups})
+    return fi.Result(bins, settled(rows, "groups"), o, system.n_solute, system.n_solvent, system.autocorrelation, files=system.files, weights=(1.0,), extra={"q": q, "v": v, "names": system.groups})
 
 
 def coordination_number(system: System, **options) -> fi.Result:

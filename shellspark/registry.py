@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -25,6 +24,7 @@ from .operators import random_reference as rr
 from .operators import residue_map as rm
 from .operators.selection import molecule_index, predicate
 from .plans import engine
+from .plans.staging import settled, shared_dir
 from .plans.system import System
 from .sources import tables
 
@@ -43,11 +43,7 @@ def _memo(spark: SparkSession, key: tuple, make: Callable):
 
 
 def forget() -> None:
-    """Drop all that queries share, with what they have persisted."""
-    for x in _MEMO.values():
-        for df in (x if isinstance(x, tuple) else (x,)):
-            if isinstance(df, DataFrame):
-                df.unpersist()
+    """Drop all that queries share."""
     _MEMO.clear()
 
 
@@ -56,11 +52,11 @@ def _system(spark, d, **kind) -> System:
 
 
 def _md(spark, d, **kind) -> DataFrame:
-    return _memo(spark, ("md", d, str(kind)), lambda: engine.minimum_distances(_system(spark, d, **kind)).persist())
+    return _memo(spark, ("md", d, str(kind)), lambda: settled(engine.minimum_distances(_system(spark, d, **kind)), "pairs"))
 
 
 def _random(spark, d) -> DataFrame:
-    return _memo(spark, ("random", d), lambda: engine.random_distances(_system(spark, d), _md(spark, d)).persist())
+    return _memo(spark, ("random", d), lambda: settled(engine.random_distances(_system(spark, d), _md(spark, d)), "random"))
 
 
 def _result(spark, d, groups: str = "") -> fi.Result:
@@ -70,10 +66,7 @@ def _result(spark, d, groups: str = "") -> fi.Result:
         s = _system(spark, d)
         if groups:
             s = System(**(s.__dict__ | {"groups": _groups(spark, d, groups)}))
-        r = engine.mddf(s, md=_md(spark, d), random=_random(spark, d))
-        r.bins = r.bins.persist()
-        r.groups = r.groups.persist()
-        return r
+        return engine.mddf(s, md=_md(spark, d), random=_random(spark, d))
 
     return _memo(spark, ("result", d, groups), make)
 
@@ -553,8 +546,9 @@ def q_report_groups(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return tempfile.mkdtemp(prefix="scan-", dir=base.removeprefix("file://"))
+    path = shared_dir(spark, "scan").removeprefix("file://")
+    os.makedirs(path)
+    return path
 
 
 @query

@@ -193,10 +193,10 @@ mg AS (SELECT bin, d, coalesce(h.n, 0) / (ns * (q1 + q2)) AS md_count, coalesce(
 
 def _grid() -> str:
     more = """,
-at AS MATERIALIZED (SELECT satom, sx, sy, sz, satype FROM sol WHERE frame = 1),
-bx AS (SELECT min(sx) AS x0, max(sx) AS x1, min(sy) AS y0, max(sy) AS y1, min(sz) AS z0, max(sz) AS z1 FROM at),
+atm AS MATERIALIZED (SELECT satom, sx, sy, sz, satype FROM sol WHERE frame = 1),
+bx AS (SELECT min(sx) AS x0, max(sx) AS x1, min(sy) AS y0, max(sy) AS y1, min(sz) AS z0, max(sz) AS z1 FROM atm),
 pt AS (SELECT ix, iy, iz, x0 - 4 + 2.0::DOUBLE * (ix - 1) AS gx, y0 - 4 + 2.0::DOUBLE * (iy - 1) AS gy, z0 - 4 + 2.0::DOUBLE * (iz - 1) AS gz FROM bx, LATERAL (SELECT unnest(generate_series(1, ceil((x1 - x0 + 8) / 2.0::DOUBLE + 1)::BIGINT)) AS ix), LATERAL (SELECT unnest(generate_series(1, ceil((y1 - y0 + 8) / 2.0::DOUBLE + 1)::BIGINT)) AS iy), LATERAL (SELECT unnest(generate_series(1, ceil((z1 - z0 + 8) / 2.0::DOUBLE + 1)::BIGINT)) AS iz)),
-nr AS (SELECT *, sqrt((sx - gx) * (sx - gx) + (sy - gy) * (sy - gy) + (sz - gz) * (sz - gz)) AS r FROM pt, at),
+nr AS (SELECT *, sqrt((sx - gx) * (sx - gx) + (sy - gy) * (sy - gy) + (sz - gz) * (sz - gz)) AS r FROM pt, atm),
 cl AS MATERIALIZED (SELECT ix, iy, iz, gx, gy, gz, satom AS atom, satype, r FROM nr WHERE r <= 4 QUALIFY row_number() OVER (PARTITION BY ix, iy, iz ORDER BY r, satom) = 1),
 cv AS (SELECT g.satype, bins.bin, d, sum(coalesce(n, 0)) OVER (PARTITION BY g.satype ORDER BY bins.bin) AS v FROM (SELECT DISTINCT group_id AS satype FROM gr WHERE side = 'solute') g CROSS JOIN bins LEFT JOIN (SELECT * FROM gr WHERE side = 'solute') o ON o.group_id = g.satype AND o.bin = bins.bin),
 st AS (SELECT satype, d, v, lag(d) OVER w AS d0, lag(v) OVER w AS v0 FROM cv WINDOW w AS (PARTITION BY satype ORDER BY bin)),

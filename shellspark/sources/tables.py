@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..options import Options
+from ..plans.staging import settled
 from ..plans.system import System
 
 BOX, FRAMES = 60.0, 20
@@ -37,7 +38,7 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 def system(spark: SparkSession, sf_dir: str, *, autocorrelation: bool = False, weights: str = "1", custom_groups: bool = False, **options) -> System:
     """Solutes: orders with key % 97 < 3; solvent: the others (with ``autocorrelation`` the solutes themselves)."""
-    every = atoms(spark, sf_dir).persist()
+    every = settled(atoms(spark, sf_dir), "atoms")
     solute = every.where("mol % 97 < 3")
     solvent = solute if autocorrelation else every.where("mol % 97 >= 3")
     n = [df.select("mol").distinct().count() / FRAMES for df in (solute, solvent)]
