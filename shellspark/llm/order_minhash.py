@@ -3,11 +3,12 @@
 Texts are compared as lower-cased words of letters and digits.  A shingle is five words, labelled with how often it has
 occurred before in its text.  A sketch takes, under one hash order, the ``TAKEN`` least labelled shingles and keeps
 them in text order, so texts with the same shingles in another order differ; a sketch is a band.  Two texts of shingle
-similarity s share a band with a probability of about s^3: 0.51 at s = 0.8, so with 24 bands a pair of 0.8
-is missed with a probability of 0.00000004, one of 0.6 with 0.003.  Candidates are verified by their edit distance in words, at most
+similarity s share a band with a probability of about s^5: 0.33 at s = 0.8, so with 32 bands a pair of 0.8
+is missed with a probability of 0.000003, one of 0.7 with 0.003.  Five shingles and not fewer, as texts that only share a
+passage must rarely meet: a passage of a third of a text gives a band with a probability of 0.004.  Candidates are verified by their edit distance in words, at most
 (1 - 0.8) of the longer text, computed in a diagonal band that doubles until the distance fits.
 
-Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket some leaders (1, then 2, 4, 8 ... in later
+Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket some leaders (1, then 8, then 64 in later
 rounds, each of one part of the bucket) are compared with all other members; members that fit a leader are done, the others go
 on to the next round, so the pairs of a bucket are never listed: a group of near copies costs one comparison a member.  Two
 members x and y that no leader has brought together are ruled out by distances to a leader A, as d(x, y) >= d(y, A) - d(x, A);
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 3, 24, 0.8
+SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 5, 32, 0.8
 _H: list[tc.Hasher] = []
 
 
@@ -238,12 +239,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands
     words = _candidate_words(table, docs, text_col, nodes.join(members.select("node").distinct(), "node", "left_semi"))
     edges, near = _rounds(table, members, words, similarity)
     labels = _components(table, edges)
-    if near is not None:
-        open_pairs = _open_pairs(edges, near, labels, similarity)
-        more = table(_verified(open_pairs, words, similarity)).where("d <= budget").select("u", "v", "d", "n", "m")
-        if more.limit(1).count():
-            edges = table(edges.unionByName(more))
-            labels = _components(table, edges)
+    open_pairs = table(_open_pairs(edges, near, labels, similarity))
+    if open_pairs.limit(1).count():
+        more = table(_verified(open_pairs.select(F.col("v").alias("u"), F.col("u").alias("v")), words, similarity)).where("d <= budget").select("u", "v", "d", "n", "m")
+        edges = table(edges.unionByName(more))
+        labels = _components(table, edges)
     return nodes.select("node", "first", "copies", "h1", "h2"), ids, edges, labels
 
 
@@ -290,35 +290,33 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
 
 def _rounds(table: _Tables, members: DataFrame, words: DataFrame, similarity: float):
-    """Verified links (u, v: the leader) and the near misses, over all rounds."""
-    edges = near = None
+    """Verified links and near misses (u > v, d and the lengths n, m), over all rounds."""
     known, parts, turn = None, 1, 0
     while True:
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
         leaders = members.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("leader")).select("bucket", "leader")
-        pairs = members.join(leaders, "bucket").where("node <> leader").select("bucket", F.col("node").alias("u"), F.col("leader").alias("v"))
+        pairs = members.join(leaders, "bucket").where("node <> leader").select("bucket", "node", F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
         todo = pairs.select("u", "v").distinct()
         if known is not None:
             todo = todo.join(known, ["u", "v"], "left_anti")
-        found = table(_verified(todo, words, similarity))
-        known = found if known is None else table(known.unionByName(found))
-        link, miss = found.where("d <= budget").select("u", "v", "d", "n", "m"), found.where("d > budget and d <= budget + ceil(greatest(n, m) * {:f})".format((1 - similarity) / similarity)).select("u", "v", "d", "n", "m")
-        edges = link if edges is None else edges.unionByName(link)
-        near = miss if near is None else near.unionByName(miss)
-        done = pairs.join(known.where("d <= budget").select("u", "v"), ["u", "v"], "left_semi").select("bucket", F.col("u").alias("node")).distinct()
+        found = _verified(todo, words, similarity)
+        known = table(found if known is None else known.unionByName(found))
+        done = pairs.join(known.where("d <= budget").select("u", "v"), ["u", "v"], "left_semi").select("bucket", "node").distinct()
         gone = done.union(leaders.select("bucket", F.col("leader").alias("node")))
         left = members.join(gone, ["bucket", "node"], "left_anti")
         left = table(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "bucket"))
         if not left.limit(1).count():
-            return table(edges), table(near)
-        members, parts, turn = left, min(parts * 2, 64), turn + 1
+            wide = F.ceil(F.greatest("n", "m") * (1 - similarity) / similarity)
+            out = ("u", "v", "d", "n", "m")
+            return known.where("d <= budget").select(*out), known.where((F.col("d") > F.col("budget")) & (F.col("d") <= F.col("budget") + wide)).select(*out)
+        members, parts, turn = left, min(parts * 8, 64), turn + 1
 
 
 def _open_pairs(edges: DataFrame, near: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different classes that their distances to a leader do not rule out."""
     of = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    inner = edges.select(F.col("u").alias("x"), F.col("v").alias("a"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-    outer = near.select(F.col("u").alias("y"), F.col("v").alias("a"), F.col("d").alias("dy"), F.col("n").alias("ny"))
+    both = lambda df, x: df.select(F.col("u").alias(x), F.col("v").alias("a"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}")).union(df.select("v", "u", "d", "m"))
+    inner, outer = both(edges, "x"), both(near, "y")
     outer = outer.join(inner.groupBy("a").agg(F.max("dx").alias("wide")), "a").where(F.col("dy") <= F.col("wide") + F.ceil(F.greatest(F.col("ny"), F.lit(5)) * (1 - similarity) / similarity))
     fits = F.col("dy") - F.col("dx") <= F.floor(F.greatest("nx", "ny") * (1 - similarity) + 1e-9)
     pairs = of(inner, "x").join(of(outer, "y"), "a").where(fits & (F.col("x_label") != F.col("y_label")))
