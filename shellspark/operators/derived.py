@@ -87,7 +87,7 @@ def gr(bins: DataFrame, binstep: float, count: str = "rdf_count", density: str =
     g = sc.quotient(F.col(count) / sc.shell_volume(F.col("bin"), binstep), F.col(density))
     rows = bins.select("bin", "d", g.alias("gr"))
     step = F.lit(4 * math.pi) * (F.col("gr") - 1) * F.col("d") * F.col("d") * binstep
-    return rows.withColumn("kb", F.lit(sc.CM3_PER_MOL) * F.sum(step).over(fi.SO_FAR))
+    return rows.withColumn("kb", F.lit(sc.CM3_PER_MOL) * F.sum(step).over(fi.so_far()))
 
 
 def renormalize(result: fi.Result, density: float, unit: str = "mol/L") -> fi.Result:

@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..options import Options
 
-#: One row per bin: these windows see at most a few thousand rows.
-ALL = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 SCALARS = ("volume_total", "volume_domain", "volume_bulk", "density_solvent", "density_solute", "density_solvent_bulk")
 
 
+def all_bins():
+    """A window over all bins; there is one row per bin, at most a few thousand."""
+    return Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far():
+    """A window over the bins up to the row's own."""
+    return Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 @dataclass
 class Result:
     """bins: one row per bin, with the scalars repeated; groups: side, group_id, group_name, bin, n, n_random."""
@@ -53,7 +60,7 @@ class Result:
 def distributions(bins: DataFrame, fix: Column) -> DataFrame:
     """Random counts times ``fix``, running sums, ratios (0 where nothing is expected) and Kirkwood-Buff integrals."""
     out = bins.withColumns({c: F.col(c) * fix for c in ("md_count_random", "rdf_count_random")})
-    out = out.withColumns({"coordination_number": F.sum("md_count").over(SO_FAR), "coordination_number_random": F.sum("md_count_random").over(SO_FAR), "sum_rdf_count": F.sum("rdf_count").over(SO_FAR), "sum_rdf_count_random": F.sum("rdf_count_random").over(SO_FAR)})
+    out = out.withColumns({"coordination_number": F.sum("md_count").over(so_far()), "coordination_number_random": F.sum("md_count_random").over(so_far()), "sum_rdf_count": F.sum("rdf_count").over(so_far()), "sum_rdf_count_random": F.sum("rdf_count_random").over(so_far())})
     per = sc.quotient(F.lit(sc.CM3_PER_MOL), F.col("density_solvent_bulk"))
     return out.withColumns({"mddf": sc.ratio(F.col("md_count"), F.col("md_count_random")), "rdf": sc.ratio(F.col("rdf_count"), F.col("rdf_count_random")), "kb": per * (F.col("coordination_number") - F.col("coordination_number_random")), "kb_rdf": per * (F.col("sum_rdf_count") - F.col("sum_rdf_count_random"))})
 
@@ -67,7 +74,7 @@ def mddf_bins(counts: DataFrame, random: DataFrame, options: Options, n_solute:
     bins = bins.withColumns({c: F.coalesce(c, F.lit(0.0)) / F.lit(float(x)) for c, x in by.items()})
     bins = bins.withColumns({"d": sc.shell_radius(F.col("bin"), o.binstep), "shell_volume": F.lit(v) * (F.col("rdf_count_random") / F.lit(float(solvent_nmols)))})
     inside, outside = F.col("bin") < o.ibulk, F.col("bin") >= o.ibulk
-    total = lambda c, where: F.sum(F.when(where, F.col(c)).otherwise(0.0)).over(ALL)
+    total = lambda c, where: F.sum(F.when(where, F.col(c)).otherwise(0.0)).over(all_bins())
     domain = total("shell_volume", inside)
     if o.usecutoff:
         bulk, n_bulk = total("shell_volume", outside), total("rdf_count", outside)
@@ -84,7 +91,7 @@ def coordination_bins(counts: DataFrame, options: Options, n_solute: float, n_so
     bins = spark.range(1, o.nbins + 1).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left")
     zero = F.lit(0.0)
     bins = bins.withColumns({c: F.coalesce(c, zero) / F.lit(float(n_solute * q)) for c in ("md_count", "rdf_count")})
-    bins = bins.withColumns({"d": sc.shell_radius(F.col("bin"), o.binstep), "coordination_number": F.sum("md_count").over(SO_FAR), "sum_rdf_count": F.sum("rdf_count").over(SO_FAR)})
+    bins = bins.withColumns({"d": sc.shell_radius(F.col("bin"), o.binstep), "coordination_number": F.sum("md_count").over(so_far()), "sum_rdf_count": F.sum("rdf_count").over(so_far())})
     none = ("shell_volume", "md_count_random", "rdf_count_random", "coordination_number_random", "sum_rdf_count_random", "mddf", "rdf", "kb", "kb_rdf", "volume_domain", "volume_bulk", "density_solvent_bulk")
     return bins.withColumns({c: zero for c in none} | {"volume_total": F.lit(v), "density_solvent": F.lit(n_solvent / v), "density_solute": F.lit(n_solute / v)})
 

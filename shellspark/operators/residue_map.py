@@ -6,7 +6,7 @@ import json
 import warnings
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import derived as de
@@ -51,11 +51,12 @@ class ResidueContributions:
         residues = atoms.select("residue", "resnum", "resname", "group_id")
         summed = residues.join(own, "group_id").groupBy("residue", "bin").agg((F.sum("n") / share).alias("n"), (F.sum("n_random") / share).alias("n_random"))
         names = residues.groupBy("residue").agg(F.first("resnum").alias("resnum"), F.first("resname").alias("resname"))
+        names = names.withColumn("place", F.row_number().over(Window.orderBy("residue")))  # one row per residue of the solute
         missing = names.select("residue").join(summed.select("residue").distinct(), "residue", "left_anti").select("residue", F.lit(1).alias("bin"), F.lit(0.0).alias("n"), F.lit(0.0).alias("n_random"))
         values = de.as_type(summed.unionByName(missing), result.bins, type, ("residue",))
         a, b = bin_slice(result.bins, dmin, dmax)
         rows = values.where(F.col("bin").between(a, b)).join(names, "residue")
-        return cls(rows.select(F.col("residue").alias("residue_pos"), "resnum", labels(F.col("resname"), F.col("resnum")).alias("label"), "bin", "d", "value"), result.version)
+        return cls(rows.select(F.col("place").alias("residue_pos"), "resnum", labels(F.col("resname"), F.col("resnum")).alias("label"), "bin", "d", "value"), result.version)
 
     def _with(self, other: ResidueContributions, value) -> ResidueContributions:
         a, b = self.table, other.table.select("residue_pos", "bin", F.col("d").alias("d2"), F.col("label").alias("label2"), F.col("value").alias("value2"))
