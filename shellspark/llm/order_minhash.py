@@ -8,7 +8,7 @@ is missed with a probability of 0.000003, one of 0.7 with 0.003.  Five shingles
 passage must rarely meet: a passage of a third of a text gives a band with a probability of 0.004.  Candidates are verified by their edit distance in words, at most
 (1 - 0.8) of the longer text, computed in a diagonal band that doubles until the distance fits.
 
-Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket some leaders (1, then 8, then 64 in later
+Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket some leaders (1, then 4, 16 and 64 in later
 rounds, each of one part of the bucket) are compared with all other members; members that fit a leader are done, the others go
 on to the next round, so the pairs of a bucket are never listed: a group of near copies costs one comparison a member.  Two
 members x and y that no leader has brought together are ruled out by distances to a leader A, as d(x, y) >= d(y, A) - d(x, A);
@@ -36,6 +36,8 @@ from . import hashstore as hs
 from . import textcore as tc
 
 SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 5, 32, 0.8
+#: Bytes of text that are looked at together; workers of many small stages stay small.
+PART = 256 << 10
 _H: list[tc.Hasher] = []
 
 
@@ -67,7 +69,7 @@ def sketch(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN) -> np.ndar
     """One value for each band: the hash of the least labelled shingles in text order."""
     h = labelled(words)
     xor, times = _orders(bands)
-    step = max(1, (1 << 20) // max(1, len(h)))
+    step = max(1, (1 << 17) // max(1, len(h)))
     out = []
     for b in range(0, bands, step):
         v = (h ^ xor[b : b + step]) * times[b : b + step]
@@ -220,7 +222,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = tc.text_column(batch, "text")
-            for i, j in tc.slices(col):
+            for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
                 found = [sketch(words[a:b], bands).view(np.int64) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "h1", "h2")), pa.array(found, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
@@ -261,7 +263,7 @@ def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: Data
             known &= store.values(h1.view(np.uint64), "h2")[0] == h2
             own = [k for k in np.flatnonzero(known).tolist() if node[k] not in done and not (len(done) < 1 << 20 and done.add(int(node[k])))]
             col = tc.text_column(batch, "text").take(pa.array(own, pa.int64()))
-            for i, j in tc.slices(col):
+            for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
                 words = (words >> np.uint64(32)).astype(np.uint32)
                 blobs = [words[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -309,7 +311,7 @@ def _rounds(table: _Tables, members: DataFrame, words: DataFrame, similarity: fl
             wide = F.ceil(F.greatest("n", "m") * (1 - similarity) / similarity)
             out = ("u", "v", "d", "n", "m")
             return known.where("d <= budget").select(*out), known.where((F.col("d") > F.col("budget")) & (F.col("d") <= F.col("budget") + wide)).select(*out)
-        members, parts, turn = left, min(parts * 8, 64), turn + 1
+        members, parts, turn = left, min(parts * 4, 64), turn + 1
 
 
 def _open_pairs(edges: DataFrame, near: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:

@@ -93,7 +93,8 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, SLICE + 1)
+            n = max(n, 1 << 18)
+            n += n // 4
             self.powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.p))])
             self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.q))])
 
