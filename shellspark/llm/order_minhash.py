@@ -8,11 +8,13 @@ is missed with a probability of 0.000003, one of 0.7 with 0.003.  Five shingles
 passage must rarely meet: a passage of a third of a text gives a band with a probability of 0.004.  Candidates are verified by their edit distance in words, at most
 (1 - 0.8) of the longer text, computed in a diagonal band that doubles until the distance fits.
 
-Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket some leaders (1, then 4, 16 and 64 in later
-rounds, each of one part of the bucket) are compared with all other members; members that fit a leader are done, the others go
-on to the next round, so the pairs of a bucket are never listed: a group of near copies costs one comparison a member.  Two
-members x and y that no leader has brought together are ruled out by distances to a leader A, as d(x, y) >= d(y, A) - d(x, A);
-the few pairs that this leaves open, of texts not yet in one class, are compared too.  So every pair of a bucket is decided.
+Hot groups.  Texts that are equal are one node before anything is compared.  Each text has a parity sketch of its labelled words: one bit
+flips for each word that only one of two texts has, so the sketches and lengths give a lower bound of the edit distance; joins emit only
+pairs that this bound leaves possible, which drops no link.  In each bucket some leaders (1, then 4, 16, 64, ... in later rounds, each of
+one part of the bucket) are compared with all other members; members that fit a leader are done, the others go
+on to the next round, so the pairs of a bucket are never listed: a group of near copies costs one comparison a member.  What
+this leaves undecided is a done member and a later one of its bucket; where their classes differ and the bound allows a link, they
+are compared too, joined from the side of the members outside the bucket's largest class.  So every pair of a bucket is decided.
 
 Classes are connected components by alternating large-star and small-star steps.  Every intermediate is a table in the
 shared folder; links and labels stay distributed.
@@ -36,6 +38,10 @@ from . import hashstore as hs
 from . import textcore as tc
 
 SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 5, 32, 0.8
+#: log2 of the bits of a parity sketch, which is kept as longs.
+PARITY = 11
+#: The turn of a bucket's members that no round has decided.
+NEVER = 1 << 30
 #: Bytes of text that are looked at together; workers of many small stages stay small.
 PART = 256 << 10
 _H: list[tc.Hasher] = []
@@ -86,6 +92,18 @@ def sketch(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN) -> np.ndar
     return np.concatenate(out)
 
 
+def parity(words: np.ndarray) -> np.ndarray:
+    """Bits that each labelled word flips, so two texts differ in no more bits than they have words of their own."""
+    flips = np.bincount((labelled(words, 1) >> np.uint64(64 - PARITY)).astype(np.int64), minlength=1 << PARITY)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
+def _possible(n, bits, m, other, similarity: float):
+    """May texts of n and m words be within the budget?  An edit changes the difference of the bags by two at most."""
+    differ = sum((F.bit_count(bits[k].bitwiseXOR(other[k])) for k in range((1 << PARITY) // 64)), F.lit(0))
+    return differ + F.abs(n - m) <= 2 * F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)
+
+
 def banded(a: list, b: list, most: int) -> int:
     """Edit distance of two lists if it is at most ``most``, else most + 1; only a diagonal band of 2 most + 1 is computed.
 
@@ -225,25 +243,27 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands
             for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
                 found = [sketch(words[a:b], bands).view(np.int64) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "h1", "h2")), pa.array(found, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
+                bits = [parity(words[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bits)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "h1", "h2")), *lists, pa.array(np.diff(bounds), pa.int32())], ["id", "h1", "h2", "bands", "bits", "n"])
 
     h1, h2 = _halves(F.col(text_col))
     base = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = base.mapInArrow(sketched, f"id {kind}, h1 long, h2 long, bands array<long>")
-    texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    found = base.mapInArrow(sketched, f"id {kind}, h1 long, h2 long, bands array<long>, bits array<long>, n int")
+    texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n").alias("n"))
     nodes = table(texts.withColumn("node", F.monotonically_increasing_id()))
     ids = base.select("id", "h1", "h2")
 
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = table(buckets.join(full, "bucket"))
+    members = table(buckets.join(full, "bucket").join(nodes.select("node", "n", "bits"), "node"))
     words = _candidate_words(table, docs, text_col, nodes.join(members.select("node").distinct(), "node", "left_semi"))
-    edges, near = _rounds(table, members, words, similarity)
+    edges, fates = _rounds(table, members, words, similarity)
     labels = _components(table, edges)
-    open_pairs = table(_open_pairs(edges, near, labels, similarity))
+    open_pairs = table(_open_pairs(table, fates, labels, similarity))
     if open_pairs.limit(1).count():
-        more = table(_verified(open_pairs.select(F.col("v").alias("u"), F.col("u").alias("v")), words, similarity)).where("d <= budget").select("u", "v", "d", "n", "m")
+        more = table(_verified(open_pairs, words, similarity).where("near").select("u", "v"))
         edges = table(edges.unionByName(more))
         labels = _components(table, edges)
     return nodes.select("node", "first", "copies", "h1", "h2"), ids, edges, labels
@@ -275,54 +295,58 @@ def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: Data
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """u, v, d (up to twice the budget and more, so that bounds follow from it), budget and lengths n, m."""
+    """u, v and near: is their edit distance within the budget?"""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            near = []
             for a, b in zip(batch.column("wu"), batch.column("wv"), strict=True):
                 a, b = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-                t = budget(len(a), len(b), similarity)
-                cap = t + int(np.ceil((1 - similarity) / similarity * max(len(a), len(b)))) + 1
-                out.append((distance(a, b, cap), t, len(a), len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *(pa.array([x[k] for x in out], pa.int32()) for k in range(4))], ["u", "v", "d", "budget", "n", "m"])
+                most = budget(len(a), len(b), similarity)
+                near.append(distance(a, b, most) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
 
     both = pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("wv")), "v").join(words.select(F.col("node").alias("u"), F.col("words").alias("wu")), "u")
-    return both.select("u", "v", "wu", "wv").mapInArrow(of, "u long, v long, d int, budget int, n int, m int")
+    return both.select("u", "v", "wu", "wv").mapInArrow(of, "u long, v long, near boolean")
 
 
 def _rounds(table: _Tables, members: DataFrame, words: DataFrame, similarity: float):
-    """Verified links and near misses (u > v, d and the lengths n, m), over all rounds."""
-    known, parts, turn = None, 1, 0
+    """Verified links (u > v), and the members with the turn in which each was decided and whether as a leader (led)."""
+    known, fates, every, parts, turn = None, None, members, 1, 0
     while True:
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
-        leaders = members.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("leader")).select("bucket", "leader")
-        pairs = members.join(leaders, "bucket").where("node <> leader").select("bucket", "node", F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v"))
+        leaders = table(members.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("leader")).select("bucket", "leader"))
+        leading = leaders.join(members.select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("other")), ["bucket", "leader"])
+        fits = (F.col("node") != F.col("leader")) & _possible(F.col("n"), F.col("bits"), F.col("m"), F.col("other"), similarity)
+        pairs = table(members.join(leading, "bucket").where(fits).select("bucket", "node", F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")))
         todo = pairs.select("u", "v").distinct()
         if known is not None:
             todo = todo.join(known, ["u", "v"], "left_anti")
         found = _verified(todo, words, similarity)
         known = table(found if known is None else known.unionByName(found))
-        done = pairs.join(known.where("d <= budget").select("u", "v"), ["u", "v"], "left_semi").select("bucket", "node").distinct()
-        gone = done.union(leaders.select("bucket", F.col("leader").alias("node")))
+        done = pairs.join(known.where("near"), ["u", "v"], "left_semi").select("bucket", "node", F.lit(False).alias("led"))
+        gone = done.union(leaders.select("bucket", "leader", F.lit(True))).groupBy("bucket", "node").agg(F.max("led").alias("led"), F.lit(turn).alias("turn"))
+        gone = table(gone)
+        fates = gone if fates is None else fates.unionByName(gone)
         left = members.join(gone, ["bucket", "node"], "left_anti")
         left = table(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "bucket"))
         if not left.limit(1).count():
-            wide = F.ceil(F.greatest("n", "m") * (1 - similarity) / similarity)
-            out = ("u", "v", "d", "n", "m")
-            return known.where("d <= budget").select(*out), known.where((F.col("d") > F.col("budget")) & (F.col("d") <= F.col("budget") + wide)).select(*out)
-        members, parts, turn = left, min(parts * 4, 64), turn + 1
-
-
-def _open_pairs(edges: DataFrame, near: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes that their distances to a leader do not rule out."""
-    of = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    both = lambda df, x: df.select(F.col("u").alias(x), F.col("v").alias("a"), F.col("d").alias(f"d{x}"), F.col("n").alias(f"n{x}")).union(df.select("v", "u", "d", "m"))
-    inner, outer = both(edges, "x"), both(near, "y")
-    outer = outer.join(inner.groupBy("a").agg(F.max("dx").alias("wide")), "a").where(F.col("dy") <= F.col("wide") + F.ceil(F.greatest(F.col("ny"), F.lit(5)) * (1 - similarity) / similarity))
-    fits = F.col("dy") - F.col("dx") <= F.floor(F.greatest("nx", "ny") * (1 - similarity) + 1e-9)
-    pairs = of(inner, "x").join(of(outer, "y"), "a").where(fits & (F.col("x_label") != F.col("y_label")))
-    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+            fates = every.join(fates, ["bucket", "node"], "left").withColumns({"led": F.coalesce("led", F.lit(False)), "turn": F.coalesce("turn", F.lit(NEVER))})
+            return known.where("near").select("u", "v"), fates
+        members, parts, turn = left, parts * 4, turn + 1
+
+
+def _open_pairs(table: _Tables, fates: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes in one bucket that no round has compared and the bound allows."""
+    rows = fates.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kinds = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c"))
+    rows = table(rows.join(kinds.where("c > 1").select("bucket", "most"), "bucket").withColumn("minor", F.col("label") != F.col("most")).drop("most"))
+    x = rows.where(~F.col("led") & (F.col("turn") < NEVER)).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "bits", "label", "turn", "minor")))
+    later = (F.col("turn") > F.col("x_turn")) | ((F.col("turn") == F.col("x_turn")) & ~F.col("led"))
+    fits = later & (F.col("label") != F.col("x_label")) & _possible(F.col("n"), F.col("bits"), F.col("x_n"), F.col("x_bits"), similarity)
+    sides = (x.where("x_minor"), rows), (x.where("not x_minor"), rows.where("minor"))
+    pairs = [a.join(b, "bucket").where(fits).select(F.greatest("node", "x_node").alias("u"), F.least("node", "x_node").alias("v")) for a, b in sides]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def _components(table: _Tables, edges: DataFrame) -> DataFrame:
