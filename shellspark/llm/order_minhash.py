@@ -1,11 +1,13 @@
 """Near-duplicate texts by Order MinHash, verified by banded alignment.
 
-Texts are compared as lower-cased words of letters and digits.  A shingle is five words, labelled with how often it has
+Texts are compared as lower-cased words of letters and digits.  A shingle is two words, labelled with how often it has
 occurred before in its text.  A sketch takes, under one hash order, the ``TAKEN`` least labelled shingles and keeps
-them in text order, so texts with the same shingles in another order differ; a sketch is a band.  Two texts of shingle
-similarity s share a band with a probability of about s^5: 0.33 at s = 0.8, so with 32 bands a pair of 0.8
-is missed with a probability of 0.000003, one of 0.7 with 0.003.  Five shingles and not fewer, as texts that only share a
-passage must rarely meet: a passage of a third of a text gives a band with a probability of 0.004.  Candidates are verified by their edit distance in words, at most
+them in text order, so texts with the same shingles in another order differ; a sketch is a band.  The bands are chosen for the
+edit similarity that is accepted: where a share p of the words is replaced here and there, about q = (1 - p)^2 of the shingles
+stay, their similarity is s = q / (2 - q), and a band is shared with a probability of about s^3: 0.1 at p = 0.2, so with 32 bands a
+pair is missed with a probability of about 0.03 at p = 0.2, 0.002 at 0.15 and 0.00001 at 0.1; edits that lie together leave more shingles.
+A text of at most ``SHORT`` words has few shingles that an edit leaves alone, so it has as many bands again of single words.
+Candidates are verified by their edit distance in words, at most
 (1 - 0.8) of the longer text, computed in a diagonal band that doubles until the distance fits.
 
 Hot groups.  Texts that are equal are one node before anything is compared.  Each text has a parity sketch of its labelled words: one bit
@@ -37,7 +39,9 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 5, 32, 0.8
+SHINGLE, TAKEN, BANDS, SIMILARITY = 2, 3, 32, 0.8
+#: Words of a text that also has bands of single words.
+SHORT = 40
 #: log2 of the bits of a parity sketch, which is kept as longs.
 PARITY = 11
 #: The turn of a bucket's members that no round has decided.
@@ -60,7 +64,7 @@ def _orders(bands: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, bands, dtype=np.uint64)[:, None], (rng.integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 
 
-def labelled(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+def labelled(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Shingles of one text, each hashed with the number of times it occurs before."""
     g = tc.ngrams(words, min(k, len(words)))
     order = np.argsort(g, kind="stable")
@@ -72,8 +76,14 @@ def labelled(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN) -> np.ndarray:
-    """One value for each band: the hash of the least labelled shingles in text order."""
-    h = labelled(words)
+    """One value for each band: the hash of the least labelled shingles in text order; short texts have bands of single words behind these."""
+    found = [_bands(labelled(words, SHINGLE), bands, taken)]
+    if len(words) <= SHORT:
+        found.append(_bands(labelled(words, 1), bands, taken))
+    return np.concatenate(found)
+
+
+def _bands(h: np.ndarray, bands: int, taken: int) -> np.ndarray:
     xor, times = _orders(bands)
     step = max(1, (1 << 17) // max(1, len(h)))
     out = []
