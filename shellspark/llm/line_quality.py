@@ -2,7 +2,8 @@
 
 A line is compared as its lower-cased words, by a 64-bit hash.  For each host the distinct documents with a line are counted
 (copies of one text count once, so a copied document does not turn its own lines into boilerplate); a line is above the
-limit if more than ``min_docs`` documents and more than ``share`` of the host's documents have it.  Lines above the
+limit if more than ``min_docs`` documents and more than ``share`` of the host's documents have it.  By default the count alone
+decides, as a share asks for more documents the hotter the host and a high count is out of a small host's reach.  Lines above the
 limit are removed; a document that thereby loses more than ``most_removed`` of its words is depleted and rejected.
 
 Plan: distinct (host, line, text) hashes are counted with partial aggregation in two steps, so neither a hot host nor a
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-MIN_DOCS, SHARE, MOST_REMOVED = 100, 0.10, 0.5
+MIN_DOCS, SHARE, MOST_REMOVED = 10, 0.0, 0.5
 #: Base rules.
 MIN_WORDS, REPEAT_WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"

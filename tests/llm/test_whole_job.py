@@ -4,8 +4,9 @@ import random
 
 import pyarrow as pa
 
-from conftest_llm import KINDS
+from conftest_llm import KINDS, prose
 from shellspark.llm import order_minhash as om
+from shellspark.llm import queries
 
 
 def test_copies_with_many_changed_words_are_linked(spark):
@@ -28,3 +29,14 @@ def test_copies_with_many_changed_words_are_linked(spark):
         most = om.budget(len(w[copy]), len(w[base]), om.SIMILARITY)
         assert om.banded(w[copy], w[base], most) <= most
     assert [k for k, base in expected.items() if out[k] != base] == []
+
+
+def test_shared_lines_go_under_production_limits(spark, tmp_path):
+    line = "all rights reserved by the example host"
+    hosts = {"small": (40, 11), "hot": (1500, 120), "below": (40, 10)}  # texts, and those with the line
+    texts = [(f"{prose(40, 10000 * h + k)}\n{line if k < n else prose(7, 10000 * h + 5000 + k)}", host) for h, (host, (size, n)) in enumerate(hosts.items()) for k in range(size)]
+    spark.createDataFrame([(k, t, "en", host, len(t)) for k, (t, host) in enumerate(texts)], KINDS).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in queries.op5_line_quality(spark, str(tmp_path)).collect()}
+    for k, (t, host) in enumerate(texts):
+        gone = t.endswith(line) and host != "below"
+        assert (out[k].n_removed_lines, out[k].n_removed_words) == ((1, 7) if gone else (0, 0)), (k, host)
