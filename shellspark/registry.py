@@ -133,6 +133,12 @@ def q_molecule_index(spark, d):
     return molecule_index(one, 3).select("atom_index", "pos", "mol", "atype")
 
 
+@query
+def q_molecule_index_all(spark, d):
+    """Over the atoms of all frames; the query without ``_all`` has those that its SQL covers, here and below."""
+    return molecule_index(tables.atoms(spark, d).select(F.col("atom").alias("atom_index")), 3).select("atom_index", "pos", "mol", "atype")
+
+
 @query
 def q_atom_group(spark, d):
     return _groups(spark, d, "custom").where("group_name = '2-HIGH' and side = 'solute'").select("group_id", "atom")
@@ -202,12 +208,22 @@ def q_range_join(spark, d):
     return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
 
 
+def _triclinic(s: System, solute: DataFrame) -> DataFrame:
+    cell = F.array(*(F.lit(float(x)) for x in registry_sql.SKEWED))
+    near = pr.range_join(solute, s.solvent, s.frames.withColumn("m", cell), 4.0, ortho=False)
+    return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
+
+
 @query
 def q_range_join_triclinic(spark, d):
     s = _system(spark, d)
-    cell = F.array(*(F.lit(float(x)) for x in registry_sql.SKEWED))
-    near = pr.range_join(s.solute.where("frame <= 5"), s.solvent, s.frames.withColumn("m", cell), 4.0, ortho=False)
-    return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
+    return _triclinic(s, s.solute.where("frame <= 5"))
+
+
+@query
+def q_range_join_triclinic_all(spark, d):
+    s = _system(spark, d)
+    return _triclinic(s, s.solute)
 
 
 @query
@@ -308,11 +324,25 @@ def q_unwrap(spark, d):
     return rr.unwrapped(_system(spark, d)).where("frame <= 4").select("frame", "vatom", "ux", "uy", "uz")
 
 
+@query
+def q_unwrap_all(spark, d):
+    return rr.unwrapped(_system(spark, d)).select("frame", "vatom", "ux", "uy", "uz")
+
+
+def _moved(s: System, placed: DataFrame) -> DataFrame:
+    return rr.random_move(placed, rr.unwrapped(s), s.frames).select("frame", "k", F.col("vidx").alias("slot"), "vatype", "vx", "vy", "vz")
+
+
 @query
 def q_random_move(spark, d):
     s = _system(spark, d)
-    moved = rr.random_move(rr.slots(s, _bulk(spark, d)).where("frame <= 2"), rr.unwrapped(s), s.frames)
-    return moved.select("frame", "k", F.col("vidx").alias("slot"), "vatype", "vx", "vy", "vz")
+    return _moved(s, rr.slots(s, _bulk(spark, d)).where("frame <= 2"))
+
+
+@query
+def q_random_move_all(spark, d):
+    s = _system(spark, d)
+    return _moved(s, rr.slots(s, _bulk(spark, d)))
 
 
 @query
