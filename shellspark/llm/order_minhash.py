@@ -198,7 +198,11 @@ class _Tables:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """One row per document: id, class_id (the least id of its class), class_size in documents, n_links (distinct texts linked to its text) and kept (it is the class's first document)."""
+    """One row per document: id, class_id (the least id of its class), class_size in documents, n_links and kept (it is the class's first document).
+
+    n_links counts the verified links of its text, not all texts near it: members of a class are not all compared with each other, so the
+    links are a subset that spans the class, and which ones depends on node ids and so on partitions.  The other columns do not.
+    """
     nodes, ids, edges, labels = _solve(docs, id_col, text_col, similarity, bands)
     groups = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     linked = edges.select("u").union(edges.select("v")).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
