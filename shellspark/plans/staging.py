@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir; in local mode a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="shellspark-"))
         base = _own[0]
