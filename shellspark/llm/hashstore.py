@@ -16,18 +16,10 @@ from urllib.parse import urlparse
 import numpy as np
 from pyspark.sql import SparkSession
 
+from shellspark.plans.staging import shared_dir
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="shellspark-"))
-        base = _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Made here for the operators: folders of the shared folder.
+__all__ = ["Sink", "Store", "bits_for", "bucket_of", "mapped", "put", "remove", "shared_dir", "source", "write"]
 
 
 def _fs(uri: str):
@@ -46,7 +38,20 @@ def put(uri: str, *parts) -> None:
     with fs.open_output_stream(own, compression=None) as f:
         for p in parts:
             f.write(p if isinstance(p, bytes) else np.ascontiguousarray(p).data.cast("B") if p.size else b"")
-    fs.move(own, path)
+    _publish(fs, own, path)
+
+
+def _publish(fs, own: str, path: str) -> None:
+    """Give a whole file its name; where a repeated task finds the name taken (a rename onto a file fails on some file systems), the
+    file that is there is whole and equal, and stays."""
+    from pyarrow.fs import FileType
+
+    try:
+        fs.move(own, path)
+    except OSError:
+        if fs.get_file_info(path).type != FileType.File:
+            raise
+        fs.delete_file(own)
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
@@ -70,9 +75,9 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bits_for(rows: int, per_bucket: int = 500_000, most: int = 14) -> int:
-    """Bucket bits so that a bucket has about ``per_bucket`` rows."""
-    return min(most, max(0, int(np.ceil(np.log2(max(1, rows / per_bucket))))))
+def bits_for(rows: int, per_bucket: int = 500_000) -> int:
+    """Bucket bits so that a bucket has about ``per_bucket`` rows, whatever the number of rows."""
+    return max(0, int(np.ceil(np.log2(max(1, rows / per_bucket)))))
 
 
 def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -101,14 +106,37 @@ class Store:
             at[at == len(own)] = 0
             yield bucket, slice(a, b), at, (own[at] == keys[a:b]) if len(own) else np.zeros(b - a, bool)
 
-    def values(self, keys: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
-        """The column's value for each key, in any order and repeated (unknown: 0), and whether it is known."""
-        own, inverse = np.unique(keys, return_inverse=True)
-        known, out = np.zeros(len(own), bool), np.zeros(len(own), self.dtypes[name])
-        for bucket, part, at, found in self.parts(own):
+    def places(self, keys: np.ndarray, checks: np.ndarray):
+        """As parts(), with rows found by key and ``check`` together; keys may occur more than once in a bucket."""
+        for bucket, part, at, found in self.parts(keys):
+            own, check, wanted = self.column(bucket, "key"), self.column(bucket, "check"), checks[part]
+            here = np.flatnonzero(found)
+            found[here] = check[at[here]] == wanted[here]
+            rest = here[~found[here]]
+            while len(rest):  # another row with this key may follow
+                at[rest] += 1
+                rest = rest[at[rest] < len(own)]
+                rest = rest[own[at[rest]] == keys[part][rest]]
+                hit = check[at[rest]] == wanted[rest]
+                found[rest[hit]] = True
+                rest = rest[~hit]
+            yield bucket, part, at, found
+
+    def values(self, keys: np.ndarray, checks: np.ndarray, *names: str) -> tuple:
+        """Whether each (key, check) is known, in any order and repeated, and the columns' values (unknown: 0)."""
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+        first = np.ones(len(k), bool)
+        first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        inverse = np.empty(len(k), np.int64)
+        inverse[order] = np.cumsum(first) - 1
+        k, c = k[first], c[first]
+        known, out = np.zeros(len(k), bool), [np.zeros(len(k), self.dtypes[name]) for name in names]
+        for bucket, part, at, found in self.places(k, c):
             known[part] = found
-            out[part][found] = self.column(bucket, name)[at[found]]
-        return out[inverse], known[inverse]
+            for values, name in zip(out, names, strict=True):
+                values[part][found] = self.column(bucket, name)[at[found]]
+        return known[inverse], *(values[inverse] for values in out)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Membership of each key, in any order and repeated."""
@@ -120,9 +148,9 @@ class Store:
 
 
 def write(df, path: str) -> int:
-    """Write a table of longs, the first column its unique key, as a store of that column and the others; returns its bits.
+    """Write a table of longs as a store with its columns, sorted by the first, which is the key; returns its bits.
 
-    Rows whose key is not unique are all left out.
+    Rows with equal keys all stay, next to each other; a second column named ``check`` tells them apart.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
@@ -134,16 +162,11 @@ def write(df, path: str) -> int:
     bits = bits_for(rows.count())
 
     def build(table: pa.Table) -> pa.Table:
-        key = table["key"].to_numpy().view(np.uint64)
-        bucket = table["bucket"][0].as_py()
+        bucket, key = table["bucket"][0].as_py(), table["key"].to_numpy().view(np.uint64)
         order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = np.zeros(len(k), bool)
-        same[1:] = k[1:] == k[:-1]
-        same[:-1] |= same[1:]
         for name in names:
-            put(f"{path}/{bucket:05d}.{name}", table[name].to_numpy()[order[~same]])
-        put(f"{path}/{bucket:05d}.key", k[~same])
+            put(f"{path}/{bucket:05d}.{name}", table[name].to_numpy()[order])
+        put(f"{path}/{bucket:05d}.key", key[order])
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
     bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
@@ -170,7 +193,7 @@ class Sink:
 
     def close(self) -> str:
         self.stream.close()
-        self.fs.move(self.own, self.path)
+        _publish(self.fs, self.own, self.path)
         return self.uri
 
 

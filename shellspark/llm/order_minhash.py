@@ -1,29 +1,33 @@
 """Near-duplicate texts by Order MinHash, verified by banded alignment.
 
-Texts are compared as lower-cased words of letters and digits.  A shingle is two words, labelled with how often it has
-occurred before in its text.  A sketch takes, under one hash order, the ``TAKEN`` least labelled shingles and keeps
-them in text order, so texts with the same shingles in another order differ; a sketch is a band.  The bands are chosen for the
-edit similarity that is accepted: where a share p of the words is replaced here and there, about q = (1 - p)^2 of the shingles
-stay, their similarity is s = q / (2 - q), and a band is shared with a probability of about s^3: 0.1 at p = 0.2, so with 32 bands a
-pair is missed with a probability of about 0.03 at p = 0.2, 0.002 at 0.15 and 0.00001 at 0.1; edits that lie together leave more shingles.
-A text of at most ``SHORT`` words has few shingles that an edit leaves alone, so it has as many bands again of single words.
-Candidates are verified by their edit distance in words, at most
-(1 - 0.8) of the longer text, computed in a diagonal band that doubles until the distance fits.
-
-Hot groups.  Texts that are equal are one node before anything is compared.  Each text has a parity sketch of its labelled words: one bit
-flips for each word that only one of two texts has, so the sketches and lengths give a lower bound of the edit distance; joins emit only
-pairs that this bound leaves possible, which drops no link.  In each bucket some leaders (1, then 4, 16, 64, ... in later rounds, each of
-one part of the bucket) are compared with all other members; members that fit a leader are done, the others go
-on to the next round, so the pairs of a bucket are never listed: a group of near copies costs one comparison a member.  What
-this leaves undecided is a done member and a later one of its bucket; where their classes differ and the bound allows a link, they
-are compared too, joined from the side of the members outside the bucket's largest class.  So every pair of a bucket is decided.
+Texts are compared as lower-cased words of letters and digits.  A shingle is five words, labelled with how often it has
+occurred before in its text.  A sketch takes, under one hash order, the least labelled shingles and keeps them in text
+order, so texts with the same shingles in another order differ; a sketch is a band.
+
+Bands follow from the edits that are accepted.  Where a share p of the words is replaced here and there, q = (1 - p)^5 of the
+shingles stay, their similarity is s = q / (2 - q), and a band of two shingles is shared with a probability of about s^2.  A pair is
+missed by all 80 bands with a probability of (1 - s^2)^80: 0.04 at p = 0.2, 0.001 at 0.15, below 0.000001 at 0.1.  Edits that
+lie together leave more shingles.  A text of at most ``MIDDLE`` words has few shingles that scattered edits leave alone, so it has bands of
+single labelled words too: with p of n words replaced, (1 - p) n of (1 + p) n words are common, so a band of three (texts of at most
+``SHORT`` words) is shared with a probability of 0.2 to 0.3 at p = 0.2, and a band of five (longer ones) of 0.1 to 0.13; 32 bands each miss below
+0.001 and 0.03.  Texts about the border of the two have both.
+
+Candidates are verified by their edit distance in words, at most (1 - 0.8) of the longer text, computed in a diagonal band
+that doubles until the distance fits.
+
+Hot groups.  Texts that are equal are one node before anything is compared.  In each bucket all members are compared with
+the first one; a bucket whose members are then of one class is done, so a group of near copies costs one
+comparison a member.  In the buckets that are left, leaders of more and more parts of the bucket are compared with the members of other classes, and
+at last all pairs of different classes that exact prefix filtering leaves are, so every pair of a bucket is decided and a passage that a
+third of all texts share costs no square of their number.  These joins emit only pairs that can be within the budget by an
+exact bound: one bit of a text's parity sketch flips for each labelled word, so two sketches differ in no more bits than the texts have words of their own.
 
 Classes are connected components by alternating large-star and small-star steps.  Every intermediate is a table in the
-shared folder; links and labels stay distributed.
+shared folder, deleted once it is not needed; links and labels stay distributed.
 
 Cases: null text is empty; equal texts form a class, so empty texts do; a text of one to four words is one shingle; a null id counts as the
-largest; repeated rows get equal results; other columns are not read.
-Words are compared by 32-bit hashes in the alignment.
+largest; repeated rows get equal results; other columns are not read by classes() and kept as they are by representatives(), whatever
+their names.  Texts are told apart by 120 bits of their SHA-256, words by 32-bit hashes in the alignment.
 """
 
 from __future__ import annotations
@@ -39,13 +43,13 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-SHINGLE, TAKEN, BANDS, SIMILARITY = 2, 3, 32, 0.8
-#: Words of a text that also has bands of single words.
-SHORT = 40
+SHINGLE, TAKEN, BANDS, SIMILARITY = 5, 2, 80, 0.8
+#: Bands of single words: texts of at most SHORT words, and texts from SIMILARITY times that to MIDDLE words.
+SHORT, MIDDLE, WORD_BANDS, SHORT_TAKEN, MIDDLE_TAKEN = 40, 160, 32, 3, 5
 #: log2 of the bits of a parity sketch, which is kept as longs.
 PARITY = 11
-#: The turn of a bucket's members that no round has decided.
-NEVER = 1 << 30
+#: Parts of a bucket with a leader each, by round.
+LEADERS = (4,)
 #: Bytes of text that are looked at together; workers of many small stages stay small.
 PART = 256 << 10
 _H: list[tc.Hasher] = []
@@ -61,7 +65,8 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _orders(bands: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(29))
-    return rng.integers(0, 1 << 63, bands, dtype=np.uint64)[:, None], (rng.integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+    xor, times = rng.integers(0, 1 << 32, (2, bands), dtype=np.uint32)
+    return xor[:, None], (times | np.uint32(1))[:, None]
 
 
 def labelled(words: np.ndarray, k: int = 5) -> np.ndarray:
@@ -75,27 +80,30 @@ def labelled(words: np.ndarray, k: int = 5) -> np.ndarray:
     return tc.mix(g + seen * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(words: np.ndarray, bands: int = BANDS, taken: int = TAKEN) -> np.ndarray:
-    """One value for each band: the hash of the least labelled shingles in text order; short texts have bands of single words behind these."""
-    found = [_bands(labelled(words, SHINGLE), bands, taken)]
+def sketch(words: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """The text's buckets, one for each band: hashes of the least labelled shingles in text order, with the band's kind and number."""
+    found = [_bands(labelled(words, SHINGLE), bands, TAKEN)]
     if len(words) <= SHORT:
-        found.append(_bands(labelled(words, 1), bands, taken))
+        found.append(_bands(labelled(words, 1), WORD_BANDS, SHORT_TAKEN))
+    if SIMILARITY * SHORT <= len(words) <= MIDDLE:
+        found.append(_bands(labelled(words, 1), WORD_BANDS, MIDDLE_TAKEN))
     return np.concatenate(found)
 
 
 def _bands(h: np.ndarray, bands: int, taken: int) -> np.ndarray:
     xor, times = _orders(bands)
-    step = max(1, (1 << 17) // max(1, len(h)))
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 18) // max(1, len(h)))
     out = []
     for b in range(0, bands, step):
-        v = (h ^ xor[b : b + step]) * times[b : b + step]
+        v = (low ^ xor[b : b + step]) * times[b : b + step]
         rows = np.arange(len(v))
         at = np.empty((min(taken, len(h)), len(v)), np.int64)
         for k in range(len(at)):
             at[k] = v.argmin(axis=1)
-            v[rows, at[k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            v[rows, at[k]] = np.uint32(0xFFFFFFFF)
         at.sort(axis=0)
-        key = np.full(len(v), np.uint64(len(at)))
+        key = np.uint64(taken << 16) + np.arange(b, b + len(v)).astype(np.uint64)
         for p in at:
             key = tc.mix(key * np.uint64(0xD6E8FEB86659FD93) + h[p])
         out.append(key)
@@ -108,10 +116,15 @@ def parity(words: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
-def _possible(n, bits, m, other, similarity: float):
-    """May texts of n and m words be within the budget?  An edit changes the difference of the bags by two at most."""
-    differ = sum((F.bit_count(bits[k].bitwiseXOR(other[k])) for k in range((1 << PARITY) // 64)), F.lit(0))
-    return differ + F.abs(n - m) <= 2 * F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)
+#: The longs of a parity sketch are columns: with an array's checks, the join's compiled method passes the size that a JVM optimises.
+BITS = tuple(f"b{k}" for k in range((1 << PARITY) // 64))
+
+
+def _possible(similarity: float):
+    """May the texts of n and x_n words be within the budget?  An edit changes the difference of the bags by two at most."""
+    limit, least = 2 * F.floor(F.greatest("n", "x_n") * (1 - similarity) + 1e-9), F.abs(F.col("n") - F.col("x_n"))
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in BITS), least)
+    return (least <= limit) & (differ <= limit)
 
 
 def banded(a: list, b: list, most: int) -> int:
@@ -194,108 +207,233 @@ class _Tables:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(path := f"{self.path}/{self.n:04d}")
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self) -> None:
+        hs.remove(self.spark, self.path)
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """One row per document: id, class_id (the least id of its class), class_size in documents, n_links and kept (it is the class's first document).
 
-    n_links counts the verified links of its text, not all texts near it: members of a class are not all compared with each other, so the
-    links are a subset that spans the class, and which ones depends on node ids and so on partitions.  The other columns do not.
-    """
-    nodes, ids, edges, labels = _solve(docs, id_col, text_col, similarity, bands)
-    groups = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    linked = edges.select("u").union(edges.select("v")).groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    size = groups.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    own = groups.join(size, "label").join(linked, "node", "left").select("h1", "h2", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+def classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS
+) -> DataFrame:
+    """One row per document: id, class_id (the least id of its class), class_size in documents and kept (it is the class's first document)."""
+    table = _Tables(docs.sparkSession)
+    groups, ids = _solve(table, docs, id_col, text_col, similarity, bands)
+    size = table(groups.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")))
+    own = _Tables(docs.sparkSession)(groups.join(size, "label").select("h1", "h2", "class_id", "class_size"))
+    table.forget()
     out = ids.join(own, ["h1", "h2"])
     kept = F.col("id").eqNullSafe(F.col("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", kept.alias("kept"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS
+) -> DataFrame:
     """The documents, all columns, with one row of each class: that of the least id."""
     spark = docs.sparkSession
-    nodes, ids, _, labels = _solve(docs, id_col, text_col, similarity, bands)
-    groups = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    table = _Tables(spark)
+    groups, ids = _solve(table, docs, id_col, text_col, similarity, bands)
     # Of equal ids the one with the least hash; so one (id, text) is chosen for each class.
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "h1", "h2")).alias("x")).select("x.*")
+    chosen = table(first.select("h1", F.col("h2").alias("check"), F.xxhash64("first").alias("id")))
     path = hs.shared_dir(spark, "kept")
-    chosen = _Tables(spark)(first.select(F.xxhash64("first", "h1", "h2").alias("key"), F.col("h1"), F.col("h2"), F.col("first").alias("id")))
-    bits = hs.write(chosen.select("key"), path)
-    again = ids.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "h1", "h2")
+    bits = hs.write(chosen, path)
+    again = ids.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    table.forget()
     columns = docs.columns
-    marked = docs.select(*columns, F.xxhash64(F.col(id_col), *_halves(F.col(text_col))).alias("__key"))
+    own = tc.free(columns, "h1", "h2", "id_hash")
+    marked = docs.select("*", *(x.alias(n) for x, n in zip((*_halves(F.col(text_col)), F.xxhash64(id_col)), own, strict=True)))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = hs.Store(path, bits, {"key": "u8"})
+        store = hs.Store(path, bits, {"key": "u8", "check": "i8", "id": "i8"})
         for batch in batches:
-            key = batch.column("__key").to_numpy().view(np.uint64)
-            yield batch.filter(pa.array(store.has(key)))
+            h1, h2, own_id = (batch.column(c).to_numpy() for c in own)
+            known, first = store.values(h1.view(np.uint64), h2, "id")
+            yield batch.filter(pa.array(known & (first == own_id)))
 
-    kinds = ", ".join(f"`{c}` {t.dataType.simpleString()}" for c, t in ((c, docs.schema[c]) for c in columns))
-    out = marked.mapInArrow(of, f"{kinds}, __key long")
-    if again.limit(1).count():  # rows that are repeated as a whole
-        out = out.dropDuplicates(["__key"])
-    return out.drop("__key")
+    out = marked.mapInArrow(of, marked.schema)
+    if again:  # rows whose id and text are repeated
+        out = out.dropDuplicates(own[:2])
+    return out.select(*(f"`{c}`" for c in columns))
 
 
 def _halves(text) -> tuple:
-    """128 bits of the text's SHA-256 as two longs."""
+    """120 bits of the text's SHA-256 as two longs."""
     x = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
     part = lambda a: F.conv(F.substring(x, a, 15), 16, 10).cast("long")
-    return part(1), part(16)
+    # Stores are bucketed by the top bits of their key, so the first half is moved there.
+    return F.shiftleft(part(1), 4), part(16)
 
 
-def _solve(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int):
-    spark = docs.sparkSession
-    table = _Tables(spark)
+def _solve(table: _Tables, docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (first, copies, h1, h2, label) and the rows' (id, h1, h2)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = tc.text_column(batch, "text")
             for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
-                found = [sketch(words[a:b], bands).view(np.int64) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
-                bits = [parity(words[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
+                each = [words[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                found = [sketch(w, bands).view(np.int64) if len(w) else None for w in each]
+                bits = [parity(w) if len(w) else None for w in each]
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bits)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "h1", "h2")), *lists, pa.array(np.diff(bounds), pa.int32())], ["id", "h1", "h2", "bands", "bits", "n"])
+                own = [batch.column(c).slice(i, j - i) for c in ("id", "h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*own, *lists, pa.array(np.diff(bounds), pa.int32())], names)
 
+    names = ["id", "h1", "h2", "buckets", "bits", "n"]
     h1, h2 = _halves(F.col(text_col))
     base = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = base.mapInArrow(sketched, f"id {kind}, h1 long, h2 long, bands array<long>, bits array<long>, n int")
-    texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    found = base.mapInArrow(sketched, f"{tc.kinds(base, ['id', 'h1', 'h2'])}, buckets array<long>, bits array<long>, n int")
+    one = [F.first(c).alias(c) for c in ("buckets", "bits", "n")]
+    texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), *one)
     nodes = table(texts.withColumn("node", F.monotonically_increasing_id()))
-    ids = base.select("id", "h1", "h2")
-
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
-    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = table(buckets.join(full, "bucket").join(nodes.select("node", "n", "bits"), "node"))
-    words = _candidate_words(table, docs, text_col, nodes.join(members.select("node").distinct(), "node", "left_semi"))
-    edges, fates = _rounds(table, members, words, similarity)
-    labels = _components(table, edges)
-    open_pairs = table(_open_pairs(table, fates, labels, similarity))
-    if open_pairs.limit(1).count():
-        more = table(_verified(open_pairs, words, similarity).where("near").select("u", "v"))
-        edges = table(edges.unionByName(more))
-        labels = _components(table, edges)
-    return nodes.select("node", "first", "copies", "h1", "h2"), ids, edges, labels
+    labels = _classes(table, docs, text_col, nodes, similarity)
+    groups = nodes.select("node", "first", "copies", "h1", "h2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return table(groups.drop("node")), base.select("id", "h1", "h2")
+
+
+def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, similarity: float) -> DataFrame:
+    """node and label (the least node of its class) of all nodes that share a bucket."""
+    listed = nodes.select("node", F.explode("buckets").alias("bucket"))
+    span = listed.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
+    full = table(span.where("leader < last").select("bucket", "leader"))
+    members = table(listed.join(full, "bucket").select("bucket", "node", "leader"))
+    labels = table(members.select("node").distinct().withColumn("label", F.col("node")))
+    sketches = table(nodes.select("node", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(BITS))).join(labels.select("node"), "node", "left_semi"))
+    words = _candidate_words(table, docs, text_col, nodes.join(labels.select("node"), "node", "left_semi"))
+    pairs = members.where("node > leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    known = table(_verified(_bounded(pairs, sketches, similarity), words, similarity))
+    labels = _joined(table, labels, known)
+    live = members.select("bucket", "node")
+    for turn, parts in enumerate((*LEADERS, 0)):
+        rows = live.join(labels, "node")
+        mixed = table(rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket"))
+        live = table(rows.join(mixed, "bucket").select("bucket", "node", "label"))
+        if not live.limit(1).count():
+            break
+        full_rows = table(live.join(sketches, "node"))
+        pairs = _led(table, full_rows, similarity, turn, parts) if parts else _all_pairs(table, full_rows, words, similarity)
+        pairs = table(pairs.distinct().join(known, ["u", "v"], "left_anti"))
+        if pairs.limit(1).count():
+            found = table(_verified(pairs, words, similarity))
+            labels, known = _joined(table, labels, found), known.unionByName(found)
+        live = live.drop("label")
+    return labels
+
+
+def _class_of(n, similarity: float):
+    """Classes of length: texts whose lengths the budget allows are at most one class apart."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.01 / similarity))).cast("int")
+
+
+def _renamed(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select(*names, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *BITS)))
+
+
+def _fits(similarity: float):
+    return (F.col("label") != F.col("x_label")) & _possible(similarity)
+
+
+def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: int) -> DataFrame:
+    """Pairs of each member and the leaders of the parts of its bucket, if they are of other classes and the bound allows a link."""
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
+    leaders = table(rows.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node")).select("bucket", "node"))
+    leading = table(_renamed(rows.join(leaders, ["bucket", "node"]), "bucket"))
+    return _pairs(rows.join(leading, "bucket").where(_fits(similarity)))
+
+
+def _all_pairs(table: _Tables, rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes among all given members that can be links, by exact prefix filtering.
+
+    Texts of n and m words within the budget have at least similarity * max(n, m) labelled words in common.  If each puts its words in one
+    common order, rarest first, they share one of their first floor((1 - similarity) n) + 1 words.  Words that no other text has need
+    no row, and those of a passage that many texts share come last, so such texts do not meet by it.
+    """
+    spark = rows.sparkSession
+    own = rows.select("node").distinct()
+    texts = table(words.join(own, "node", "left_semi"))
+
+    def labels(blob) -> np.ndarray:
+        return labelled(np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64), 1)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([labels(x) for x in batch.column("words")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    counts = texts.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("df")).where("df > 1")
+    path = hs.shared_dir(spark, "frequencies")
+    bits = hs.write(counts.select("word", "df"), path)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = hs.Store(path, bits, {"key": "u8", "df": "i8"})
+        for batch in batches:
+            nodes, out = [], []
+            for node, blob in zip(batch.column("node").to_pylist(), batch.column("words"), strict=True):
+                own = np.sort(labels(blob))
+                df = np.ones(len(own), np.int64)
+                for bucket, part, at, found in store.parts(own):
+                    df[part][found] = store.column(bucket, "df")[at[found]]
+                first = np.lexsort((own, df))[: budget(len(own), 0, similarity) + 1]
+                shared = own[first][df[first] > 1]
+                nodes.append(np.full(len(shared), node, np.int64))
+                out.append(shared.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out)], ["node", "word"])
+
+    each = rows.select("node", "n", "label", *BITS).distinct()
+    each = each.withColumn("length", _class_of(F.col("n"), similarity))
+    keyed = table(texts.mapInArrow(prefixes, "node long, word long").join(each, "node"))
+    kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
+    kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    keyed = table(keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most"))
+    # Joined from the side of members outside the word's largest class; a pair of two such comes from its larger node.
+    near = keyed.where("minor").withColumn("length", F.explode(F.array(*(F.col("length") + k for k in (-1, 0, 1)))))
+    once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
+    joined = keyed.join(_renamed(near, "word", "length"), ["word", "length"]).where(once & _fits(similarity))
+    pairs = table(_pairs(joined).distinct())
+    hs.remove(spark, path)
+    return pairs
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.greatest("node", "x_node").alias("u"), F.least("node", "x_node").alias("v"))
+
+
+def _bounded(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the bound allows."""
+    x = sketches.withColumnRenamed("node", "u")
+    y = sketches.select(F.col("node").alias("v"), *(F.col(c).alias(f"x_{c}") for c in ("n", *BITS)))
+    return pairs.join(y, "v").join(x, "u").where(_possible(similarity)).select("u", "v")
+
+
+def _joined(table: _Tables, labels: DataFrame, known: DataFrame) -> DataFrame:
+    """The labels after the verified links are added."""
+    ends = known.where("near").select("u", "v")
+    for end in ("u", "v"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+    new = _components(table, ends.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    return table(moved.select("node", F.coalesce("least", "label").alias("label")))
 
 
 def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
     """node and its words' hashes, for the nodes of buckets; texts are read again instead of being shuffled."""
     path = hs.shared_dir(docs.sparkSession, "candidates")
-    bits = hs.write(nodes.select("h1", "h2", "node").dropDuplicates(["h1"]), path)
+    bits = hs.write(nodes.select("h1", F.col("h2").alias("check"), "node"), path)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = hs.Store(path, bits, {"key": "u8", "h2": "i8", "node": "i8"})
+        store = hs.Store(path, bits, {"key": "u8", "check": "i8", "node": "i8"})
         done: set[int] = set()
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-            node, known = store.values(h1.view(np.uint64), "node")
-            known &= store.values(h1.view(np.uint64), "h2")[0] == h2
-            own = [k for k in np.flatnonzero(known).tolist() if node[k] not in done and not (len(done) < 1 << 20 and done.add(int(node[k])))]
+            known, node = store.values(h1.view(np.uint64), h2, "node")
+            own = []
+            for k in np.flatnonzero(known).tolist():
+                if node[k] not in done:  # a full memory only means that some are sent again
+                    own.append(k)
+                    if len(done) < 1 << 20:
+                        done.add(int(node[k]))
             col = tc.text_column(batch, "text").take(pa.array(own, pa.int64()))
             for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
@@ -305,7 +443,9 @@ def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: Data
 
     h1, h2 = _halves(F.col(text_col))
     found = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text")).mapInArrow(of, "node long, words binary")
-    return table(found.groupBy("node").agg(F.first("words").alias("words")))
+    out = table(found.groupBy("node").agg(F.first("words").alias("words")))
+    hs.remove(docs.sparkSession, path)
+    return out
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -320,63 +460,26 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
                 near.append(distance(a, b, most) <= most)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
 
-    both = pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("wv")), "v").join(words.select(F.col("node").alias("u"), F.col("words").alias("wu")), "u")
+    both = pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("wv")), "v")
+    both = both.join(words.select(F.col("node").alias("u"), F.col("words").alias("wu")), "u")
     return both.select("u", "v", "wu", "wv").mapInArrow(of, "u long, v long, near boolean")
 
 
-def _rounds(table: _Tables, members: DataFrame, words: DataFrame, similarity: float):
-    """Verified links (u > v), and the members with the turn in which each was decided and whether as a leader (led)."""
-    known, fates, every, parts, turn = None, None, members, 1, 0
-    while True:
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
-        leaders = table(members.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("leader")).select("bucket", "leader"))
-        leading = leaders.join(members.select("bucket", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("other")), ["bucket", "leader"])
-        fits = (F.col("node") != F.col("leader")) & _possible(F.col("n"), F.col("bits"), F.col("m"), F.col("other"), similarity)
-        pairs = table(members.join(leading, "bucket").where(fits).select("bucket", "node", F.greatest("node", "leader").alias("u"), F.least("node", "leader").alias("v")))
-        todo = pairs.select("u", "v").distinct()
-        if known is not None:
-            todo = todo.join(known, ["u", "v"], "left_anti")
-        found = _verified(todo, words, similarity)
-        known = table(found if known is None else known.unionByName(found))
-        done = pairs.join(known.where("near"), ["u", "v"], "left_semi").select("bucket", "node", F.lit(False).alias("led"))
-        gone = done.union(leaders.select("bucket", "leader", F.lit(True))).groupBy("bucket", "node").agg(F.max("led").alias("led"), F.lit(turn).alias("turn"))
-        gone = table(gone)
-        fates = gone if fates is None else fates.unionByName(gone)
-        left = members.join(gone, ["bucket", "node"], "left_anti")
-        left = table(left.join(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket"), "bucket"))
-        if not left.limit(1).count():
-            fates = every.join(fates, ["bucket", "node"], "left").withColumns({"led": F.coalesce("led", F.lit(False)), "turn": F.coalesce("turn", F.lit(NEVER))})
-            return known.where("near").select("u", "v"), fates
-        members, parts, turn = left, parts * 4, turn + 1
-
-
-def _open_pairs(table: _Tables, fates: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes in one bucket that no round has compared and the bound allows."""
-    rows = fates.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    kinds = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c"))
-    rows = table(rows.join(kinds.where("c > 1").select("bucket", "most"), "bucket").withColumn("minor", F.col("label") != F.col("most")).drop("most"))
-    x = rows.where(~F.col("led") & (F.col("turn") < NEVER)).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "bits", "label", "turn", "minor")))
-    later = (F.col("turn") > F.col("x_turn")) | ((F.col("turn") == F.col("x_turn")) & ~F.col("led"))
-    fits = later & (F.col("label") != F.col("x_label")) & _possible(F.col("n"), F.col("bits"), F.col("x_n"), F.col("x_bits"), similarity)
-    sides = (x.where("x_minor"), rows), (x.where("not x_minor"), rows.where("minor"))
-    pairs = [a.join(b, "bucket").where(fits).select(F.greatest("node", "x_node").alias("u"), F.least("node", "x_node").alias("v")) for a, b in sides]
-    return pairs[0].union(pairs[1]).distinct()
-
-
 def _components(table: _Tables, edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of all linked nodes."""
     now = table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = sign(now)
-    while True:
+    while before[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(low, "u")
-        small = small.select("v", "least").where("v <> least").union(low.select("u", "least")).toDF("u", "v").distinct()
-        now = table(small)
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v")
+        large = table(large.distinct())
+        low = table(large.groupBy("u").agg(F.min("v").alias("least")))
+        small = large.join(low, "u").select("v", "least").where("v <> least").union(low.select("u", "least")).toDF("u", "v")
+        now = table(small.distinct())
         after = sign(now)
         if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            break
         before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -26,6 +26,32 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def same(a: str, b: str) -> bool:
+    """Are these one column's name to Spark?"""
+    return a.lower() == b.lower()
+
+
+def others(columns: list[str], *results: str) -> list[str]:
+    """The columns that no result replaces."""
+    return [c for c in columns if not any(same(c, r) for r in results)]
+
+
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that no given column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kinds(df, columns: list[str]) -> str:
+    """The columns' part of a schema in DDL."""
+    return ", ".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def text_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """The column as large_string without nulls (null: empty)."""
     col = batch.column(name)

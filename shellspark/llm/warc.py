@@ -91,8 +91,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
         for batch in batches:
             payloads = _payloads(batch)
             key = np.array([_key(p) for p in payloads], np.int64).reshape(-1, 2)
-            first, known = kept.values(key[:, 0].view(np.uint64), "id")
-            known &= kept.values(key[:, 0].view(np.uint64), "check")[0] == key[:, 1]
+            known, first = kept.values(np.ascontiguousarray(key[:, 0]).view(np.uint64), key[:, 1], "id")
             ids, urls = batch.column("__id").to_pylist(), batch.column("__url").to_pylist()
             for k, p in enumerate(payloads):
                 own, url = ids[k], urls[k]
