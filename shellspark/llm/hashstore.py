@@ -138,6 +138,16 @@ class Store:
                 values[part][found] = self.column(bucket, name)[at[found]]
         return known[inverse], *(values[inverse] for values in out)
 
+    def lookup(self, keys: np.ndarray, *names: str) -> tuple:
+        """As values(), in a store whose keys are unique."""
+        own, inverse = np.unique(keys, return_inverse=True)
+        known, out = np.zeros(len(own), bool), [np.zeros(len(own), self.dtypes[name]) for name in names]
+        for bucket, part, at, found in self.parts(own):
+            known[part] = found
+            for values, name in zip(out, names, strict=True):
+                values[part][found] = self.column(bucket, name)[at[found]]
+        return known[inverse], *(values[inverse] for values in out)
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Membership of each key, in any order and repeated."""
         own, inverse = np.unique(keys, return_inverse=True)

@@ -1,18 +1,18 @@
 """Quality rules: lines that too many documents of a host share, and documents that little is left of.
 
-A line is compared as its lower-cased words, by a 64-bit hash.  For each host the distinct documents with a line are counted
-(copies of one text count once, so a copied document does not turn its own lines into boilerplate); a line is above the
-limit if more than ``min_docs`` documents and more than ``share`` of the host's documents have it.  By default the count alone
-decides, as a share asks for more documents the hotter the host and a high count is out of a small host's reach.  Lines above the
-limit are removed; a document that thereby loses more than ``most_removed`` of its words is depleted and rejected.
+A line is compared as its lower-cased words, by a 64-bit hash.  For each host the distinct documents with a line are counted.  Documents
+are told apart by their text, so a document that is copied does not turn its own lines into boilerplate, or by an id column
+(``count_by``).  A line of a host of h documents is above the limit if more than ``most_docs`` documents have it, or more than
+``few_docs`` and more than ``share`` of the h: the first holds for every size, and the second lets a small host's boilerplate be found.
+Lines above the limit are removed; a document that thereby loses more than ``most_removed`` of its words is depleted and rejected.
 
 Plan: distinct (host, line, text) hashes are counted with partial aggregation in two steps, so neither a hot host nor a
-hot line meets in one task; only lines above ``min_docs`` are joined to their host's size; the lines above the limit
+hot line meets in one task; only lines above ``few_docs`` are joined to their host's size; the lines above the limit
 become a sorted hash store that workers map, so documents are not shuffled.
 
 Cases: null text is empty and has no words, and is rejected by the base rules; null hosts are one host; lines without words are
 ignored and kept; an empty table gives an empty table; repeated rows are judged alike.  The verdicts come as one struct column
-whose name is a parameter; a column of that name in the input is replaced.
+whose name is a parameter; a column of that name in the input, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-MIN_DOCS, SHARE, MOST_REMOVED = 10, 0.0, 0.5
+MOST_DOCS, FEW_DOCS, SHARE, MOST_REMOVED = 10, 5, 0.1, 0.5
 #: Base rules.
 MIN_WORDS, REPEAT_WINDOW, MOST_REPEATED_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
@@ -65,20 +65,26 @@ def _lines(data: np.ndarray, offsets: np.ndarray, words: tuple):
     return a, b, first, last, row, _hasher().runs(word, first, last)
 
 
-def _host(batch: pa.RecordBatch) -> np.ndarray:
-    data, offsets = tc.raw(tc.text_column(batch, "__host"))
+def _hash(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    data, offsets = tc.raw(tc.text_column(batch, column))
     return _hasher()(data, offsets[:-1], offsets[1:])
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def _above(n: str, host_docs, most_docs: int, few_docs: int, share: float):
+    return (F.col(n) > most_docs) | ((F.col(n) > few_docs) & (F.col(n) > share * host_docs))
+
+
+def frequent_lines(
+    docs: DataFrame, text_col: str, host_col: str, most_docs: int = MOST_DOCS, few_docs: int = FEW_DOCS, share: float = SHARE, count_by: str | None = None
+) -> DataFrame:
     """host (hash), line (hash), n_docs and host_docs of each line above the limit."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col, hosts = tc.text_column(batch, "__text"), _host(batch)
+            col, hosts, docs = tc.text_column(batch, "text"), _hash(batch, "host"), _hash(batch, "doc")
             for i, j in tc.slices(col):
                 data, offsets = tc.raw(col.slice(i, j - i))
-                text = _hasher()(data, offsets[:-1], offsets[1:])
+                text = docs[i:j] if count_by else _hasher()(data, offsets[:-1], offsets[1:])
                 *_, row, h = _lines(data, offsets, tc.spans(data, offsets, tc.NOT_WHITE))
                 _, own = np.unique(_row_key(h, row), return_index=True)
                 row, h = row[own], h[own]
@@ -87,21 +93,34 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int
                 line, doc = np.concatenate([h, np.zeros(j - i, np.uint64)]), np.concatenate([text[row], text])
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (host, line, doc)], ["host", "line", "doc"])
 
-    found = docs.select(F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host")).mapInArrow(lines, "host long, line long, doc long")
+    doc = F.col(count_by).cast("string") if count_by else F.lit("")
+    texts = docs.select(F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), doc.alias("doc"))
+    found = texts.mapInArrow(lines, "host long, line long, doc long")
     counts = found.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.where((F.col("n_docs") > min_docs) | (F.col("line") == 0))
+    counts = counts.where((F.col("n_docs") > min(few_docs, most_docs)) | (F.col("line") == 0))
     # The hosts' own rows and the candidates come from one aggregation; a window by host would gather a hot host's lines.
     path = hs.shared_dir(docs.sparkSession, "lines")
     counts.write.parquet(path)
     counts = docs.sparkSession.read.parquet(path)
     hosts = counts.where("line = 0").select("host", F.col("n_docs").alias("host_docs"))
-    return counts.where("line <> 0").where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > share * F.col("host_docs"))
-
-
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", into: str = "quality", keep: list[str] | None = None, min_docs: int = MIN_DOCS, share: float = SHARE, most_removed: float = MOST_REMOVED) -> DataFrame:
+    return counts.where("line <> 0").join(hosts, "host").where(_above("n_docs", F.col("host_docs"), most_docs, few_docs, share))
+
+
+def judge(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    into: str = "quality",
+    keep: list[str] | None = None,
+    most_docs: int = MOST_DOCS,
+    few_docs: int = FEW_DOCS,
+    share: float = SHARE,
+    most_removed: float = MOST_REMOVED,
+    count_by: str | None = None,
+) -> DataFrame:
     """Columns ``keep`` (all, if not given) and a struct ``into`` with the measures, verdict and cleaned text."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
-    lines = frequent_lines(docs, text_col, host_col, min_docs, share)
+    keep = tc.others(docs.columns if keep is None else keep, into)
+    lines = frequent_lines(docs, text_col, host_col, most_docs, few_docs, share, count_by)
     path = hs.shared_dir(docs.sparkSession, "frequent")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +133,12 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", int
 
 
 def _judged(docs, text_col, host_col, into, keep, path, bits, most_removed) -> DataFrame:
+    own_text, own_host = tc.free([*keep, into], "text_", "host_")
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = hs.Store(path, bits, {"key": "u8"})
         for batch in batches:
-            col, hosts = tc.text_column(batch, "__text"), _host(batch)
+            col, hosts = tc.text_column(batch, own_text), _hash(batch, own_host)
             for i, j in tc.slices(col):
                 data, offsets = tc.raw(col.slice(i, j - i))
                 n = j - i
@@ -140,8 +161,8 @@ def _judged(docs, text_col, host_col, into, keep, path, bits, most_removed) -> D
                 struct = pa.StructArray.from_arrays(fields, [*MEASURES, "base_failed", "kept", "cleaned"])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, n) for c in keep), struct], [*keep, into])
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{into}` struct<{KIND}>"]
-    return docs.select(*keep, F.col(text_col).alias("__text"), F.col(host_col).cast("string").alias("__host")).mapInArrow(of, ", ".join(kinds))
+    kinds = ", ".join(x for x in (tc.kinds(docs, keep), f"`{into}` struct<{KIND}>") if x)
+    return docs.select(*keep, F.col(text_col).alias(own_text), F.col(host_col).cast("string").alias(own_host)).mapInArrow(of, kinds)
 
 
 def line_key(host: np.ndarray, line: np.ndarray) -> np.ndarray:

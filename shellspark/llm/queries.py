@@ -102,9 +102,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality, op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter)
+    own = (
+        op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality,
+        op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import sql
+
+    return {"op5_line_quality": sql.LINE_QUALITY, "op8_warc": sql.WARC}

@@ -1,14 +1,21 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
-The trees are fitted on the driver from labelled urls: of the distinct ones, at most ``MOST_TRAINING``, those with the
-least hash of the url (a documented bound; all other steps cover all rows).  Features: lengths of url, host and path,
-path depth, host labels, digit ratio, other-character ratio, entropy of the characters, query parameters, fragment, hyphens, longest run
-of digits' share, and two statistics of the host's suffix (its last label) among the labelled urls: how often it occurs and its
-smoothed share of blocked ones.
+Labels.  The trees learn from labelled urls that the caller gives (columns url and block).  Without such, ``seeded`` labels the urls of the
+pages themselves: block, where a part of the host (between dots and hyphens) is a word of ``SEEDS``, else allow.  Labels are never
+made from the rules.  The trees do not see the words, only the features below, so what they learn holds for hosts that no list names.
+
+Features.  Lengths of url, host, path and the host's longest label, path depth, labels of the host, digit ratio, other-character ratio, entropy
+of the url's and of the host's characters, query parameters, fragment, hyphens of url and host, digits of the host, share of
+vowels in the host, and for two suffixes of the host (its last label and its last two) how many labelled rows have it and
+its smoothed share of blocked ones.  These counts cover all labelled rows and are a sorted hash store that workers map.  For fitting they are
+out of fold: rows are cut into ``FOLDS`` folds by host, and a row's counts leave out its own fold.
+
+The trees are fitted on the driver from about ``MOST_TRAINING`` of the distinct labelled urls at most, those whose hash is below a
+threshold (a documented bound; all other steps cover all rows).
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule, and is judged by the trees; without labelled urls, or with
-labels of one kind only, the trees give that share; equal urls get equal verdicts; an empty table gives an empty table;
-columns of the input with the names of results are replaced.
+labels of one kind only, the trees give that share (none: allow); a url labelled both ways is two rows; equal urls get equal verdicts; an
+empty table gives an empty table; columns of the input with the names of results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashstore as hs
 from . import textcore as tc
 
-MOST_TRAINING, TREES, DEPTH, RATE, BINS = 20_000, 40, 3, 0.2, 32
+MOST_TRAINING, TREES, DEPTH, RATE, BINS, FOLDS, SMOOTH = 20_000, 40, 3, 0.2, 32, 5, 20
+#: Words by which ``seeded`` labels a host.
+SEEDS = ("ad", "ads", "adult", "bet", "bets", "betting", "casino", "casinos", "drugs", "gambling", "loans", "malware", "phishing", "pills", "poker", "porn", "slots", "spam", "tracker", "viagra", "warez", "xxx")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of urls that are looked at together.
 PART = 256 << 10
-FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "other_ratio", "entropy", "parameters", "fragment", "hyphens", "host_digits", "suffix_count", "suffix_share")
+FEATURES = (
+    "length", "host_length", "path_length", "longest_label", "depth", "host_labels", "digit_ratio", "other_ratio", "entropy", "host_entropy",
+    "parameters", "fragment", "hyphens", "host_hyphens", "host_digits", "host_vowels", "suffix1_count", "suffix1_share", "suffix2_count", "suffix2_share",
+)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -48,17 +61,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _suffix(hosts: pa.Array) -> np.ndarray:
-    """Hash of each host's last label."""
-    data, offsets = tc.raw(hosts)
-    label = np.ones(256, dtype=bool)
-    label[46] = False
-    starts, ends, bounds = tc.spans(data, offsets, label)
-    last = bounds[1:] - 1
-    out = np.zeros(len(hosts), np.uint64)
-    full = bounds[1:] > bounds[:-1]
-    out[full] = tc.Hasher(31)(data, starts, ends)[last[full]]
-    return out
+def seeded(urls: DataFrame, url_col: str = "url", words: tuple[str, ...] = SEEDS) -> DataFrame:
+    """url and block: has the host a part that is one of the words?  Rows without a host have no label."""
+    host = host_path(F.col(url_col))[0]
+    block = F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, words)))
+    return urls.select(F.col(url_col).alias("url"), block.alias("block")).where(host != "")
+
+
+def suffix_keys(host: Column) -> tuple[Column, Column]:
+    """Keys of the host's last label and of its last two."""
+    return tuple(F.xxhash64(F.lit(k), F.substring_index(host, ".", -k)) for k in (1, 2))
 
 
 def _count(data: np.ndarray, offsets: np.ndarray, chars: bytes) -> np.ndarray:
@@ -67,70 +79,88 @@ def _count(data: np.ndarray, offsets: np.ndarray, chars: bytes) -> np.ndarray:
     return tc.totals(own[data], offsets).astype(np.float64)
 
 
+def _entropy(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    n, size = len(offsets) - 1, np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    seen = np.bincount(row * 256 + data, minlength=256 * n).reshape(-1, 256) / np.maximum(size, 1)[:, None]
+    return -(seen * np.log2(np.where(seen > 0, seen, 1))).sum(axis=1)
+
+
+def _longest(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Length of each host's longest label."""
+    label = np.ones(256, dtype=bool)
+    label[46] = False
+    starts, ends, bounds = tc.spans(data, offsets, label)
+    out = np.zeros(len(offsets) - 1)
+    np.maximum.at(out, np.repeat(np.arange(len(out)), np.diff(bounds)), ends - starts)
+    return out
+
+
+def lexical(url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
+    """The features but those of the suffixes."""
+    (data, offsets), h, p = tc.raw(url), tc.raw(host), tc.raw(path)
+    size = np.diff(offsets).astype(np.float64)
+    some, host_size = np.maximum(size, 1), np.diff(h[1])
+    digits, letters = (_count(data, offsets, x) for x in (b"0123456789", (LOWERED + UPPER).encode()))
+    columns = (
+        size, host_size, np.diff(p[1]), _longest(*h), _count(*p, b"/"), _count(*h, b".") + (host_size > 0), digits / some, (size - digits - letters) / some,
+        _entropy(data, offsets), _entropy(*h), _count(data, offsets, b"&?"), _count(data, offsets, b"#"), _count(data, offsets, b"-"), _count(*h, b"-"),
+        _count(*h, b"0123456789"), _count(*h, b"aeiouy") / np.maximum(host_size, 1),
+    )
+    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
+
+
+def with_suffixes(x: np.ndarray, counts: np.ndarray, blocked: np.ndarray, mean: float) -> np.ndarray:
+    """All features: counts and blocked have a column for each of the two suffixes."""
+    share = (blocked + SMOOTH * mean) / (counts + SMOOTH)
+    return np.concatenate([x, np.log1p(counts[:, :1]), share[:, :1], np.log1p(counts[:, 1:]), share[:, 1:]], axis=1)
+
+
 @dataclass
 class Model:
-    """Trees of one depth as arrays: feature and threshold of each inner node, value of each leaf."""
+    """Trees of one depth as arrays: feature and threshold of each inner node, value of each leaf; and where the suffixes' counts are."""
 
-    prior: float = 0.0
-    suffixes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    prior: float = -10.0
     mean: float = 0.0
     trees: list = field(default_factory=list)
+    path: str = ""
+    bits: int = 0
 
-    def features(self, url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
-        data, offsets = tc.raw(url)
-        size = np.diff(offsets).astype(np.float64)
-        some = np.maximum(size, 1)
-        row = np.repeat(np.arange(len(url)), np.diff(offsets))
-        seen = np.bincount(row * 256 + data, minlength=256 * len(url)).reshape(-1, 256) / some[:, None]
-        entropy = -(seen * np.log2(np.where(seen > 0, seen, 1))).sum(axis=1)
-        h, p = tc.raw(host), tc.raw(path)
-        digits, letters = _count(data, offsets, b"0123456789"), _count(data, offsets, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        suffix = _suffix(host)
-        at = np.searchsorted(self.suffixes, suffix)
-        at[at == len(self.suffixes)] = 0
-        known = self.suffixes[at] == suffix if len(self.suffixes) else np.zeros(len(suffix), bool)
-        count, share = np.zeros(len(suffix)), np.full(len(suffix), self.mean)
-        count[known], share[known] = np.log1p(self.counts[at[known]]), self.shares[at[known]]
-        columns = (size, np.diff(h[1]), np.diff(p[1]), _count(*p, b"/"), _count(*h, b".") + (np.diff(h[1]) > 0), digits / some, (size - digits - letters) / some, entropy, _count(data, offsets, b"&?"), _count(data, offsets, b"#"), _count(data, offsets, b"-"), _count(*h, b"0123456789"), count, share)
-        return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
+    def suffixes(self) -> hs.Store:
+        return hs.Store(self.path, self.bits, {"key": "u8", "n": "i8", "blocked": "i8"})
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Log odds of block."""
         out = np.full(len(x), self.prior)
-        for feature, threshold, leaf in self.trees:
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > threshold[node])
-            out += leaf[node - len(feature)]
+        for tree in self.trees:
+            out += _leaf(tree, x)
         return out
 
 
-def fit(urls: list[str], hosts: list[str], paths: list[str], y: np.ndarray) -> Model:
+def _leaf(tree: tuple, x: np.ndarray) -> np.ndarray:
+    feature, threshold, leaf = tree
+    node = np.zeros(len(x), np.int64)
+    for _ in range(DEPTH):
+        node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > threshold[node])
+    return leaf[node - len(feature)]
+
+
+def fit(x: np.ndarray, y: np.ndarray, model: Model | None = None) -> Model:
     """Boosted trees for logistic loss, by Newton steps over feature quantiles."""
-    model = Model()
+    model = model or Model()
     if not len(y):
-        model.prior = -10.0
         return model
-    model.mean = float(y.mean())
-    suffix, inverse, counts = np.unique(_suffix(pa.array(hosts, pa.large_string())), return_inverse=True, return_counts=True)
-    model.suffixes, model.counts = suffix, counts.astype(np.float64)
-    model.shares = (np.bincount(inverse, y) + 20 * model.mean) / (counts + 20)
     model.prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if 0 < y.sum() < len(y):
-        x = model.features(*(pa.array(c, pa.large_string()) for c in (urls, hosts, paths)))
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+        # Rare blocked urls have quantiles of their own.
+        cuts = [np.unique(np.concatenate([c, np.quantile(x[y > 0, f], np.linspace(0, 1, 9), method="lower") - 1e-9])) for f, c in enumerate(cuts)]
         bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
         out = np.full(len(y), model.prior)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-out))
             model.trees.append(_tree(bins, cuts, p - y, np.maximum(p * (1 - p), 1e-6)))
-            feature, threshold, leaf = model.trees[-1]
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > threshold[node])
-            out += leaf[node - len(feature)]
+            out += _leaf(model.trees[-1], x)
     return model
 
 
@@ -160,37 +190,68 @@ def _tree(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray
 
 
 def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
-    """Fit from rows (url, host, path, block boolean)."""
-    rows = labelled.distinct().orderBy(F.xxhash64("url"), "url", "block").limit(most).collect()
-    return fit([r.url or "" for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([r.block for r in rows], np.float64))
+    """Fit from rows (url, block boolean)."""
+    spark = labelled.sparkSession
+    host, path = host_path(F.col("url"))
+    rows = labelled.where("block is not null").select("url", host.alias("host"), path.alias("path"), "block")
+    k1, k2 = suffix_keys(F.col("host"))
+    rows = rows.withColumns({"k1": k1, "k2": k2, "fold": F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS))})
+    model = Model(path=hs.shared_dir(spark, "suffixes"))
+    each = rows.select(F.explode(F.array("k1", "k2")).alias("key"), "fold", F.col("block").cast("long").alias("b"))
+    folds = f"{model.path}-folds"
+    each.groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("blocked")).write.parquet(folds)
+    counts = spark.read.parquet(folds)
+    model.bits = hs.write(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), model.path)
+    n, blocked = counts.agg(F.sum("n") / 2, F.sum("blocked") / 2).first()
+    if n:
+        model.mean = blocked / n
+        # The least hashes of distinct urls: about ``most`` of them, found without sending more than these.
+        distinct = rows.agg(F.approx_count_distinct("url", 0.02)).first()[0]
+        below = min((1 << 63) - 1, int(0.95 * most / max(1, distinct) * (1 << 63)))
+        sample = rows.where(F.xxhash64("url").bitwiseAND((1 << 63) - 1) <= below).distinct().orderBy(F.xxhash64("url"), "url", "block").limit(most)
+        sample = sample.collect()
+        wanted = spark.createDataFrame([(k,) for k in sorted({k for r in sample for k in (r.k1, r.k2)})] or [(0,)], "key long")
+        found = {(r.key, r.fold): (r.n, r.blocked) for r in counts.join(F.broadcast(wanted), "key").collect()}  # 2 * most keys in FOLDS folds
+        out_of_fold = np.zeros((len(sample), 2, 2))
+        for k, r in enumerate(sample):
+            for j, key in enumerate((r.k1, r.k2)):
+                out_of_fold[k, j] = np.sum([found.get((key, f), (0, 0)) for f in range(FOLDS) if f != r.fold], axis=0)
+        x = lexical(*(pa.array([r[c] or "" for r in sample], pa.large_string()) for c in ("url", "host", "path")))
+        x = with_suffixes(x, out_of_fold[:, :, 0], out_of_fold[:, :, 1], model.mean)
+        fit(x, np.array([r.block for r in sample], np.float64), model)
+    hs.remove(spark, folds)
+    return model
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all, if not given), host, path, rule, verdict and score (the trees' probability of block).
 
-    labelled: urls with a boolean column ``block``; by default those of ``pages`` that a rule decides.
+    labelled: urls with a boolean column ``block``; by default the pages' own urls, labelled by ``seeded``.
     """
     results = ("host", "path", "rule", "verdict", "score")
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in results]
+    keep = tc.others(pages.columns if keep is None else keep, *results)
+    u, h, p, r, v, k1, k2 = own = tc.free([*keep, *results], "url_", "host_", "path_", "rule_", "verdict_", "key1_", "key2_")
     host, path = host_path(F.col(url_col))
-    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    rows = pages.select(*keep, F.col(url_col).alias("__url"), host.alias("__host"), path.alias("__path")).withColumn("__rule", rule).withColumn("__verdict", verdict)
-    if labelled is None:
-        labelled = rows.where("__rule is not null").select(F.col("__url").alias("url"), (F.col("__verdict") == "block").alias("block"))
-    h, p = host_path(F.col("url"))
-    model = train(labelled.select("url", h.alias("host"), p.alias("path"), "block"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)  # at most MOST_TRAINING suffixes and TREES trees
+    rows = pages.select(*keep, F.col(url_col).alias(u), host.alias(h), path.alias(p))
+    rule, verdict = rule_of(F.col(h), F.col(p), rules)
+    keys = suffix_keys(F.col(h))
+    rows = rows.withColumns({r: rule, v: verdict, k1: keys[0], k2: keys[1]})
+    model = train(seeded(pages, url_col) if labelled is None else labelled.select("url", "block"))
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees, whatever the input
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        store = model.suffixes()
         for batch in batches:
-            url, host, path = (tc.text_column(batch, c) for c in ("__url", "__host", "__path"))
+            url, host, path = (tc.text_column(batch, c) for c in (u, h, p))
             for i, j in tc.slices(url, PART):
-                own = [c.slice(i, j - i) for c in (url, host, path)]
-                p = 1 / (1 + np.exp(-shared.value.score(shared.value.features(*own))))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keep, "__host", "__path", "__rule", "__verdict")), pa.array(p)], [*keep, "__host", "__path", "__rule", "__verdict", "score"])
+                counts = [store.lookup(part.column(c).to_numpy().view(np.uint64), "n", "blocked") for c in (k1, k2)]
+                n, blocked = (np.stack([c[m] for c in counts], axis=1).astype(np.float64) for m in (1, 2))
+                x = with_suffixes(lexical(*(c.slice(i, j - i) for c in (url, host, path))), n, blocked, model.mean)
+                score = 1 / (1 + np.exp(-model.score(x)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keep, h, p, r, v)), pa.array(score)], [*keep, h, p, r, v, "score"])
 
-    kinds = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep), "__host string, __path string, __rule string, __verdict string, score double"])
-    out = rows.mapInArrow(of, kinds)
+    out = rows.mapInArrow(of, ", ".join(x for x in (tc.kinds(pages, keep), f"`{h}` string, `{p}` string, `{r}` string, `{v}` string, score double") if x))
     by_model = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(*keep, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", by_model).alias("verdict"), "score")
+    return out.select(*keep, F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), F.coalesce(F.col(v), by_model).alias("verdict"), "score")

@@ -127,11 +127,13 @@ def test_frequent_lines_are_counted_by_distinct_text_and_host(spark):
     texts += [(40 + k, f"{prose(30, 7)}\nheld by copies only", "a") for k in range(9)]  # copies of one text
     texts += [(60 + k, f"common line here\n{unique(60 + k)}", "b") for k in range(3)]
     docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in texts], KINDS)
-    out = {r.doc_id: r.q for r in lq.judge(docs, into="q", min_docs=5, share=0.5, most_removed=0.3).collect()}
+    out = {r.doc_id: r.q for r in lq.judge(docs, into="q", most_docs=99, few_docs=5, share=0.5, most_removed=0.3).collect()}
     assert all(out[k].n_removed_lines == 1 and out[k].n_removed_words == 3 and out[k].kept and out[k].cleaned == unique(k) for k in range(8))
     assert all(out[20 + k].n_removed_lines == 4 and not out[20 + k].kept for k in range(2))
     assert all(out[40 + k].n_removed_lines == 0 and out[40 + k].kept for k in range(9))
     assert all(out[60 + k].n_removed_lines == 0 for k in range(3))
+    by_id = {r.doc_id: r.q for r in lq.judge(docs, into="q", most_docs=8, few_docs=8, count_by="doc_id").collect()}
+    assert all(by_id[40 + k].n_removed_lines == 2 and not by_id[40 + k].kept for k in range(9))  # nine documents, if ids count
 
 
 def test_licenses(spark, docs, empty):

@@ -1,12 +1,16 @@
 """Cases of the advice of round 1: what an operator accepts or is for, it must also find."""
 
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from conftest_llm import KINDS, prose
+from shellspark.llm import line_quality as lq
 from shellspark.llm import order_minhash as om
 from shellspark.llm import queries
 
@@ -88,10 +92,48 @@ def test_many_texts_that_share_a_passage_are_told_apart(spark):
 
 def test_shared_lines_go_under_production_limits(spark, tmp_path):
     line = "all rights reserved by the example host"
-    hosts = {"small": (40, 11), "hot": (1500, 120), "below": (40, 10)}  # texts, and those with the line
+    # Texts, and those with the line: above a share, above a count, below either.
+    hosts = {"small": (40, 6), "middle": (400, 11), "hot": (1500, 120), "below": (40, 5), "under": (400, 10)}
     texts = [(f"{prose(40, 10000 * h + k)}\n{line if k < n else prose(7, 10000 * h + 5000 + k)}", host) for h, (host, (size, n)) in enumerate(hosts.items()) for k in range(size)]
     spark.createDataFrame([(k, t, "en", host, len(t)) for k, (t, host) in enumerate(texts)], KINDS).write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.doc_id: r for r in queries.op5_line_quality(spark, str(tmp_path)).collect()}
     for k, (t, host) in enumerate(texts):
-        gone = t.endswith(line) and host != "below"
+        gone = t.endswith(line) and host not in ("below", "under")
         assert (out[k].n_removed_lines, out[k].n_removed_words) == ((1, 7) if gone else (0, 0)), (k, host)
+
+
+@pytest.mark.parametrize("name", ["op5_line_quality", "op8_warc"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_queries_equal_their_sql(spark, name, sf):
+    d = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{d}/{table}.parquet'")
+    got = queries.queries()[name](spark, d)
+    rows = con.sql(queries.oracle_sql()[name])
+    expected = Counter(rows.select(*(duckdb.ColumnExpression(c) for c in got.columns)).fetchall())
+    assert sorted(rows.columns) == sorted(got.columns) and Counter(map(tuple, got.collect())) == expected
+    if (name, sf) == ("op5_line_quality", "sf0.01"):
+        assert got.where("n_removed_lines > 0").count() > 50
+
+
+def test_line_counts_equal_brute_force_over_a_table(spark):
+    """With limits that reject many documents, over a whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    seen, size = defaultdict(set), defaultdict(set)
+    lines = lambda t: [" ".join(w) for x in (t or "").split("\n") if (w := re.findall("[^\x20\x09-\x0d]+", x.translate({65 + i: 97 + i for i in range(26)})))]
+    for r in rows:
+        size[r.source].add(r.text)
+        for x in lines(r.text):
+            seen[r.source, x].add(r.text)
+    gone = {k for k, v in seen.items() if len(v) > 4 or (len(v) > 1 and len(v) > 0.03 * len(size[k[0]]))}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r.doc_id: r.q for r in lq.judge(docs, into="q", keep=["doc_id"], most_docs=4, few_docs=1, share=0.03).collect()}
+    depleted = 0
+    for r in rows:
+        removed = sum(len(x.split(" ")) for x in lines(r.text) if (r.source, x) in gone)
+        assert out[r.doc_id].n_removed_words == removed
+        n = out[r.doc_id].n_words
+        assert out[r.doc_id].kept == (not out[r.doc_id].base_failed and removed <= 0.5 * n)
+        depleted += not out[r.doc_id].base_failed and removed > 0.5 * n
+    assert depleted > 0
