@@ -9,7 +9,7 @@ Items are sent to the workers in blocks of at most ``BLOCK`` bytes, a pass over
 
 Cases: null texts are empty; an item without words fits nothing; items of fewer than 1/rate words are matched unchanged; equal
 texts under different ids are all reported, repeated items once; an empty table gives an empty table.  Hits come as one array column whose name is a
-parameter; a column of that name in the input is replaced.
+parameter; a column of that name in the input, in any case, is replaced.  Item ids may be of any type.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textcore as tc
 
 RATE = 0.2
 BLOCK = 32 << 20
-HIT = "struct<item_id: bigint, errors: int, start_word: int, end_word: int>"
+HIT = "struct<item_id: {}, errors: int, start_word: int, end_word: int>"
 _H: list[tc.Hasher] = []
 
 
@@ -87,9 +88,18 @@ def _index(items: list[tuple[int, np.ndarray]], rate: float):
     return {length: (np.array([x[0] for x in sorted(own)], np.uint64), [x[1:] for x in sorted(own)]) for length, own in by.items()}
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str = "hits", keep: list[str] | None = None, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def find(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    into: str = "hits",
+    keep: list[str] | None = None,
+    rate: float = RATE,
+    block: int = BLOCK,
+) -> DataFrame:
     """Columns ``keep`` (all, if not given) and ``into``: the items found in the text, each with its least distance and place."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
+    keep = tc.others(docs.columns if keep is None else keep, into)
+    text, hits = own = tc.free([*keep, into], "text_", "hits_")
     items = items.select("item_id", "text").distinct()
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     total, longest = items.agg(F.sum(size), F.max(size)).first()
@@ -99,16 +109,19 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", into: str =
         blocks = -(-2 * total // limit)
         while items.groupBy(by_block(blocks)).agg(F.sum(size).alias("size")).agg(F.max("size")).first()[0] > limit:
             blocks *= 2
-    out = docs.select(*keep, F.col(text_col).alias("__text"), F.array().cast(f"array<{HIT}>").alias("__hits"))
+    kind = items.schema["item_id"].dataType
+    ddl = HIT.format(kind.simpleString())
+    out = docs.select(*keep, F.col(text_col).alias(text), F.array().cast(f"array<{ddl}>").alias(hits))
     for b in range(blocks):
-        own = [(r.item_id, item_words(r.text)) for r in items.where(by_block(blocks) == b).orderBy("item_id", "text").collect()]
-        out = _scan(out, [x for x in own if len(x[1])], rate, keep)
-    return out.select(*keep, F.col("__hits").alias(into))
+        part = [(r.item_id, item_words(r.text)) for r in items.where(by_block(blocks) == b).orderBy("item_id", "text").collect()]
+        out = _scan(out, [x for x in part if len(x[1])], rate, keep, own, kind)
+    return out.select(*keep, F.col(hits).alias(into))
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], rate: float, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    hit = pa.struct([("item_id", pa.int64()), ("errors", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
+def _scan(docs: DataFrame, items: list[tuple], rate: float, keep: list[str], own: list[str], kind) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK bytes of items
+    hit = pa.struct([("item_id", to_arrow_type(kind)), ("errors", pa.int32()), ("start_word", pa.int32()), ("end_word", pa.int32())])
+    own_text, own_hits = own
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -118,7 +131,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], rate: float, kee
             quick[length] = np.zeros(1 << 20, bool)
             quick[length][(h >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            col = tc.text_column(batch, "__text")
+            col = tc.text_column(batch, own_text)
             hits: list[dict] = [{} for _ in range(len(col))]
             for i, j in tc.slices(col):
                 words, bounds = _words(*tc.raw(col.slice(i, j - i)))
@@ -130,12 +143,11 @@ def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], rate: float, kee
                     if errors <= e:
                         place = (errors, int(max(a, a + end - n - errors) - bounds[row]), int(a + end - bounds[row]))
                         hits[i + row][item] = min(place, hits[i + row].get(item, place))
-            old = batch.column("__hits").to_pylist()
+            old = batch.column(own_hits).to_pylist()
             found = [(o or []) + [dict(zip(hit.names, (items[k][0], *v), strict=True)) for k, v in sorted(x.items())] for o, x in zip(old, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "__text")), pa.array(found, pa.list_(hit))], [*keep, "__text", "__hits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, own_text)), pa.array(found, pa.list_(hit))], [*keep, *own])
 
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "__text string", f"__hits array<{HIT}>"])
-    return docs.select(*keep, "__text", "__hits").mapInArrow(of, kinds)
+    return docs.mapInArrow(of, tc.kinds(docs, [*keep, *own]))
 
 
 def _candidates(words: np.ndarray, bounds: np.ndarray, index: dict, quick: dict) -> set[tuple[int, int, int]]:

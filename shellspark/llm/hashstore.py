@@ -8,6 +8,7 @@ A lookup sorts its keys once and searches each bucket's mapped array; nothing is
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -18,8 +19,7 @@ from pyspark.sql import SparkSession
 
 from shellspark.plans.staging import shared_dir
 
-#: Made here for the operators: folders of the shared folder.
-__all__ = ["Sink", "Store", "bits_for", "bucket_of", "mapped", "put", "remove", "shared_dir", "source", "write"]
+__all__ = ["Sink", "Store", "arrays", "bits_for", "bucket_of", "mapped", "put", "put_arrays", "remove", "shared_dir", "source", "write"]
 
 
 def _fs(uri: str):
@@ -69,6 +69,29 @@ def mapped(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+def put_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write named arrays as one file that arrays() maps."""
+    kinds = [(name, x.dtype.str, len(x)) for name, x in arrays.items()]
+    head = json.dumps(kinds).encode()
+    head = len(head).to_bytes(8, "little") + head
+    parts = [head, bytes(-len(head) % 8)]
+    for x in arrays.values():
+        parts += [np.ascontiguousarray(x), bytes(-x.nbytes % 8)]
+    put(uri, *parts)
+
+
+def arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file of put_arrays(), memory-mapped."""
+    raw = mapped(uri, "u1")
+    size = int.from_bytes(raw[:8].tobytes(), "little")
+    at, out = 8 + size + -(8 + size) % 8, {}
+    for name, kind, n in json.loads(raw[8 : 8 + size].tobytes()):
+        width = np.dtype(kind).itemsize * n
+        out[name] = raw[at : at + width].view(kind)
+        at += width + -width % 8
+    return out
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder that later steps no longer read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)

@@ -10,11 +10,13 @@ distinct shingles in the window and its surroundings of W shingles to each side.
 
 Cases: null and empty texts have no license; a text or template of fewer words than a shingle is one shingle of its words; an
 occurrence is reported once for each document and template, with the best containment and the first word of the
-window; repeated rows are reported alike.  Templates are few and given by the caller: ``BLOCK`` bounds their size.
+window; repeated rows are reported alike; an id column with a result's name, in any case, is replaced.  Templates are sent to the workers in
+blocks of about ``BLOCK`` characters, a pass over the documents for each block.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,18 +109,36 @@ class _Templates:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), least: float = CONTAINMENT) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    text_col: str = "text",
+    id_cols: tuple[str, ...] = ("doc_id",),
+    least: float = CONTAINMENT,
+    block: int = BLOCK,
+) -> DataFrame:
     """id columns, license, containment, n_words of the template's window and its first word, for each license found in a text."""
-    given = TEMPLATES if templates is None else templates
-    if sum(map(len, given.values())) > BLOCK:
-        raise ValueError(f"templates of more than {BLOCK} characters")
-    keep = list(id_cols)
+    blocks: list[dict[str, str]] = [{}]
+    size = 0
+    for name, text in sorted((TEMPLATES if templates is None else templates).items()):
+        if blocks[-1] and size + len(text) > block:
+            blocks.append({})
+            size = 0
+        blocks[-1][name] = text
+        size += len(text)
+    keep = tc.others(id_cols, "license", "containment", "start_word", "window")
+    out = [_scan(docs, given, text_col, keep, least) for given in blocks]
+    return functools.reduce(DataFrame.unionAll, out)
+
+
+def _scan(docs: DataFrame, given: dict[str, str], text_col: str, keep: list[str], least: float) -> DataFrame:
+    own_text = tc.free(keep, "text_")[0]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Templates(given)
         level_of = {k: level for level, ks in own.levels.items() for k in ks}
         for batch in batches:
-            col = tc.text_column(batch, "__text")
+            col = tc.text_column(batch, own_text)
             for i, j in tc.slices(col):
                 g, bounds = _shingles(*tc.raw(col.slice(i, j - i)))
                 best: dict[tuple[int, int], tuple[float, int]] = {}
@@ -133,5 +153,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
                 rows = pa.array([i + x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), *(pa.array([x[n] for x in found], kind) for n, kind in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], [*keep, "license", "containment", "start_word", "window"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(of, f"{kinds}, license string, containment double, start_word long, window long")
+    kinds = ", ".join(x for x in (tc.kinds(docs, keep), "license string, containment double, start_word long, window long") if x)
+    return docs.select(*keep, F.col(text_col).alias(own_text)).mapInArrow(of, kinds)

@@ -7,13 +7,12 @@ the next mark), one after another.  Each distinct marked word is segmented once
 results are kept as a sorted hash store in the shared folder, and documents look their words up in it by a
 memory-mapped search: no document text is shuffled, only distinct words are.
 
-Words are keyed by two independent 64-bit hashes.  A word of more than ``LONG`` bytes, and any word whose first
-hash is shared by another word of the table, stays out of it and is segmented where it stands, by the library
-too, so results do not depend on hashes being distinct.
+Words are keyed by two independent 64-bit hashes.  A word that shares its first hash with another word of its slice is segmented
+where it stands, by the library too.
 
 Cases: null text is empty; an empty text has no tokens but the end id (if asked for); the mark character in a
 text equals a space, as in the library; repeated rows give repeated rows; an empty table gives an empty table.
-Only the id columns and the text are read, so extra columns cannot clash.
+Only the id columns and the text are read; an id column that has a result's name, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +30,6 @@ from . import hashstore as hs
 from . import textcore as tc
 
 MARK = "▁"
-LONG = 512
 #: Distinct words that a task remembers so as to send each once; a full memory only means that some are sent again.
 SEEN = 1 << 20
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -89,11 +87,10 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in tc.slices(col):
             data, offsets = tc.raw(col.slice(i, j - i))
             starts, ends, _ = _words(data, offsets)
-            short = ends - starts <= LONG
-            h, at = np.unique(hasher(data, starts, ends)[short], return_index=True)
+            h, at = np.unique(hasher(data, starts, ends), return_index=True)
             new = ~np.isin(h, seen, assume_unique=True) if len(seen) else np.ones(len(h), bool)
             seen = np.union1d(seen, h[new]) if len(seen) < SEEN else h
-            s, e = starts[short][at[new]], ends[short][at[new]]
+            s, e = starts[at[new]], ends[at[new]]
             flat = tc.gather(data, s, e - s)
             bounds = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(bounds), pa.py_buffer(flat)])], ["word"])
@@ -109,7 +106,8 @@ class Pieces:
         listed = f"{self.path}-words"
         docs.select(F.col(text_col).alias("text")).mapInArrow(_distinct, "word string").distinct().write.parquet(listed)
         words = spark.read.parquet(listed)
-        self.bits = bits = hs.bits_for(words.count())
+        n, size = words.agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
+        self.bits = bits = hs.bits_for(max(n, (size or 0) // 16))
         path = self.path
 
         def segment(batches):
@@ -132,28 +130,24 @@ class Pieces:
             table = table.combine_chunks()
             key = table["key"].to_numpy().view(np.uint64)
             order = np.argsort(key, kind="stable")
-            k = key[order]
-            same = np.zeros(len(k), bool)
-            same[1:] = k[1:] == k[:-1]
-            same[:-1] |= same[1:]
-            table = table.take(order[~same])
-            at = f"{path}/{int(table['bucket'][0].as_py()) if len(table) else hs.bucket_of(k[:1], bits)[0]:05d}"
+            table = table.take(order)
+            at = f"{path}/{table['bucket'][0].as_py():05d}"
             hs.put(f"{at}.check", table["check"].to_numpy())
             if with_ids:
                 ids, text = table["ids"].combine_chunks(), table["text"].combine_chunks().cast(pa.large_string())
                 flat, bounds = tc.raw(text)
-                hs.put(f"{at}.ids_at", ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64))
+                hs.put(f"{at}.ids_at", ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py())
                 hs.put(f"{at}.ids", ids.flatten().to_numpy())
                 hs.put(f"{at}.text_at", bounds)
                 hs.put(f"{at}.text", flat)
             else:
                 hs.put(f"{at}.n", table["n"].to_numpy())
-            hs.put(f"{at}.key", k[~same])
-            return pa.table({"bucket": table["bucket"][:1].cast(pa.int32()), "rows": pa.array([len(table)][: len(table)], pa.int64())})
+            hs.put(f"{at}.key", key[order])
+            return pa.table({"bucket": table["bucket"][:1].cast(pa.int32())})
 
         names = ["bucket", "key", "check", *(["ids", "text"] if with_ids else ["n"])]
         kinds = "bucket int, key long, check long, " + ("ids array<int>, text string" if with_ids else "n int")
-        built = {r.bucket for r in words.mapInArrow(segment, kinds).groupBy("bucket").applyInArrow(build, "bucket int, rows long").collect()}
+        built = {r.bucket for r in words.mapInArrow(segment, kinds).groupBy("bucket").applyInArrow(build, "bucket int").collect()}
         for b in set(range(1 << bits)) - built:  # a bucket that got no word
             for name, kind in DTYPES.items():
                 if (name == "n") != with_ids or name in ("key", "check"):
@@ -173,8 +167,7 @@ class Pieces:
             n = np.zeros(len(key), np.int64)
             known = np.zeros(len(key), bool)
             ids, texts, which = [], [], []
-            for bucket, part, at, found in store.parts(key):
-                found &= store.column(bucket, "check")[at] == check[part] if found.any() else found
+            for bucket, part, at, found in store.places(key, check):
                 at, own = at[found], np.arange(part.start, part.stop)[found]
                 known[own] = True
                 if with_ids:
@@ -196,12 +189,13 @@ class Pieces:
 def count(docs: DataFrame, model: str, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """id columns and n_tokens: the number of the library's ids for each whole text, without begin or end."""
     pieces = Pieces(docs, text_col, model, with_ids=False)
-    ids = list(id_cols)
+    ids = tc.others(id_cols, "n_tokens")
+    own = tc.free(ids, "text_")[0]
 
     def of(batches):
         read = pieces.reader()
         for batch in batches:
-            col = _marked(tc.text_column(batch, "__text"))
+            col = _marked(tc.text_column(batch, own))
             for i, j in tc.slices(col):
                 data, starts, ends, bounds, inverse, n, odd, _, sp = read(col.slice(i, j - i))
                 # Frequencies of (document, word), joined to the counts by the word's place in the table.
@@ -212,19 +206,20 @@ def count(docs: DataFrame, model: str, text_col: str = "text", id_cols: tuple[st
                     total[row[k]] += len(_segment([data[starts[k] : ends[k]].tobytes().decode()], sp)[0])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ids), pa.array(total, pa.int64())], [*ids, "n_tokens"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids)
-    return docs.select(*ids, F.col(text_col).alias("__text")).mapInArrow(of, f"{kinds}, n_tokens long")
+    kinds = ", ".join(x for x in (tc.kinds(docs, ids), "n_tokens long") if x)
+    return docs.select(*ids, F.col(text_col).alias(own)).mapInArrow(of, kinds)
 
 
 def encode_decode(docs: DataFrame, model: str, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), add_end: bool = True) -> DataFrame:
     """id columns, ids array<int> (with the end id if asked for) and decoded string, for each whole text."""
     pieces = Pieces(docs, text_col, model, with_ids=True)
-    keep = list(id_cols)
+    keep = tc.others(id_cols, "ids", "decoded")
+    own = tc.free(keep, "text_")[0]
 
     def of(batches):
         read = pieces.reader()
         for batch in batches:
-            col = _marked(tc.text_column(batch, "__text"))
+            col = _marked(tc.text_column(batch, own))
             for i, j in tc.slices(col):
                 data, starts, ends, bounds, inverse, n, odd, (ids, texts, which), sp = read(col.slice(i, j - i))
                 fixed = {int(k): _segment([data[starts[k] : ends[k]].tobytes().decode()], sp)[0] for k in np.flatnonzero(odd)}
@@ -237,8 +232,8 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", id_cols:
                 text = pc.binary_replace_slice(text.cast(pa.large_binary()), 0, 1, b"").cast(pa.large_string())  # the first mark goes
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in keep), lists, text.cast(pa.string())], [*keep, "ids", "decoded"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(of, f"{kinds}, ids array<int>, decoded string")
+    kinds = ", ".join(x for x in (tc.kinds(docs, keep), "ids array<int>, decoded string") if x)
+    return docs.select(*keep, F.col(text_col).alias(own)).mapInArrow(of, kinds)
 
 
 def _laid(found: list, which: list, n: int, inverse: np.ndarray, bounds: np.ndarray, extra: dict[int, np.ndarray], kind, tail) -> tuple[np.ndarray, np.ndarray]:

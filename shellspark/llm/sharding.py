@@ -10,19 +10,24 @@ each other, and a bucket whose size differs between them raises an error.  Equal
 group of them meets in one bucket.  Only the buckets' sizes come to the driver.
 
 Cases: null text has no bytes; an empty table writes no rows; with fewer rows than shards some shards are empty; repeated rows are kept;
-columns named shard or slot are replaced.
+columns named shard or slot, in any case, are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore as hs
+from . import textcore as tc
 
 BUCKET = 32 << 20
+#: Partitions of the second pass; with more buckets than these a task takes several, one after another.
+MOST_TASKS = 20_000
 #: Bytes that a row counts besides its text.
 ROW = 8
 
@@ -34,30 +39,46 @@ def row_size(text):
 def shuffle(docs: DataFrame, shards: int, seed: int, text_col: str = "text", bucket_bytes: int = BUCKET) -> DataFrame:
     """Write the shards, partitioned by ``shard``, and read them back: the columns of ``docs``, shard int and slot long."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), row_size(F.col(text_col)).alias("__size"))
-    total = rows.agg(F.sum("__size")).first()[0] or 0
+    keep = tc.others(docs.columns, "shard", "slot")
+    own_row, own_size, own_bucket = tc.free([*keep, "shard", "slot"], "row_", "size_", "bucket_")
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias(own_row), row_size(F.col(text_col)).alias(own_size))
+    total = rows.agg(F.sum(own_size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn(own_bucket, F.pmod(F.xxhash64(own_row, F.lit(seed)), F.lit(buckets)).cast("int")).drop(own_size)
     sizes = np.zeros(buckets, np.int64)
-    for r in rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in rows.groupBy(own_bucket).agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r[0]] = r.n
     first, n = np.cumsum(sizes) - sizes, int(sizes.sum())
     cuts = np.array([n * s // shards for s in range(shards + 1)])
 
-    def fisher_yates(table: pa.Table) -> pa.Table:
-        bucket = table["__bucket"][0].as_py()
+    def fisher_yates(bucket: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The bucket's rows, which come in the order of their numbers, shuffled and placed."""
+        table = pa.Table.from_batches(held).combine_chunks()
         if len(table) != sizes[bucket]:
             raise RuntimeError("the input has changed between the two passes; write it to a table first")
-        order = np.argsort(table["__row"].to_numpy(), kind="stable")
-        order = order[np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(order))]
+        order = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(table))
         at = first[bucket] + np.arange(len(order))
         shard = np.searchsorted(cuts, at, "right") - 1
-        out = table.select(keep).take(pa.array(order))
-        return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(at - cuts[shard], pa.int64()))
+        columns = [table[c].combine_chunks().take(pa.array(order)) for c in keep]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32()), pa.array(at - cuts[shard], pa.int64())], [*keep, "shard", "slot"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            bucket = batch.column(own_bucket).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if held and bucket[a] != now:
+                    yield fisher_yates(now, held)
+                    held = []
+                now = int(bucket[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield fisher_yates(now, held)
 
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "shard int, slot long"])
+    tasks = min(buckets, MOST_TASKS)
+    dealt = rows.repartitionById(tasks, F.pmod(own_bucket, F.lit(tasks))).sortWithinPartitions(own_bucket, own_row)
+    moved = dealt.mapInArrow(each, ", ".join(x for x in (tc.kinds(docs, keep), "shard int, slot long") if x))
     path = hs.shared_dir(spark, "shards")
-    moved = rows.groupBy("__bucket").applyInArrow(fisher_yates, kinds)
     moved.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return spark.read.schema(moved.schema).parquet(path)
+    return spark.read.schema(moved.schema).parquet(path).select(*moved.columns)

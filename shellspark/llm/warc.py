@@ -11,7 +11,8 @@ length or digest, raises an error.
 
 Cases: null payload is empty; null url leaves the target out; of equal payloads of at least ``least_revisit`` bytes the rows with the
 largest id are responses (rows of one id and payload are alike, so all of them are) and others revisit it; payloads
-of rows that all lack an id are responses; an empty table gives no archive and no record.
+of rows that all lack an id are responses; an empty table gives no archive and no record; ids that are not integers are refused;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import hashstore as hs
 from . import textcore as tc
@@ -68,6 +70,8 @@ def record(kind: str, own: str, target: str | None, payload, payload_digest: str
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the archives; one row per file: file, records, bytes."""
     spark = pages.sparkSession
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is not of an integer type")
     out, store = hs.shared_dir(spark, "warc"), hs.shared_dir(spark, "payloads")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +123,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
 class Reader:
     """Records of one archive, in order."""
 
-    def __init__(self, stream, chunk: int = 1 << 18):
+    def __init__(self, stream, chunk: int = 1 << 15):
         self.stream, self.chunk, self.rest = stream, chunk, b""
 
     def members(self) -> Iterator[bytes]:
@@ -185,8 +189,8 @@ def read(files: DataFrame, payload: bool = True) -> DataFrame:
                     if held:
                         yield _batch(held, names)
 
-    n = max(1, files.count())
-    return files.select("file").repartition(min(n, 4096), "file").mapInArrow(of, kinds)
+    n = max(1, files.count())  # one file to a task
+    return files.select("file").repartitionByRange(n, "file").mapInArrow(of, kinds)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -62,47 +62,71 @@ def _merge(pairs):
     return out
 
 
-def test_kneser_ney(spark, docs, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("hot", [kn.HOT, 40])  # with 40, frequent words are cut into classes
+def test_kneser_ney(spark, docs, empty, order, hot):
     train = docs.where("doc_id % 4 <> 0")
-    model = kn.fit(train)
+    model = kn.fit(train, order=order, bucket=5000, hot=hot)
     tokens = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate({65 + i: 97 + i for i in range(26)})) + [None]
-    c, b = Counter(), Counter()
+    words, counts = Counter(), {k: Counter() for k in range(1, order + 1)}
     for doc, text, *_ in rows():
         if doc is not None and doc % 4:
             w = tokens(text)
-            c.update(w)
-            b.update(zip(["\x00start", *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    before = Counter(w for _, w in b)
-    of = lambda k: kn.discounts([Counter(k.values())[i] for i in (1, 2, 3, 4)])
-    d2, d1 = of(b), of(before)
-    g0 = sum(d1[min(x, 3)] for x in before.values()) / len(b)
-    total, left = Counter(), defaultdict(float)
-    for (u, _), x in b.items():
-        total[u] += x
-        left[u] += d2[min(x, 3)]
-
-    def p(u, w):
-        low = max(before[w] - d1[min(before[w], 3)], 0) / len(b) + g0 / (v + 1)
-        return max(b[u, w] - d2[min(b[u, w], 3)], 0) / total[u] + left[u] / total[u] * low if total[u] else low
-
-    assert model.tokens == n and model.words == v
-    for u in ("\x00start", "river", "never seen"):
-        assert sum(p(u, w) for w in [*c, "unknown"]) == pytest.approx(1)
+            words.update(w)
+            padded = ["<start>"] * (order - 1) + w
+            counts[order].update(tuple(padded[i : i + order]) for i in range(len(w)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    n, v = sum(words.values()), len(words)
+    d, total, left = {}, defaultdict(int), defaultdict(float)
+    for k, c in counts.items():
+        by = Counter(c.values())
+        d[k] = kn.discounts([by[i] for i in (1, 2, 3, 4)])
+        for g, x in c.items():
+            total[k, g[:-1]] += x
+            left[k, g[:-1]] += d[k][min(x, 3)]
+
+    def p(context, w):
+        k = len(context) + 1
+        c = counts[k][(*context, w)]
+        own = max(c - d[k][min(c, 3)], 0)
+        if k == 1:
+            return own / total[1, ()] + left[1, ()] / total[1, ()] / (v + 1)
+        low = p(context[1:], w)
+        return own / total[k, context] + left[k, context] / total[k, context] * low if total[k, context] else low
+
+    assert model.tokens == n and model.words == v and model.grams == {k: len(c) for k, c in counts.items()}
+    for context in (("<start>",) * (order - 1), ("river",) * (order - 1), ("never seen",) * (order - 1)):
+        assert sum(p(context, w) for w in [*words, "unknown"]) == pytest.approx(1)
     got = defaultdict(list)
     for r in kn.score(docs, model).collect():
         got[r.doc_id].append(r)
     for doc, text, *_ in rows():
         w = tokens(text)
         r = got[doc][0]
-        assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(u, x)) for u, x in zip(["\x00start", *w[:-1]], w, strict=True)))
-    none = kn.fit(empty)
+        assert (r.n_tokens, r.n_known) == (len(w), sum(words[x] > 0 for x in w))
+        assert r.base_score == pytest.approx(sum(math.log10((words[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        padded = ["<start>"] * (order - 1) + w
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order - 1]), x)) for i, x in enumerate(w)))
+    none = kn.fit(empty, order=order)
     assert {(r.base_score, r.score) for r in kn.score(docs, none).collect()} == {(0.0, 0.0)}
     assert kn.score(empty, model).count() == 0
-    u, w = np.array([0, 5, 2**32 - 1]), np.array([2**32 - 1, 0, 7])
-    assert [x.tolist() for x in kn.unpack(kn.pack(u, w))] == [u.tolist(), w.tolist()]
+
+
+def test_runs_and_hash_arrays():
+    rng = np.random.default_rng(3)
+    for words in (1, 2, 3, 4):
+        columns = [rng.integers(0, 50, 3000).astype(np.uint32) * np.uint32(80_000_000) for _ in range(words)]
+        columns, count = kn._summed(columns, rng.integers(1, 400, 3000))
+        got, n = kn.decode(kn.encode(columns, count), len(count), words)
+        assert all((a == b).all() for a, b in zip(got, columns, strict=True)) and (n == count).all()
+    key = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    value = rng.integers(0, 600, len(key))
+    arrays = kn._index(key, "k") | kn._small(value, "v")
+    at, found = kn._find(arrays, "k", key)
+    assert found.all() and (at == np.arange(len(key))).all() and (kn._value(arrays, "v", at) == value).all()
+    assert not kn._find(arrays, "k", rng.integers(0, 1 << 63, 5000, dtype=np.uint64))[1].any()
+    assert not kn._find(kn._index(key[:0], "k"), "k", key)[1].any()
 
 
 def test_base_rules(docs, empty):
