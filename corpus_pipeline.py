@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellspark.llm import decontaminate, hashstore, line_quality, order_minhash, pieces, queries
+from shellspark.llm import textcore as tc
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above the limits go from those that stay."""
     queries.prepare(spark)
-    judged = line_quality.judge(docs, into="__quality")
-    kept = judged.where("__quality.kept")
-    cleaned = F.col("__quality.n_removed_lines") > 0
-    return kept.withColumns({"text": F.when(cleaned, F.col("__quality.cleaned")).otherwise(F.col("text")), "n_chars": F.when(cleaned, F.length("__quality.cleaned").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    own = tc.free(docs.columns, "quality")[0]
+    judged = line_quality.judge(docs, into=own)
+    kept = judged.where(f"`{own}`.kept")
+    cleaned, changed = F.col(f"{own}.cleaned"), F.col(f"{own}.n_removed_lines") > 0
+    text = F.when(changed, cleaned).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.length(cleaned).cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +33,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark item within its edit budget go."""
     queries.prepare(spark)
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="__hits")
-    return found.where(F.size("__hits") == 0).select(*docs.columns)
+    own = tc.free(docs.columns, "hits")[0]
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=own)
+    return found.where(F.size(own) == 0).select(*docs.columns)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with the end id, and whether decoding them gives the text back."""
     queries.prepare(spark)
     out = pieces.encode_decode(docs, queries.model_path(), id_cols=("doc_id", "lang", "source"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    n_tokens, digest = F.size("ids").cast("long"), F.sha2("decoded", 256)
+    return out.select("doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", digest.alias("decoded_sha256"))
 
 
 STAGES = [
