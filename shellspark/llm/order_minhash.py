@@ -32,6 +32,7 @@ their names.  Texts are told apart by 120 bits of their SHA-256, words by 32-bit
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -120,10 +121,18 @@ def parity(words: np.ndarray) -> np.ndarray:
 BITS = tuple(f"b{k}" for k in range((1 << PARITY) // 64))
 
 
-def _possible(similarity: float):
+#: The parity sketch folded to a quarter, for joins of many rows.
+FOLDED = tuple(f"f{k}" for k in range(len(BITS) // 4))
+
+
+def _folded() -> list:
+    return [functools.reduce(lambda a, b: a.bitwiseXOR(b), (F.col(c) for c in BITS[k :: len(FOLDED)])).alias(f) for k, f in enumerate(FOLDED)]
+
+
+def _possible(similarity: float, bits: tuple[str, ...] = BITS):
     """May the texts of n and x_n words be within the budget?  An edit changes the difference of the bags by two at most."""
     limit, least = 2 * F.floor(F.greatest("n", "x_n") * (1 - similarity) + 1e-9), F.abs(F.col("n") - F.col("x_n"))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in BITS), least)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in bits), least)
     return (least <= limit) & (differ <= limit)
 
 
@@ -209,6 +218,11 @@ class _Tables:
         df.write.parquet(path := f"{self.path}/{self.n:04d}")
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def since(self, n: int) -> None:
+        """Delete the tables written behind the n-th, but the last."""
+        for k in range(n + 1, self.n):
+            hs.remove(self.spark, f"{self.path}/{k:04d}")
+
     def forget(self) -> None:
         hs.remove(self.spark, self.path)
 
@@ -313,7 +327,7 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
         if not live.limit(1).count():
             break
         full_rows = table(live.join(sketches, "node"))
-        pairs = _led(table, full_rows, similarity, turn, parts) if parts else _all_pairs(table, full_rows, words, similarity)
+        pairs = _led(table, full_rows, similarity, turn, parts) if parts else _all_pairs(table, full_rows, sketches, words, similarity)
         pairs = table(pairs.distinct().join(known, ["u", "v"], "left_anti"))
         if pairs.limit(1).count():
             found = table(_verified(pairs, words, similarity))
@@ -322,17 +336,12 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     return labels
 
 
-def _class_of(n, similarity: float):
-    """Classes of length: texts whose lengths the budget allows are at most one class apart."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(1.01 / similarity))).cast("int")
-
-
-def _renamed(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.select(*names, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *BITS)))
+def _renamed(rows: DataFrame, key: str, bits: tuple[str, ...] = BITS) -> DataFrame:
+    return rows.select(key, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *bits)))
 
 
-def _fits(similarity: float):
-    return (F.col("label") != F.col("x_label")) & _possible(similarity)
+def _fits(similarity: float, bits: tuple[str, ...] = BITS):
+    return (F.col("label") != F.col("x_label")) & _possible(similarity, bits)
 
 
 def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: int) -> DataFrame:
@@ -343,14 +352,14 @@ def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: i
     return _pairs(rows.join(leading, "bucket").where(_fits(similarity)))
 
 
-def _all_pairs(table: _Tables, rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different classes among all given members that can be links, by exact prefix filtering.
 
     Texts of n and m words within the budget have at least similarity * max(n, m) labelled words in common.  If each puts its words in one
     common order, rarest first, they share one of their first floor((1 - similarity) n) + 1 words.  Words that no other text has need
     no row, and those of a passage that many texts share come last, so such texts do not meet by it.
     """
-    spark = rows.sparkSession
+    spark, begun = rows.sparkSession, table.n
     own = rows.select("node").distinct()
     texts = table(words.join(own, "node", "left_semi"))
 
@@ -381,18 +390,18 @@ def _all_pairs(table: _Tables, rows: DataFrame, words: DataFrame, similarity: fl
                 out.append(shared.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out)], ["node", "word"])
 
-    each = rows.select("node", "n", "label", *BITS).distinct()
-    each = each.withColumn("length", _class_of(F.col("n"), similarity))
-    keyed = table(texts.mapInArrow(prefixes, "node long, word long").join(each, "node"))
+    each = table(rows.select("node", "n", "label", *_folded()).distinct())
+    keyed = table(texts.mapInArrow(prefixes, "node long, word long").join(each.select("node", "label"), "node"))
     kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
     kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    keyed = table(keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most"))
+    met = keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most", "label").join(each, "node")
     # Joined from the side of members outside the word's largest class; a pair of two such comes from its larger node.
-    near = keyed.where("minor").withColumn("length", F.explode(F.array(*(F.col("length") + k for k in (-1, 0, 1)))))
+    near = _renamed(met.where("minor"), "word", FOLDED)
     once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
-    joined = keyed.join(_renamed(near, "word", "length"), ["word", "length"]).where(once & _fits(similarity))
-    pairs = table(_pairs(joined).distinct())
+    pairs = table(_pairs(met.join(near, "word").where(once & _fits(similarity, FOLDED))).distinct())
+    pairs = table(_bounded(pairs, sketches, similarity))
     hs.remove(spark, path)
+    table.since(begun)
     return pairs
 
 
