@@ -32,12 +32,12 @@ their names.  Texts are told apart by 120 bits of their SHA-256, words by 32-bit
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +53,8 @@ PARITY = 11
 LEADERS = (4,)
 #: Bytes of text that are looked at together; workers of many small stages stay small.
 PART = 256 << 10
+#: The part of a shingle's hash by which texts with it are counted.
+_TOP = np.uint64(0xFFFFFFFFFFFF0000)
 _H: list[tc.Hasher] = []
 
 
@@ -121,12 +123,14 @@ def parity(words: np.ndarray) -> np.ndarray:
 BITS = tuple(f"b{k}" for k in range((1 << PARITY) // 64))
 
 
-#: The parity sketch folded to a quarter, for joins of many rows.
-FOLDED = tuple(f"f{k}" for k in range(len(BITS) // 4))
+#: The parity sketch with its second half folded once, for a join of many rows whose method has more to do.
+FOLDED = tuple(f"f{k}" for k in range(len(BITS) * 3 // 4))
 
 
 def _folded() -> list:
-    return [functools.reduce(lambda a, b: a.bitwiseXOR(b), (F.col(c) for c in BITS[k :: len(FOLDED)])).alias(f) for k, f in enumerate(FOLDED)]
+    half, n = len(BITS) // 2, len(BITS) // 4
+    rest = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(BITS[half : half + n], BITS[half + n :], strict=True)]
+    return [c.alias(f) for c, f in zip([*map(F.col, BITS[:half]), *rest], FOLDED, strict=True)]
 
 
 def _possible(similarity: float, bits: tuple[str, ...] = BITS):
@@ -336,8 +340,8 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     return labels
 
 
-def _renamed(rows: DataFrame, key: str, bits: tuple[str, ...] = BITS) -> DataFrame:
-    return rows.select(key, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *bits)))
+def _renamed(rows: DataFrame, key: str, *more: str, bits: tuple[str, ...] = BITS) -> DataFrame:
+    return rows.select(key, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *more, *bits)))
 
 
 def _fits(similarity: float, bits: tuple[str, ...] = BITS):
@@ -352,53 +356,105 @@ def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: i
     return _pairs(rows.join(leading, "bucket").where(_fits(similarity)))
 
 
-def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes among all given members that can be links, by exact prefix filtering.
+def _pairs_of_words(blob, similarity: float) -> tuple[np.ndarray, int]:
+    """Labelled two-word shingles of a text (of one word: the word), and how many of them its prefix has."""
+    words = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
+    return labelled(words, 2), int(np.floor(2 * (1 - similarity) * len(words) + 1 + 1e-9))
 
-    Texts of n and m words within the budget have at least similarity * max(n, m) labelled words in common.  If each puts its words in one
-    common order, rarest first, they share one of their first floor((1 - similarity) n) + 1 words.  Words that no other text has need
-    no row, and those of a passage that many texts share come last, so such texts do not meet by it.
-    """
-    spark, begun = rows.sparkSession, table.n
-    own = rows.select("node").distinct()
-    texts = table(words.join(own, "node", "left_semi"))
 
-    def labels(blob) -> np.ndarray:
-        return labelled(np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64), 1)
+def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
+    """Write a store of how many texts have each shingle, by the top 48 bits of its hash, for those in two or more; returns its bits.
+
+    Shingles are summed in each task and sent as sorted, compressed runs.
+    """
+    spark = texts.sparkSession
+    n = texts.agg(F.sum(F.octet_length("words")) / 4).first()[0] or 0
+    bits = hs.bits_for(n, 2 << 20)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, count = np.unique(np.concatenate(held), return_counts=True)
+        edge = np.searchsorted(hs.bucket_of(key, bits), np.arange((1 << bits) + 1))
+        full = np.flatnonzero(np.diff(edge))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        data = []
+        for b in full:
+            own = slice(edge[b], edge[b + 1])
+            parts = [np.diff(key[own] >> np.uint64(16), prepend=np.uint64(0)), count[own].astype(np.uint64)]
+            data.append(pack(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in parts)))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            found, n = np.unique(np.concatenate([labels(x) for x in batch.column("words")]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+            for blob in batch.column("words"):
+                held.append(np.unique(_pairs_of_words(blob, similarity)[0] & _TOP))
+                n += len(held[-1])
+                if n >= 2 << 20:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
+
+    def write(table: pa.Table) -> pa.Table:
+        bucket, keys, counts = table["bucket"][0].as_py(), [], []
+        for data in table["data"].to_pylist():
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+            step, count = (np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel() for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :]))
+            keys.append(np.cumsum(step, dtype=np.uint64) << np.uint64(16))
+            counts.append(count)
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        df = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+        hs.put(f"{path}/{bucket:05d}.df", df[df > 1])
+        hs.put(f"{path}/{bucket:05d}.key", key[df > 1])
+        return pa.table({"bucket": pa.array([bucket], pa.int32())})
+
+    runs = texts.select("words").mapInArrow(counted, "bucket int, data binary")
+    done = {r.bucket for r in runs.groupBy("bucket").applyInArrow(write, "bucket int").collect()}
+    for b in set(range(1 << bits)) - done:
+        for name in ("key", "df"):
+            hs.put(f"{path}/{b:05d}.{name}", np.zeros(0, np.uint64))
+    return bits
 
-    counts = texts.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("df")).where("df > 1")
+
+def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes among all given members that can be links, by exact prefix filtering.
+
+    With e edits between texts of M words at most, at least M - 1 - 2 e of their labelled two-word shingles are common, so within the budget at
+    least (1 - 2 (1 - similarity)) n - 1 of those of a text of n words.  If each text puts its shingles in one common order, rarest first, the
+    two share one of their first 2 (1 - similarity) n + 1.  Shingles that no other text has need no row, and those of a
+    passage that many texts share come last, so texts do not meet by it.  Any fixed order is exact; this one makes the join small.
+    """
+    spark, begun = rows.sparkSession, table.n
+    texts = table(words.join(rows.select("node").distinct(), "node", "left_semi"))
     path = hs.shared_dir(spark, "frequencies")
-    bits = hs.write(counts.select("word", "df"), path)
+    bits = _frequencies(texts, path, similarity)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = hs.Store(path, bits, {"key": "u8", "df": "i8"})
         for batch in batches:
-            nodes, out = [], []
+            nodes, out, last = [], [], []
             for node, blob in zip(batch.column("node").to_pylist(), batch.column("words"), strict=True):
-                own = np.sort(labels(blob))
-                df = np.ones(len(own), np.int64)
-                for bucket, part, at, found in store.parts(own):
-                    df[part][found] = store.column(bucket, "df")[at[found]]
-                first = np.lexsort((own, df))[: budget(len(own), 0, similarity) + 1]
+                own, n = _pairs_of_words(blob, similarity)
+                own = np.sort(own)
+                df = store.lookup(own & _TOP, "df")[1]
+                first = np.lexsort((own, df))[:n]
                 shared = own[first][df[first] > 1]
                 nodes.append(np.full(len(shared), node, np.int64))
                 out.append(shared.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out)], ["node", "word"])
+                last.append(np.concatenate([[0], out[-1][:-1]])[: len(shared)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out, last)], ["node", "word", "last"])
 
     each = table(rows.select("node", "n", "label", *_folded()).distinct())
-    keyed = table(texts.mapInArrow(prefixes, "node long, word long").join(each.select("node", "label"), "node"))
+    keyed = table(texts.mapInArrow(prefixes, "node long, word long, last long").join(each.select("node", "label"), "node"))
     kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
     kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     met = keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most", "label").join(each, "node")
-    # Joined from the side of members outside the word's largest class; a pair of two such comes from its larger node.
-    near = _renamed(met.where("minor"), "word", FOLDED)
+    # Joined from the side of members outside the shingle's largest class; a pair of two such comes from its larger node.
+    near = _renamed(met.where("minor"), "word", "last", bits=FOLDED)
     once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
-    pairs = table(_pairs(met.join(near, "word").where(once & _fits(similarity, FOLDED))).distinct())
+    # Two texts with the same shingle before this one in their prefixes have met by that one.
+    first = (F.col("last") != F.col("x_last")) | (F.col("last") == 0)
+    pairs = table(_pairs(met.join(near, "word").where(once & first & _fits(similarity, FOLDED))).distinct())
     pairs = table(_bounded(pairs, sketches, similarity))
     hs.remove(spark, path)
     table.since(begun)
