@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..options import Options
+from ..options import VERSION, Options
 
 SCALARS = ("volume_total", "volume_domain", "volume_bulk", "density_solvent", "density_solute", "density_solvent_bulk")
 
@@ -37,7 +37,7 @@ class Result:
     solvent: object = None
     files: tuple = ()
     weights: tuple = ()
-    version: str = "1.0.0"
+    version: str = VERSION
     extra: dict = field(default_factory=dict)
 
     @property

@@ -15,16 +15,18 @@ def lattice(atoms: DataFrame, dmax: float, step: float) -> DataFrame:
     rows = box
     for c in "xyz":
         rows = rows.withColumn(f"i{c}", F.explode(F.sequence(F.lit(1), count[c])))
+        if c == "x":  # planes of points are made by separate tasks
+            rows = rows.repartition("ix")
     return rows.select("ix", "iy", "iz", *((F.col(f"{c}0") - dmax + F.lit(step) * (F.col(f"i{c}") - 1)).alias(f"g{c}") for c in "xyz"))
 
 
 def nearest_atom(points: DataFrame, atoms: DataFrame, dmax: float) -> DataFrame:
     """The closest atom within dmax of each point, without periodic images, by an equi-join on cells of that size."""
     cell = lambda c: F.floor(F.col(c) / dmax).cast("bigint")
-    far = points
-    for c in "xyz":
-        far = far.withColumn(f"c{c}", F.explode(F.array(*(cell(f"g{c}") + k for k in (-1, 0, 1)))))
-    own = atoms.select("atom", "x", "y", "z", *(cell(c).alias(f"c{c}") for c in "xyz"))
+    own = atoms.select("atom", "x", "y", "z")
+    for c in "xyz":  # there are far fewer atoms than points, so atoms go to their neighbours' cells
+        own = own.withColumn(f"c{c}", F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1)))))
+    far = points.select("*", *(cell(f"g{c}").alias(f"c{c}") for c in "xyz"))
     dx, dy, dz = (F.col(c) - F.col(f"g{c}") for c in "xyz")
     near = far.join(own, ["cx", "cy", "cz"]).withColumn("r", F.sqrt(dx * dx + dy * dy + dz * dz)).where(F.col("r") <= dmax)
     return near.groupBy("ix", "iy", "iz", "gx", "gy", "gz").agg(F.min(F.struct("r", "atom")).alias("m")).select("ix", "iy", "iz", "gx", "gy", "gz", "m.*")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..options import VERSION
 from . import derived as de
 from .finalise import Result
 from .selection import ONE_LETTER, AtomSelection, Group
@@ -29,7 +30,7 @@ def bin_slice(bins: DataFrame, dmin: float, dmax: float) -> tuple[int, int]:
 @dataclass
 class ResidueContributions:
     table: DataFrame
-    version: str = "1.0.0"
+    version: str = VERSION
 
     @classmethod
     def make(cls, result: Result, atoms: DataFrame, dmin: float = 1.5, dmax: float = 3.5, type: str = "mddf") -> ResidueContributions:  # noqa: A002

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import settled
+
 #: Residue classes.
 ACIDIC = ("ASP", "GLU")
 BASIC = ("ARG", "LYS", "HIS", "HSD", "HSE", "HSP")
@@ -204,11 +206,20 @@ class AtomSelection:
 
 
 def molecule_index(atoms: DataFrame, natomspermol: int, order: str = "atom_index") -> DataFrame:
-    """Position, molecule and atom type of selected atoms within a table of any size, numbered by ``order``."""
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.orderBy(order))
-    out = atoms.withColumn("pos", pos)
+    """Position, molecule and atom type of selected atoms within a table of any size, numbered by ``order``.
+
+    Ranges of the order are sorted and numbered by separate tasks; only the ranges' sizes meet.
+    """
+    sorted_ = atoms.repartitionByRange(order).sortWithinPartitions(order).withColumn("pos", F.monotonically_increasing_id())
+    rows = settled(sorted_, "molecules")
+    part, place = F.shiftright("pos", 33), F.col("pos").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    starts = F.broadcast(atoms.sparkSession.createDataFrame(offsets, "part long, before long"))  # one row a task
+    out = rows.withColumn("part", part).join(starts, "part").withColumn("pos", (F.col("before") + place + 1).cast("long")).drop("part", "before")
     return out.withColumns({"mol": F.floor((F.col("pos") - 1) / natomspermol).cast("int") + 1, "atype": F.pmod(F.col("pos") - 1, F.lit(natomspermol)) + 1})
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+#: Version of the formats that results are saved in.
+VERSION = "3.0.0"
+
 
 @dataclass(frozen=True)
 class Options:
@@ -85,5 +88,15 @@ class Options:
         return self.cutoff if self.usecutoff else self.dbulk
 
     def __str__(self) -> str:
-        rows = [("Trajectory frames", f"{self.firstframe} to {self.lastframe} by {self.stride}"), ("Bulk range", f"{self.dbulk} - {self.cutoff}" if self.usecutoff else f">= {self.dbulk}"), ("Bin step", self.binstep), ("Random samples", self.n_random_samples), ("Reference atom", self.irefatom), ("Seed", self.seed)]
+        bulk = f"{self.dbulk} - {self.cutoff} A" if self.usecutoff else f">= {self.dbulk} A"
+        last = "last" if self.lastframe < 0 else self.lastframe
+        rows = [
+            ("Frames", f"{self.firstframe} to {last}, every {self.stride}"),
+            ("Bulk region", bulk),
+            ("Bin step", f"{self.binstep} A, {self.nbins} bins"),
+            ("Reference atom of the solvent", "the closest to its centre" if self.irefatom < 0 else self.irefatom),
+            ("Random samples of each frame", self.n_random_samples),
+            ("Seed", self.seed),
+            ("Silent", self.silent),
+        ]
         return "Options\n" + "\n".join(f"  {k}: {v}" for k, v in rows)

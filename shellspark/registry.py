@@ -129,13 +129,6 @@ def q_sel_bool(spark, d):
 
 @query
 def q_molecule_index(spark, d):
-    one = tables.atoms(spark, d).where("frame = 1").select(F.col("atom").alias("atom_index"))
-    return molecule_index(one, 3).select("atom_index", "pos", "mol", "atype")
-
-
-@query
-def q_molecule_index_all(spark, d):
-    """Over the atoms of all frames; the query without ``_all`` has those that its SQL covers, here and below."""
     return molecule_index(tables.atoms(spark, d).select(F.col("atom").alias("atom_index")), 3).select("atom_index", "pos", "mol", "atype")
 
 
@@ -216,12 +209,6 @@ def _triclinic(s: System, solute: DataFrame) -> DataFrame:
 
 @query
 def q_range_join_triclinic(spark, d):
-    s = _system(spark, d)
-    return _triclinic(s, s.solute.where("frame <= 5"))
-
-
-@query
-def q_range_join_triclinic_all(spark, d):
     s = _system(spark, d)
     return _triclinic(s, s.solute)
 
@@ -321,11 +308,6 @@ def q_bulk_resample(spark, d):
 
 @query
 def q_unwrap(spark, d):
-    return rr.unwrapped(_system(spark, d)).where("frame <= 4").select("frame", "vatom", "ux", "uy", "uz")
-
-
-@query
-def q_unwrap_all(spark, d):
     return rr.unwrapped(_system(spark, d)).select("frame", "vatom", "ux", "uy", "uz")
 
 
@@ -335,12 +317,6 @@ def _moved(s: System, placed: DataFrame) -> DataFrame:
 
 @query
 def q_random_move(spark, d):
-    s = _system(spark, d)
-    return _moved(s, rr.slots(s, _bulk(spark, d)).where("frame <= 2"))
-
-
-@query
-def q_random_move_all(spark, d):
     s = _system(spark, d)
     return _moved(s, rr.slots(s, _bulk(spark, d)))
 

@@ -165,16 +165,6 @@ def _fraction(row: tuple[float, float, float], *e: str) -> str:
     return " + ".join(f"({x}::DOUBLE) * ({y})" for x, y in zip(row, e, strict=True))
 
 
-def _triclinic() -> str:
-    """All images up to two cells away in each direction, without wrapping first."""
-    a, b, c = SKEWED[:3], SKEWED[3:6], SKEWED[6:]
-    shift = [f"i * {a[t]}.0::DOUBLE + j * {b[t]}.0::DOUBLE + k * {c[t]}.0::DOUBLE" for t in range(3)]
-    d2 = " + ".join(f"(vx_{x} - s{x} + {shift[t]}) * (vx_{x} - s{x} + {shift[t]})" for t, x in enumerate("xyz")).replace("vx_", "v")
-    images = "(SELECT i, j, k FROM generate_series(-3, 3) x(i), generate_series(-3, 3) y(j), generate_series(-3, 3) z(k))"
-    near = f"(SELECT sol.frame, satom, vatom, min({d2}) AS d2 FROM sol JOIN slv ON sol.frame = slv.frame AND sol.frame <= 5, {images} GROUP BY ALL)"
-    return _sql(_ATOMS, "frame:i satom:i vatom:i d:r", f"(SELECT frame, satom, vatom, sqrt(d2) AS d FROM {near} WHERE d2 <= 16)")
-
-
 def _cells() -> str:
     rad = "pi() / 180"
     rows = "(SELECT i AS cell, 30.0::DOUBLE + i % 7 AS a, 40.0::DOUBLE + i % 5 AS b, 50.0::DOUBLE + i % 3 AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE + i % 4 * 5.0::DOUBLE AS beta, 90.0::DOUBLE + i % 4 * 7.5::DOUBLE AS gamma FROM generate_series(1, 40) t(i))"
@@ -213,7 +203,7 @@ def all_sql() -> dict[str, str]:
     q["sel_resname"] = _sql(lb, "atom_index:i resname", "lb WHERE resname IN ('ALA', 'WAT', 'ASP', 'GLU')")
     q["sel_range"] = _sql(lb, "atom_index:i resnum:i chain", "lb WHERE resnum BETWEEN 100 AND 249 AND chain IN ('A', 'B')")
     q["sel_bool"] = _sql(lb, "atom_index:i name resname resnum:i", "lb WHERE resname NOT IN ('WAT', 'ALA', 'LEU') AND (name = 'H1' OR atom_index <= 30000) AND resnum NOT IN (7, 8, 9)")
-    q["molecule_index"] = _sql(_ATOMS, "atom_index:i pos:i mol:i atype:i", "(SELECT atom AS atom_index, pos, (pos - 1) // 3 + 1 AS mol, (pos - 1) % 3 + 1 AS atype FROM (SELECT atom, row_number() OVER (ORDER BY atom) AS pos FROM a WHERE frame = 1))")
+    q["molecule_index"] = _sql(_ATOMS, "atom_index:i pos:i mol:i atype:i", "(SELECT atom AS atom_index, pos, (pos - 1) // 3 + 1 AS mol, (pos - 1) % 3 + 1 AS atype FROM (SELECT atom, row_number() OVER (ORDER BY atom) AS pos FROM a))")
     q["atom_group"] = _sql(_ATOMS, "group_id:i atom:i", "(SELECT 2 AS group_id, atom FROM a WHERE priority = '2-HIGH' AND mol % 97 < 3)")
     q["atom_group_names"] = _sql(_ATOMS, "group_id:i group_name", "(SELECT DISTINCT substr(priority, 1, 1) AS group_id, priority AS group_name FROM a)")
     q["pruned_scan"] = _sql(_ATOMS, "frame:i satom:i sx:r sy:r sz:r", "sol WHERE frame BETWEEN 3 AND 5")
@@ -224,7 +214,6 @@ def all_sql() -> dict[str, str]:
     q["cell_kind"] = _sql("", "cell:i is_ortho:i", _cells())
     q["avg_volume"] = _sql(_ATOMS, "q:r volume:r n_frames:i", "(SELECT sum(w) AS q, sum(w * 216000) / sum(w) AS volume, count(*) AS n_frames FROM fr)")
     q["range_join"] = _sql(_ATOMS + ",\n" + _pairs("pr", "sol", "slv", "l.frame = r.frame", 4.0), "frame:i satom:i vatom:i d:r", "(SELECT *, sqrt(d2) AS d FROM pr)")
-    q["range_join_triclinic"] = _triclinic()
     q["min_distance"] = _sql(_MD, "frame:i smol:i vmol:i d:r i:i j:i", "md")
     q["ref_atom_distance"] = _sql(_MD, "frame:i smol:i vmol:i d_ref:r", "md WHERE d_ref IS NOT NULL")
     q["mddf_self"] = _sql(_SELF, "frame:i smol:i vmol:i d:r i:i j:i", "md")
@@ -240,8 +229,8 @@ def all_sql() -> dict[str, str]:
     q["ref_solutes"] = _sql(_RANDOM, "frame:i k:i sidx:i", "refs")
     q["bulk_molecules"] = _sql(_RANDOM, "frame:i k:i vidx:i rn:i nb:i", "bulk")
     q["bulk_resample"] = _sql(_RANDOM, "frame:i k:i slot:i vidx:i", "slots")
-    q["unwrap"] = _sql(_RANDOM, "frame:i vatom:i ux:r uy:r uz:r", "loc WHERE frame <= 4")
-    q["random_move"] = _sql(_RANDOM, "frame:i k:i slot:i vatype:i vx:r vy:r vz:r", "(SELECT *, vidx AS slot FROM rp WHERE frame <= 2)")
+    q["unwrap"] = _sql(_RANDOM, "frame:i vatom:i ux:r uy:r uz:r", "loc")
+    q["random_move"] = _sql(_RANDOM, "frame:i k:i slot:i vatype:i vx:r vy:r vz:r", "(SELECT *, vidx AS slot FROM rp)")
     e = _euler("b", "g", "t")
     q["eulermat"] = _sql("", "key:i " + " ".join(f"a{i}{j}:r" for i in (1, 2, 3) for j in (1, 2, 3)), "(SELECT key, " + ", ".join(f"{e[i][j]} AS a{i + 1}{j + 1}" for i in range(3) for j in range(3)) + " FROM (SELECT key, " + ", ".join(f"{_u(c, 'key', seed=7)} * 360 * {deg} AS {n}" for c, n in enumerate("bgt")) + " FROM generate_series(0, 199) t(key)))")
     q["shell_volume"] = _sql("", "bin:i shell_volume:r", "(SELECT i AS bin, 4 * pi() / 3 * (power(i * 0.02::DOUBLE, 3) - power((i - 1) * 0.02::DOUBLE, 3)) AS shell_volume FROM generate_series(1, 500) t(i))")

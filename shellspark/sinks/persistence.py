@@ -6,13 +6,13 @@ import json
 import re
 from dataclasses import asdict
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.finalise import Result
 from ..operators.selection import AtomSelection
-from ..options import Options
+from ..options import VERSION, Options
 
-VERSION, OLDEST, WITHOUT_RANDOM_GROUPS = "3.0.0", "2.0.0", "2.17.1"
+OLDEST, WITHOUT_RANDOM_GROUPS = "2.0.0", "2.17.1"
 _GROUPS = "side string, group_id int, bin int, n double, n_random double"
 
 
@@ -39,13 +39,62 @@ def read_json(path: str) -> dict:
         raise ValueError(f"{path} is not a saved result") from e
 
 
-def save(path: str, result: Result) -> str:
-    """Write the result (its tables have as many rows as bins and groups) as JSON."""
+def _document(result: Result) -> dict:
+    """All of a result but its tables."""
     own = lambda s: None if s is None else asdict(s)
     options = {k: v for k, v in asdict(result.options).items() if k not in ("_", "bulk_range")}
-    data = {"Version": VERSION, "options": options, "n_solute": result.n_solute, "n_solvent": result.n_solvent, "autocorrelation": result.autocorrelation, "solute": own(result.solute), "solvent": own(result.solvent), "files": result.files, "weights": result.weights, "q": result.extra.get("q"), "bin_columns": result.bins.columns, "bins": [list(r) for r in result.bins.orderBy("bin").collect()], "groups": [list(r) for r in result.groups.select("side", "group_id", "bin", "n", "n_random").orderBy("side", "group_id", "bin").collect()]}
+    return {
+        "Version": VERSION,
+        "options": options,
+        "n_solute": result.n_solute,
+        "n_solvent": result.n_solvent,
+        "autocorrelation": result.autocorrelation,
+        "solute": own(result.solute),
+        "solvent": own(result.solvent),
+        "files": result.files,
+        "weights": result.weights,
+        "q": result.extra.get("q"),
+    }
+
+
+def _side(s: dict | None) -> AtomSelection | None:
+    if s is None:
+        return None
+    names, groups = tuple(s["group_names"]), tuple(map(tuple, s["group_atom_indices"]))
+    return AtomSelection(tuple(s["indices"]), s["nmols"], s["natomspermol"], names, groups)
+
+
+def _result(data: dict, bins: DataFrame, groups: DataFrame) -> Result:
+    options = dict(data["options"])
+    if not options.get("usecutoff"):
+        options.pop("cutoff", None)
+        options.pop("usecutoff", None)
+    return Result(
+        bins,
+        groups,
+        Options(**options),
+        data["n_solute"],
+        data["n_solvent"],
+        data["autocorrelation"],
+        _side(data["solute"]),
+        _side(data["solvent"]),
+        tuple(map(tuple, data["files"])),
+        tuple(data["weights"]),
+        data["Version"],
+        {"q": data.get("q")},
+    )
+
+
+def save(path: str, result: Result) -> str:
+    """Write the result (its tables have as many rows as bins and groups) as JSON."""
+    groups = result.groups.select("side", "group_id", "bin", "n", "n_random").orderBy("side", "group_id", "bin")
+    tables = {
+        "bin_columns": result.bins.columns,
+        "bins": [list(r) for r in result.bins.orderBy("bin").collect()],
+        "groups": [list(r) for r in groups.collect()],
+    }
     with open(path, "w") as f:
-        json.dump(data, f)
+        json.dump(_document(result) | tables, f)
     return path
 
 
@@ -53,20 +102,24 @@ def load(spark: SparkSession, path: str) -> Result:
     """Read a saved result; documents up to 2.17.1 may lack the groups' random counts."""
     data = read_json(path)
     try:
-        options = dict(data["options"])
-        if not options.get("usecutoff"):
-            options.pop("cutoff", None)
-            options.pop("usecutoff", None)
-        side = lambda s: None if s is None else AtomSelection(tuple(s["indices"]), s["nmols"], s["natomspermol"], tuple(s["group_names"]), tuple(map(tuple, s["group_atom_indices"])))
         kinds = ", ".join(f"{c} {'int' if c == 'bin' else 'double'}" for c in data["bin_columns"])
         bins = spark.createDataFrame([tuple(r) for r in data["bins"]], kinds)
         groups = spark.createDataFrame([(*r[:4], r[4] if len(r) > 4 else 0.0) for r in data["groups"]], _GROUPS)
-        return Result(bins, groups, Options(**options), data["n_solute"], data["n_solvent"], data["autocorrelation"], side(data["solute"]), side(data["solvent"]), tuple(map(tuple, data["files"])), tuple(data["weights"]), data["Version"], {"q": data.get("q")})
+        return _result(data, bins, groups)
     except (KeyError, TypeError, AttributeError) as e:
         raise ValueError(f"{path} is not a saved result") from e
 
 
 def save_parquet(path: str, result: Result) -> None:
-    """bins and groups as tables."""
+    """bins and groups as tables, and beside them the rest of the result as one document."""
     result.bins.write.parquet(f"{path}/bins")
     result.groups.write.parquet(f"{path}/groups")
+    spark = result.bins.sparkSession
+    spark.createDataFrame([(json.dumps(_document(result)),)], "document string").coalesce(1).write.parquet(f"{path}/document")
+
+
+def load_parquet(spark: SparkSession, path: str) -> Result:
+    """The result that save_parquet() has written."""
+    data = json.loads(spark.read.parquet(f"{path}/document").first().document)
+    check_version(data["Version"])
+    return _result(data, spark.read.parquet(f"{path}/bins"), spark.read.parquet(f"{path}/groups"))

@@ -65,3 +65,48 @@ def pdb_lines(grid: DataFrame) -> DataFrame:
     """Grid points as PDB ATOM lines: occupancy is the distance, the temperature factor the value."""
     line = F.format_string("ATOM  %5d %-4s %-4s%1s%4d    %8.3f%8.3f%8.3f%6.2f%6.2f", F.pmod(F.col("atom"), F.lit(100000)), F.lit("X"), F.lit("GRD"), F.lit("A"), F.lit(1), "gx", "gy", "gz", "r", "value")
     return grid.select("ix", "iy", "iz", line.alias("line"))
+
+
+def write_grid(path: str, grid: DataFrame) -> str:
+    """Write the grid's points as a PDB file."""
+    with open(os.path.expanduser(path), "w") as f:
+        for r in pdb_lines(grid).orderBy("ix", "iy", "iz").toLocalIterator():
+            f.write(r.line + "\n")
+        f.write("END\n")
+    return path
+
+
+def title(result: Result) -> str:
+    """The heading of a run."""
+    kind = "autocorrelation" if result.autocorrelation else "solute and solvent"
+    return f"Shell analysis of {kind}, format {result.version}"
+
+
+def volumes(result: Result) -> str:
+    s = result.scalars().first()
+    rows = (("Total", s.volume_total), ("Solute domain", s.volume_domain), ("Bulk", s.volume_bulk))
+    return "Mean volumes (A^3)\n" + "\n".join(f"  {k}: {v:.6g}" for k, v in rows)
+
+
+def densities(result: Result) -> str:
+    s = result.scalars().first()
+    rows = (("Solvent", s.density_solvent), ("Solvent in bulk", s.density_solvent_bulk), ("Solute", s.density_solute))
+    return "Mean densities (sites/A^3)\n" + "\n".join(f"  {k}: {v:.6g}" for k, v in rows)
+
+
+def summary(result: Result) -> str:
+    """A result in words: run, files, selections, options, volumes and densities, and the tail of the distribution."""
+    t = result.tail().first()
+    number = lambda x: "-" if x is None else f"{x:.4f}"
+    rows = [title(result), *(f"  file {f[0]}, weight {w:.4g}" for f, w in zip(result.files, result.weights, strict=False))]
+    rows += [f"  solute: {result.solute or result.n_solute}", f"  solvent: {result.solvent or result.n_solvent}", str(result.options)]
+    rows += [volumes(result), densities(result), f"Long-range mean (deviation): {number(t.mddf_mean)} ({number(t.mddf_std)}), expected 1"]
+    return "\n".join(rows)
+
+
+def overview_text(result: Result) -> str:
+    """Concentrations and molar volumes in words."""
+    from ..operators.derived import overview
+
+    r = overview(result).first().asDict()
+    return "Overview\n" + "\n".join(f"  {k.replace('_', ' ')}: {v:.6g}" for k, v in r.items() if v is not None)

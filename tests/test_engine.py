@@ -317,12 +317,13 @@ def test_residue_map(spark, cross_result, cross, tmp_path):
     assert wide[1:1] == wide and len(wide[2:5]) == 0 and wide.findmax().first().value == pytest.approx(1)
     assert "|" in wide.heatmap()
     wide.save(str(tmp_path / "rc.json"))
-    again = ResidueContributions.load
-    with pytest.raises(ValueError):  # its version 1.0.0 is too old to be read
-        again(spark, str(tmp_path / "rc.json"))
-    wide.version = persistence.VERSION
-    wide.save(str(tmp_path / "rc.json"))
-    assert again(spark, str(tmp_path / "rc.json")).table.count() == wide.table.count()
+    back = ResidueContributions.load(spark, str(tmp_path / "rc.json"))
+    assert back.version == wide.version == persistence.VERSION
+    assert sorted(map(tuple, back.table.collect())) == sorted(map(tuple, wide.table.select(*back.table.columns).collect()))
+    wide.version = "1.0.0"
+    wide.save(str(tmp_path / "old.json"))
+    with pytest.raises(ValueError):
+        ResidueContributions.load(spark, str(tmp_path / "old.json"))
 
 
 def test_save_and_load(spark, cross_result, tmp_path):
@@ -386,3 +387,27 @@ def test_gr(spark):
     bins = spark.range(1, 101).select(F.col("id").cast("int").alias("bin")).withColumn("d", sc.shell_radius(F.col("bin"), 0.1)).withColumn("density_solvent_bulk", F.lit(0.03)).withColumn("rdf_count", sc.shell_volume(F.col("bin"), 0.1) * 0.03)
     last = de.gr(bins, 0.1).orderBy(F.desc("bin")).first()
     assert last.gr == pytest.approx(1) and last.kb == pytest.approx(0, abs=1e-9)
+
+
+def test_one_namespace_and_texts(spark, cross_result, tmp_path):
+    from shellspark import api
+
+    assert all(hasattr(api, name) for name in api.__all__)
+    text = api.summary(cross_result)
+    assert all(x in text for x in ("Shell analysis", "Mean volumes", "Mean densities", "Options", "Bin step", "expected 1"))
+    assert "solvent molar volume" in api.overview_text(cross_result)
+    api.save_parquet(str(tmp_path / "r"), cross_result)
+    back = api.load_parquet(spark, str(tmp_path / "r"))
+    assert not de.differences(cross_result, back, 1e-12).count()
+    assert (back.options, back.solute, back.solvent) == (cross_result.options, cross_result.solute, cross_result.solvent)
+    assert api.coordination_number(cross_result).count() == 500
+    with pytest.raises(TypeError):
+        api.coordination_number(cross_result, "CA")
+    atoms = spark.createDataFrame([(i, 10.0 * k, 0.0, 0.0) for k, i in enumerate(cross_result.solute.indices[:2])], "atom_index int, x double, y double, z double")
+    points = api.grid3D(cross_result, atoms, str(tmp_path / "grid.pdb"), 1.5, 9.0, 2.0, "coordination_number")
+    lines = (tmp_path / "grid.pdb").read_text().splitlines()
+    assert lines[-1] == "END" and len(lines) == points.count() + 1 > 1
+    for r in points.limit(5).collect():
+        assert 1.5 < r.r < 9 and r.r == pytest.approx(min(math.dist((r.gx, r.gy, r.gz), (10.0 * k, 0, 0)) for k in range(2)))
+    with pytest.raises(ValueError):
+        api.grid3D(cross_result, atoms.limit(0))
