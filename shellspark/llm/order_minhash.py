@@ -123,21 +123,23 @@ def parity(words: np.ndarray) -> np.ndarray:
 BITS = tuple(f"b{k}" for k in range((1 << PARITY) // 64))
 
 
-#: The parity sketch with its second half folded once, for a join of many rows whose method has more to do.
-FOLDED = tuple(f"f{k}" for k in range(len(BITS) * 3 // 4))
+def _limit(similarity: float):
+    """Bits in which the texts of n and x_n words may differ, and in which they do by their lengths; an edit changes the difference of the bags by two at most."""
+    return 2 * F.floor(F.greatest("n", "x_n") * (1 - similarity) + 1e-9), F.abs(F.col("n") - F.col("x_n"))
 
 
-def _folded() -> list:
-    half, n = len(BITS) // 2, len(BITS) // 4
-    rest = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(BITS[half : half + n], BITS[half + n :], strict=True)]
-    return [c.alias(f) for c, f in zip([*map(F.col, BITS[:half]), *rest], FOLDED, strict=True)]
+def _possible(similarity: float):
+    """May the texts of n and x_n words be within the budget?"""
+    limit, least = _limit(similarity)
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in BITS), least)
+    return (least <= limit) & (differ <= limit)
 
 
-def _possible(similarity: float, bits: tuple[str, ...] = BITS):
-    """May the texts of n and x_n words be within the budget?  An edit changes the difference of the bags by two at most."""
-    limit, least = 2 * F.floor(F.greatest("n", "x_n") * (1 - similarity) + 1e-9), F.abs(F.col("n") - F.col("x_n"))
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in bits), least)
-    return (least <= limit) & (differ <= limit)
+def _possible_by_array(similarity: float):
+    """The same with sketches as arrays: slower, but a short method beside other conditions."""
+    limit, least = _limit(similarity)
+    each = F.zip_with("bits", "x_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return (least <= limit) & (F.aggregate(each, least, lambda total, n: total + n) <= limit)
 
 
 def banded(a: list, b: list, most: int) -> int:
@@ -322,7 +324,8 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     words = _candidate_words(table, docs, text_col, nodes.join(labels.select("node"), "node", "left_semi"))
     pairs = members.where("node > leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     known = table(_verified(_bounded(pairs, sketches, similarity), words, similarity))
-    labels = _joined(table, labels, known)
+    new = _components(table, known.where("near").select("u", "v"))  # as yet each node is its own label
+    labels = table(labels.select("node").join(new, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     live = members.select("bucket", "node")
     for turn, parts in enumerate((*LEADERS, 0)):
         rows = live.join(labels, "node")
@@ -330,8 +333,10 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
         live = table(rows.join(mixed, "bucket").select("bucket", "node", "label"))
         if not live.limit(1).count():
             break
-        full_rows = table(live.join(sketches, "node"))
-        pairs = _led(table, full_rows, similarity, turn, parts) if parts else _all_pairs(table, full_rows, sketches, words, similarity)
+        if parts:
+            pairs = _led(table, table(live.join(sketches, "node")), similarity, turn, parts)
+        else:
+            pairs = _all_pairs(table, live, nodes, words, similarity)
         pairs = table(pairs.distinct().join(known, ["u", "v"], "left_anti"))
         if pairs.limit(1).count():
             found = table(_verified(pairs, words, similarity))
@@ -340,20 +345,16 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     return labels
 
 
-def _renamed(rows: DataFrame, key: str, *more: str, bits: tuple[str, ...] = BITS) -> DataFrame:
-    return rows.select(key, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *more, *bits)))
-
-
-def _fits(similarity: float, bits: tuple[str, ...] = BITS):
-    return (F.col("label") != F.col("x_label")) & _possible(similarity, bits)
+def _renamed(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    return rows.select(key, *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *more)))
 
 
 def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: int) -> DataFrame:
     """Pairs of each member and the leaders of the parts of its bucket, if they are of other classes and the bound allows a link."""
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
     leaders = table(rows.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node")).select("bucket", "node"))
-    leading = table(_renamed(rows.join(leaders, ["bucket", "node"]), "bucket"))
-    return _pairs(rows.join(leading, "bucket").where(_fits(similarity)))
+    leading = table(_renamed(rows.join(leaders, ["bucket", "node"]), "bucket", *BITS))
+    return _pairs(rows.join(leading, "bucket").where((F.col("label") != F.col("x_label")) & _possible(similarity)))
 
 
 def _pairs_of_words(blob, similarity: float) -> tuple[np.ndarray, int]:
@@ -416,7 +417,7 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
     return bits
 
 
-def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(table: _Tables, live: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different classes among all given members that can be links, by exact prefix filtering.
 
     With e edits between texts of M words at most, at least M - 1 - 2 e of their labelled two-word shingles are common, so within the budget at
@@ -424,8 +425,9 @@ def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: Data
     two share one of their first 2 (1 - similarity) n + 1.  Shingles that no other text has need no row, and those of a
     passage that many texts share come last, so texts do not meet by it.  Any fixed order is exact; this one makes the join small.
     """
-    spark, begun = rows.sparkSession, table.n
-    texts = table(words.join(rows.select("node").distinct(), "node", "left_semi"))
+    spark, begun = live.sparkSession, table.n
+    each = table(live.select("node", "label").distinct().join(nodes.select("node", "n", "bits"), "node"))
+    texts = table(words.join(each.select("node"), "node", "left_semi"))
     path = hs.shared_dir(spark, "frequencies")
     bits = _frequencies(texts, path, similarity)
 
@@ -444,18 +446,17 @@ def _all_pairs(table: _Tables, rows: DataFrame, sketches: DataFrame, words: Data
                 last.append(np.concatenate([[0], out[-1][:-1]])[: len(shared)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out, last)], ["node", "word", "last"])
 
-    each = table(rows.select("node", "n", "label", *_folded()).distinct())
     keyed = table(texts.mapInArrow(prefixes, "node long, word long, last long").join(each.select("node", "label"), "node"))
     kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
     kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     met = keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most", "label").join(each, "node")
     # Joined from the side of members outside the shingle's largest class; a pair of two such comes from its larger node.
-    near = _renamed(met.where("minor"), "word", "last", bits=FOLDED)
+    near = _renamed(met.where("minor"), "word", "last", "bits")
     once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
     # Two texts with the same shingle before this one in their prefixes have met by that one.
     first = (F.col("last") != F.col("x_last")) | (F.col("last") == 0)
-    pairs = table(_pairs(met.join(near, "word").where(once & first & _fits(similarity, FOLDED))).distinct())
-    pairs = table(_bounded(pairs, sketches, similarity))
+    apart = F.col("label") != F.col("x_label")
+    pairs = table(_pairs(met.join(near, "word").where(once & first & apart & _possible_by_array(similarity))).distinct())
     hs.remove(spark, path)
     table.since(begun)
     return pairs
