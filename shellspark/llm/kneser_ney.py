@@ -44,6 +44,8 @@ ORDER = 3
 END = np.uint64(0x0E4D_0F7E_87D0_C5A1)
 #: Tokens that are summed in a task before they are sent; tokens of a bucket; tokens of a word's class.
 RUN, BUCKET, HOT = 4 << 20, 2 << 20, 1 << 20
+#: Bytes of text that are looked up together.
+PART = 2 << 20
 VOCABULARY = {"key": "u8", "c": "u8"}
 RUNS = "bucket int, n int, data binary"
 RESULTS = ("n_tokens", "n_known", "base_score", "score", "perplexity")
@@ -343,7 +345,7 @@ def _words(texts: DataFrame, model: Model) -> None:
         held, n = [], 0
         for batch in batches:
             col = tc.text_column(batch, "text")
-            for i, j in tc.slices(col):
+            for i, j in tc.slices(col, PART):
                 held.append(np.unique(_tokens(col.slice(i, j - i))[0], return_counts=True))
                 n += len(held[-1][0])
                 if n >= RUN:
@@ -397,7 +399,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER, bucket: int
         store, held, n = model.vocabulary(), [], 0
         for batch in batches:
             col = tc.text_column(batch, "text")
-            for i, j in tc.slices(col):
+            for i, j in tc.slices(col, PART):
                 h, bounds = _tokens(col.slice(i, j - i))
                 words, inverse = np.unique(h, return_inverse=True)
                 ids, c = model.ids(store, words)
@@ -507,7 +509,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", id_cols: tuple[
         floor = np.log10(model.tokens + 0.1 * (model.words + 1))
         for batch in batches:
             col = tc.text_column(batch, own)
-            for i, j in tc.slices(col):
+            for i, j in tc.slices(col, PART):
                 h, bounds = _tokens(col.slice(i, j - i))
                 vocabulary, inverse = np.unique(h, return_inverse=True)
                 ids, c = model.ids(words, vocabulary)

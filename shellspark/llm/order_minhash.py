@@ -307,7 +307,9 @@ def _solve(table: _Tables, docs: DataFrame, id_col: str, text_col: str, similari
     found = base.mapInArrow(sketched, f"{tc.kinds(base, ['id', 'h1', 'h2'])}, buckets array<long>, bits array<long>, n int")
     one = [F.first(c).alias(c) for c in ("buckets", "bits", "n")]
     texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), *one)
-    nodes = table(texts.withColumn("node", F.monotonically_increasing_id()))
+    # The lowest bits of a node's number are its class of length, so that pairs of unlike lengths go before anything is joined.
+    length = F.least(F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(1.01 / similarity))), F.lit(63))
+    nodes = table(texts.withColumn("node", F.monotonically_increasing_id() * 64 + length))
     labels = _classes(table, docs, text_col, nodes, similarity)
     groups = nodes.select("node", "first", "copies", "h1", "h2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return table(groups.drop("node")), base.select("id", "h1", "h2")
@@ -322,7 +324,8 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     labels = table(members.select("node").distinct().withColumn("label", F.col("node")))
     sketches = table(nodes.select("node", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(BITS))).join(labels.select("node"), "node", "left_semi"))
     words = _candidate_words(table, docs, text_col, nodes.join(labels.select("node"), "node", "left_semi"))
-    pairs = members.where("node > leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    alike = F.abs(F.pmod("node", F.lit(64)) - F.pmod("leader", F.lit(64))) <= 1  # other lengths are not within the budget
+    pairs = members.where(alike & F.expr("node > leader")).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     known = table(_verified(_bounded(pairs, sketches, similarity), words, similarity))
     new = _components(table, known.where("near").select("u", "v"))  # as yet each node is its own label
     labels = table(labels.select("node").join(new, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
@@ -370,7 +373,7 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
     """
     spark = texts.sparkSession
     n = texts.agg(F.sum(F.octet_length("words")) / 4).first()[0] or 0
-    bits = hs.bits_for(n, 2 << 20)
+    bits = hs.bits_for(n, 1 << 19)
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
         key, count = np.unique(np.concatenate(held), return_counts=True)
@@ -390,7 +393,7 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
             for blob in batch.column("words"):
                 held.append(np.unique(_pairs_of_words(blob, similarity)[0] & _TOP))
                 n += len(held[-1])
-                if n >= 2 << 20:
+                if n >= 1 << 19:
                     yield sent(held)
                     held, n = [], 0
         if held:

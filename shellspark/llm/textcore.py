@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: The bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
