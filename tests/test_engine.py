@@ -403,11 +403,11 @@ def test_one_namespace_and_texts(spark, cross_result, tmp_path):
     assert api.coordination_number(cross_result).count() == 500
     with pytest.raises(TypeError):
         api.coordination_number(cross_result, "CA")
-    atoms = spark.createDataFrame([(i, 10.0 * k, 0.0, 0.0) for k, i in enumerate(cross_result.solute.indices[:2])], "atom_index int, x double, y double, z double")
-    points = api.grid3D(cross_result, atoms, str(tmp_path / "grid.pdb"), 1.5, 9.0, 2.0, "coordination_number")
+    atoms = spark.createDataFrame([(i, 10.0 * k, 0.0, 0.0) for k, i in enumerate(cross_result.solute.indices)], "atom_index int, x double, y double, z double")
+    points = api.grid3D(cross_result, atoms, str(tmp_path / "grid.pdb"), 1.5, 9.0, 3.0, "coordination_number")
     lines = (tmp_path / "grid.pdb").read_text().splitlines()
     assert lines[-1] == "END" and len(lines) == points.count() + 1 > 1
     for r in points.limit(5).collect():
-        assert 1.5 < r.r < 9 and r.r == pytest.approx(min(math.dist((r.gx, r.gy, r.gz), (10.0 * k, 0, 0)) for k in range(2)))
+        assert 1.5 < r.r < 9 and r.r == pytest.approx(min(math.dist((r.gx, r.gy, r.gz), (10.0 * k, 0, 0)) for k in range(len(cross_result.solute.indices))))
     with pytest.raises(ValueError):
         api.grid3D(cross_result, atoms.limit(0))
