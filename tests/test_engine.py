@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from dataclasses import replace
 import random
 
 import numpy as np
@@ -404,7 +405,9 @@ def test_one_namespace_and_texts(spark, cross_result, tmp_path):
     with pytest.raises(TypeError):
         api.coordination_number(cross_result, "CA")
     atoms = spark.createDataFrame([(i, 10.0 * k, 0.0, 0.0) for k, i in enumerate(cross_result.solute.indices)], "atom_index int, x double, y double, z double")
-    points = api.grid3D(cross_result, atoms, str(tmp_path / "grid.pdb"), 1.5, 9.0, 3.0, "coordination_number")
+    own = [("solute", g, b, 1.0, 0.0) for g in range(1, cross_result.solute.natomspermol + 1) for b in range(1, 501)]
+    even = replace(cross_result, groups=spark.createDataFrame(own, "side string, group_id int, bin int, n double, n_random double"))
+    points = api.grid3D(even, atoms, str(tmp_path / "grid.pdb"), 1.5, 9.0, 3.0, "coordination_number")
     lines = (tmp_path / "grid.pdb").read_text().splitlines()
     assert lines[-1] == "END" and len(lines) == points.count() + 1 > 1
     for r in points.limit(5).collect():
