@@ -101,10 +101,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.rank(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     own = (
         op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality,
         op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter,
+        op11_lexical_search,
     )
     return {f.__name__: f for f in own}
 
@@ -112,4 +119,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op5_line_quality": sql.LINE_QUALITY, "op8_warc": sql.WARC}
+    return {"op5_line_quality": sql.LINE_QUALITY, "op8_warc": sql.WARC, "op11_lexical_search": sql.LEXICAL_SEARCH}

@@ -60,3 +60,29 @@ SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes, {_base32("x")}
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM p JOIN g USING (h)
 """
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+LEXICAL_SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, {_TERM}) AS ts FROM documents
+), full_doc AS (
+  SELECT r, doc_id, ts, len(ts)::bigint AS n FROM d WHERE len(ts) > 0
+), total AS (
+  SELECT count(*)::bigint AS docs, sum(n)::bigint AS terms FROM full_doc
+), posting AS (
+  SELECT r, doc_id, n, t, count(*)::bigint AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM full_doc) GROUP BY ALL
+), weight AS (
+  SELECT t, floor(1000 * ln((2.0 * docs + 2.0)::double / (2.0 * df + 1.0)::double))::bigint AS w
+  FROM (SELECT t, count(*)::bigint AS df FROM posting GROUP BY t), total
+), asked AS (
+  SELECT DISTINCT q, item_id, t FROM (
+    SELECT q, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, {_TERM})) AS t FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark))
+), scored AS (
+  SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::bigint AS score
+  FROM asked JOIN weight USING (t) JOIN posting USING (t), total GROUP BY q, item_id, r, doc_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r)::int AS "rank" FROM scored WHERE score > 0
+)
+SELECT item_id, "rank", doc_id, score FROM placed WHERE "rank" <= 10
+"""

@@ -102,12 +102,12 @@ def test_shared_lines_go_under_production_limits(spark, tmp_path):
         assert (out[k].n_removed_lines, out[k].n_removed_words) == ((1, 7) if gone else (0, 0)), (k, host)
 
 
-@pytest.mark.parametrize("name", ["op5_line_quality", "op8_warc"])
+@pytest.mark.parametrize("name", ["op5_line_quality", "op8_warc", "op11_lexical_search"])
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_queries_equal_their_sql(spark, name, sf):
     d = f"/root/testdata/{sf}"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"create view {table} as select * from '{d}/{table}.parquet'")
     got = queries.queries()[name](spark, d)
     rows = con.sql(queries.oracle_sql()[name])
