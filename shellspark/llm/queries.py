@@ -107,11 +107,17 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     own = (
         op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality,
         op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter,
-        op11_lexical_search,
+        op11_lexical_search, op12_collocations,
     )
     return {f.__name__: f for f in own}
 
@@ -119,4 +125,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op5_line_quality": sql.LINE_QUALITY, "op8_warc": sql.WARC, "op11_lexical_search": sql.LEXICAL_SEARCH}
+    return {"op5_line_quality": sql.LINE_QUALITY, "op8_warc": sql.WARC, "op11_lexical_search": sql.LEXICAL_SEARCH, "op12_collocations": sql.COLLOCATIONS}

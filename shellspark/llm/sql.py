@@ -86,3 +86,37 @@ WITH d AS (
 )
 SELECT item_id, "rank", doc_id, score FROM placed WHERE "rank" <= 10
 """
+
+COLLOCATIONS = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents
+), piece AS (
+  SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS x FROM d)
+), size AS (
+  SELECT lang, sum(len(ws))::bigint AS n FROM piece GROUP BY lang
+), spot AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM piece
+), gram AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g, count(*)::bigint AS f
+  FROM spot, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+), cand AS (
+  SELECT lang, k, g, f AS a, string_split(g, ' ') AS p FROM gram WHERE k > 1 AND f >= 10
+), half AS (
+  SELECT lang, k, g, a, j, array_to_string(list_slice(p, 1, j), ' ') AS lg, array_to_string(list_slice(p, j + 1, k), ' ') AS rg
+  FROM cand JOIN (SELECT unnest([1, 2]) AS j) x ON j < k
+), cut AS (
+  SELECT h.lang, h.k, h.g, a, j, lf.f AS l, rt.f AS r, ((1000000::hugeint * a * a) // (lf.f::hugeint * rt.f))::bigint AS score
+  FROM half h JOIN gram lf ON lf.lang = h.lang AND lf.g = lg JOIN gram rt ON rt.lang = h.lang AND rt.g = rg
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+), around AS (
+  SELECT lang, q AS g, max(a) AS m FROM (
+    SELECT lang, a, unnest([array_to_string(list_slice(p, 1, 2), ' '), array_to_string(list_slice(p, 2, 3), ' ')]) AS q FROM cand WHERE k = 3
+  ) GROUP BY ALL
+), placed AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g)::int AS "rank", g AS phrase, a, l, r, n, score
+  FROM best LEFT JOIN around USING (lang, g) JOIN size USING (lang) WHERE k = 3 OR m IS NULL OR 100 * m < 50 * a
+)
+SELECT * FROM placed WHERE "rank" <= 2000
+"""

@@ -102,7 +102,7 @@ def test_shared_lines_go_under_production_limits(spark, tmp_path):
         assert (out[k].n_removed_lines, out[k].n_removed_words) == ((1, 7) if gone else (0, 0)), (k, host)
 
 
-@pytest.mark.parametrize("name", ["op5_line_quality", "op8_warc", "op11_lexical_search"])
+@pytest.mark.parametrize("name", ["op5_line_quality", "op8_warc", "op11_lexical_search", "op12_collocations"])
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_queries_equal_their_sql(spark, name, sf):
     d = f"/root/testdata/{sf}"
