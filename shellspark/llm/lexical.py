@@ -8,10 +8,10 @@ The semi-join with the wanted terms comes before the shuffle: workers look terms
 Items are joined to their terms' postings; matches are scored in 64-bit integers, summed by item and document, and ranked by a window.  Common terms
 would make a match of nearly each item and document, so the join is done in three steps that lose nothing:
 
-1. the rarest terms of an item give partial scores, and the k-th best of them is a score that the k-th place reaches at least;
-2. the lightest terms that together stay below that score cannot bring a document among the best by themselves: only the other terms
+1. the rarest terms of an item find some documents, which are scored in full; the k-th best of them is a score that the k-th place reaches at least;
+2. the lightest terms that together stay below that score (at their highest impacts) cannot bring a document among the best by themselves: only the other terms
    find documents, and of these only those that could reach the score with all light terms stay;
-3. for those, the light terms' postings are joined by term and document.
+3. for those, the light terms' postings are joined by term and document, the heaviest first, and documents that fall behind go at once.
 
 Cases: null and empty texts have no terms and are no documents for the counts; items without terms, and terms that no document has, find nothing; each
 row of either table counts by itself, repeated rows and ids too (equal rows get neighbouring ranks); equal scores go by doc_id, nulls last;
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ from . import textcore as tc
 BEST = 10
 #: Constants of the score: a match is SCALE * tf // (1000 * tf + 8 * m), with m = 10 + LENGTH * n * documents // all terms.
 SCALE, LENGTH, FLOOR = 1_000_000_000, 90, 10
-#: No match counts more than this times its term's weight.
-MOST = SCALE // 1000
-#: Postings of the rarest terms that the first step looks at, for each place that is asked for.
-SEED_POSTINGS = 50
+#: Postings of the rarest terms that the first step looks at, and documents that it scores in full, for each place that is asked for.
+SEED_POSTINGS, FIRST = 50, 10
 PER_BUCKET = 500_000
+#: Light terms are joined in steps: first those that are needed to have this share of the score to be reached, then the next, the lightest last.
+LEVELS = (1.0, 0.7, 0.4, 0.1)
 _H: list[tc.Hasher] = []
 
 
@@ -163,27 +164,41 @@ def rank(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "doc
         own = of.select("q", "term", "w", each_slice)
         return postings.join(own, ["term", "slice"]).groupBy("q", "row").agg(F.first("doc_id").alias("doc_id"), worth)
 
-    place = F.row_number().over(by_item.orderBy(F.desc("score"), "row"))
-    reached = matched(wanted.where("seed")).select("q", "row", "score").withColumn("place", place).where(F.col("place") <= best)
+    def completed(found: DataFrame, by: DataFrame) -> DataFrame:
+        """q, row, doc_id and score of these rows (with the same columns) with what the terms ``by`` add to them."""
+        own = found.select("q", "row").join(by.select("q", "term", "w", "slices"), "q").withColumn("slice", _slice())
+        more = postings.join(own, ["term", "slice", "row"]).select("q", "row", "doc_id", (F.col("w") * F.col("impact")).alias("score"))
+        return found.union(more).groupBy("q", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("score").alias("score"))
+
+    def leading(scored: DataFrame, n: int) -> DataFrame:
+        place = F.row_number().over(by_item.orderBy(F.desc("score"), "row"))
+        return scored.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+    kept = lambda part, df: df.write.parquet(f"{path}/{part}") or spark.read.parquet(f"{path}/{part}")
+    first = kept("first", leading(matched(wanted.where("seed")), FIRST * best))
+    reached = leading(completed(first, wanted.where("not seed")), best)
     reached = reached.groupBy("q").agg(F.min("score").alias("reached"), F.count(F.lit(1)).alias("n")).where(F.col("n") == best).drop("n")
-    bound = F.col("w") * MOST
-    split = wanted.join(reached, "q", "left").withColumn("bound", bound)
-    split = split.withColumn("light", before("bound", "w", "term") + F.col("bound") < F.coalesce("reached", F.lit(0)))
-    split.write.parquet(f"{path}/split")
-    split = spark.read.parquet(f"{path}/split")
-    limits = split.groupBy("q").agg(F.coalesce(F.sum(F.when(F.col("light"), F.col("bound"))), F.lit(0)).alias("rest"), F.coalesce(F.max("reached"), F.lit(0)).alias("reached"))
-    found = matched(split.where("not light")).join(limits, "q").where(F.col("score") + F.col("rest") >= F.col("reached")).select("q", "row", "doc_id", "score")
-    found.write.parquet(f"{path}/found")
-    found = spark.read.parquet(f"{path}/found")
-    light = split.where("light").select("q", "term", "w", "slices")
-    more = found.select("q", "row").join(light, "q").withColumn("slice", _slice())
-    more = postings.join(more, ["term", "slice", "row"]).select("q", "row", "doc_id", (F.col("w") * F.col("impact")).alias("score"))
-    scored = found.union(more).groupBy("q", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("score").alias("score")).where("score > 0")
+    highest = postings.groupBy("term", "slice").agg(F.max("impact").alias("highest")).groupBy("term").agg(F.max("highest").alias("highest"))
+    split = wanted.join(reached, "q", "left").join(highest, "term").withColumn("bound", F.col("w") * F.col("highest"))
+    below, reach = before("bound", "w", "term") + F.col("bound"), F.coalesce("reached", F.lit(0))
+    level = reduce(lambda rest, k: F.when(below < reach * LEVELS[k], F.lit(k + 1)).otherwise(rest), range(len(LEVELS)), F.lit(0))
+    split = kept("split", split.withColumn("level", level))
+    rest = [F.sum(F.when(F.col("level") > k, F.col("bound")).otherwise(0)).alias(f"rest{k}") for k in range(len(LEVELS) + 1)]
+    limits = split.groupBy("q").agg(F.coalesce(F.max("reached"), F.lit(0)).alias("reached"), *rest)
+
+    def able(scored: DataFrame, k: int) -> DataFrame:
+        """The rows that can be among the best if all terms of higher levels come at their highest."""
+        return scored.join(limits, "q").where(F.col("score") + F.col(f"rest{k}") >= F.col("reached")).select("q", "row", "doc_id", "score")
+
+    scored = able(matched(split.where("level = 0")), 0)
+    for k in range(1, len(LEVELS) + 1):
+        scored = able(completed(kept(f"found{k}", scored), split.where(F.col("level") == k)), k)
+    scored = scored.where("score > 0")
     order = by_item.orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     names = asked.select("q", "item_id").distinct()
     top.join(names, "q").select("item_id", "rank", "doc_id", "score").write.parquet(f"{path}/top")
     spark.sql(f"drop table {name}")
-    for part in ("wanted", "sliced", "postings", "found"):
+    for part in ("wanted", "sliced", "postings", "first", *(f"found{k}" for k in range(1, len(LEVELS) + 1))):
         hs.remove(spark, f"{path}/{part}")
     return spark.read.parquet(f"{path}/top")
