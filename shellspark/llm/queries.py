@@ -113,11 +113,20 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    out = secrets.scan(_table(spark, sf_dir, "documents"), into="spans", keep=["doc_id"])
+    number = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = secrets.listed(F.filter("spans", lambda s: s.kind != "learned"))
+    return out.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict:
     own = (
         op1_kneser_ney, op2_order_minhash, op3_two_pass_shuffle, op4_token_counts, op5_line_quality,
         op6_license_scan, op7_decontaminate, op8_warc, op9_sentencepiece, op10_url_filter,
-        op11_lexical_search, op12_collocations,
+        op11_lexical_search, op12_collocations, op13_secret_scan,
     )
     return {f.__name__: f for f in own}
 
