@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-import os
 from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -548,40 +545,81 @@ def q_report_groups(spark, d):
     return group_table(_result(spark, d), "solvent", "md_count")
 
 
-# Files: written by this query to a shared folder, then scanned.
+# Files: written whole from the embeddings (a frame for each, 21 atoms), then scanned; coordinates in hundredths (PDB: thousandths) of an Å.
 
 
-def _folder(spark: SparkSession) -> str:
-    path = shared_dir(spark, "scan").removeprefix("file://")
-    os.makedirs(path)
-    return path
+def _cloud(spark, d) -> tuple[DataFrame, DataFrame]:
+    """frame, atom_index, x, y, z; and frame, a, b, c (the edges of its cell)."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") + 1).cast("int").alias("frame"), F.col("embedding").alias("e"), "label")
+    each = rows.select("frame", "e", F.explode(F.sequence(F.lit(1), F.lit(21))).alias("atom_index"))
+    at = lambda k: F.element_at("e", F.col("atom_index") * 3 - k).cast("double") * F.lit(10.0)
+    coords = each.select("frame", "atom_index", at(2).alias("x"), at(1).alias("y"), at(0).alias("z"))
+    edge = lambda e: (F.lit(30.0) + e).cast("double")
+    return coords, rows.select("frame", edge(F.col("frame") % 7).alias("a"), edge(F.col("frame") % 5).alias("b"), edge(F.col("label")).alias("c"))
+
+
+def _hundredths(coords: DataFrame, cells: DataFrame, parts: int = 100) -> DataFrame:
+    whole = lambda c: F.round(F.col(c) * parts).cast("bigint").alias(c)
+    return coords.join(cells.select("frame", "volume"), "frame").select("frame", "atom_index", *map(whole, "xyz"), F.round("volume", 2).alias("volume"))
 
 
 @query
-def q_dcd_scan(spark, d):
+def q_xtc_scan(spark, d):
+    from .sources import xtc
+
+    path, (coords, cells) = shared_dir(spark, "xtc"), _cloud(spark, d)
+    zero = F.lit(0.0)
+    xtc.write(coords, cells.select("frame", F.array("a", zero, zero, zero, "b", zero, zero, zero, "c").alias("m")), path, frames_per_file=256)
+    own = xtc.scan(spark, path, range_bytes=1 << 14)
+    return _hundredths(own.coords(), own.cells)
+
+
+@query
+def q_xtc_stride(spark, d):
+    """Every seventh frame from the third to the 150th, and the first five atoms."""
+    from .sources import xtc
+
+    path, (coords, cells) = shared_dir(spark, "xtc"), _cloud(spark, d)
+    zero = F.lit(0.0)
+    xtc.write(coords, cells.select("frame", F.array("a", zero, zero, zero, "b", zero, zero, zero, "c").alias("m")), path, frames_per_file=256)
+    own = xtc.scan(spark, path, range_bytes=1 << 14)
+    return _hundredths(own.coords(3, 150, 7, lastatom=5), own.cells)
+
+
+def _dcd(spark, d):
     from .sources import dcd
 
-    rng_ = np.random.default_rng(3)
-    path = os.path.join(_folder(spark), "a.dcd")
-    dcd.write(path, [([30.0 + k, 90.0, 30.0, 90.0, 0.0 if k == 2 else 90.0, 30.0], rng_.random((7, 3)) * 30) for k in range(5)])
-    coords, cells = dcd.trajectory(spark, path)
-    return coords.join(cells.select("frame", "volume"), "frame")
+    path, (coords, cells) = shared_dir(spark, "dcd"), _cloud(spark, d)
+    right = [F.lit(90.0).alias(c) for c in ("alpha", "beta", "gamma")]
+    dcd.write_parts(coords, cells.select("frame", "a", "b", "c", *right), path, frames_per_file=256)
+    return dcd.scan(spark, path)
+
+
+@query
+def q_dcd_scan(spark, d):
+    own = _dcd(spark, d)
+    return _hundredths(own.coords(), own.cells)
+
+
+@query
+def q_dcd_stride(spark, d):
+    """Every fifth frame from the second to the 140th, and the first four atoms."""
+    own = _dcd(spark, d)
+    return _hundredths(own.coords(2, 140, 5, lastatom=4), own.cells)
 
 
 @query
 def q_pdb_scan(spark, d):
     from .sources import pdb
 
-    path = os.path.join(_folder(spark), "a.pdb")
-    with open(path, "w") as f:
-        for k in range(4):
-            if k != 2:
-                f.write(f"CRYST1   {30 + k}.000   30.000   30.000  90.00  90.00  90.00 P 1           1\n")
-            for i in range(6):
-                f.write(f"ATOM  {i + 1:5d}  O   WAT X{i // 3 + 1:4d}    {i * 1.5 + k:8.3f}{i * 0.5:8.3f}{math.sin(i):8.3f}  0.00  0.00\n")
-            f.write("END\n")
-    coords, cells = pdb.trajectory(spark, path)
-    return coords.join(cells.select("frame", "volume"), "frame")
+    path, (coords, cells) = shared_dir(spark, "pdb"), _cloud(spark, d)
+    box = F.format_string("CRYST1%9.3f%9.3f%9.3f  90.00  90.00  90.00 P 1           1", "a", "b", "c")
+    atom = F.format_string("ATOM  %5d  O   WAT X%4d    %8.3f%8.3f%8.3f  0.00  0.00", "atom_index", F.col("atom_index") % 7, "x", "y", "z")
+    lines = cells.select("frame", F.lit(0).alias("k"), box.alias("line")).union(coords.select("frame", "atom_index", atom)).union(cells.select("frame", F.lit(99), F.lit("END")))
+    body = lines.groupBy("frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x.line), "\n").alias("value"))
+    body.repartitionByRange(4, "frame").sortWithinPartitions("frame").select("value").write.text(path)
+    own, boxes = pdb.trajectory(spark, path)
+    return _hundredths(own, boxes, 1000)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -195,6 +195,15 @@ gs AS (SELECT *, CASE WHEN max(c) OVER () > min(c) OVER () THEN (c - min(c) OVER
     return _sql(_BY_TYPE + more, "ix:i iy:i iz:i gx:r gy:r gz:r atom:i r:r value:r", "gs")
 
 
+def _scanned(kind: str, parts: int, chosen: str) -> str:
+    """Coordinates that a file holds as ``kind``, in whole parts of an Å, and the cells' volumes."""
+    at = lambda k: f"round((embedding[atom_index * 3 - {k}]::DOUBLE * 10.0)::{kind}::DOUBLE * {parts})::BIGINT"
+    return (
+        f"SELECT frame, atom_index, {at(2)} AS x, {at(1)} AS y, {at(0)} AS z, round(((30 + frame % 7) * (30 + frame % 5) * (30 + label))::DOUBLE, 2) AS volume"
+        f" FROM (SELECT vec_id + 1 AS frame, embedding, label, unnest(range(1, 22)) AS atom_index FROM embeddings) WHERE {chosen}"
+    )
+
+
 def all_sql() -> dict[str, str]:
     lb, deg = _labelled(), "pi() / 180"
     group = lambda ctes, of, cols="side group_id:i bin:i n:r": _sql(ctes, cols, f"(SELECT side, group_id, bin, sum(w) AS n FROM (SELECT 'solute' AS side, {of.format(atom='i', atype='satype')} AS group_id, {_bin('d')} AS bin, 1.0::DOUBLE AS w FROM md UNION ALL SELECT 'solvent', {of.format(atom='j', atype='vatype')}, {_bin('d')}, 1.0 FROM md) GROUP BY ALL)")
@@ -269,5 +278,10 @@ def all_sql() -> dict[str, str]:
     q["rc_plot_data"] = _sql(_MAP, _RC + " tick", "(SELECT residue_pos, resnum, label, bin, d, cn AS value, CASE WHEN residue_pos % 4 = 1 THEN label END AS tick FROM mp WHERE residue_pos % 2 = 1)")
     q["grid3d"] = _grid()
     q["report_main"] = _sql(_RESULT, "bin:i d:r mddf:r kb:r md_count:r md_count_random:r coordination_number:r coordination_number_random:r shell_volume:r", "bins")
+    for key, kind, parts, chosen in (
+        ("xtc_scan", "DOUBLE", 100, "true"), ("xtc_stride", "DOUBLE", 100, "frame BETWEEN 3 AND 150 AND frame % 7 = 3 AND atom_index <= 5"),
+        ("dcd_scan", "FLOAT", 100, "true"), ("dcd_stride", "FLOAT", 100, "frame BETWEEN 2 AND 140 AND frame % 5 = 2 AND atom_index <= 4"), ("pdb_scan", "DOUBLE", 1000, "true"),
+    ):
+        q[key] = _scanned(kind, parts, chosen)
     q["report_groups"] = _sql(_BY_TYPE, "bin:i d:r group_1:r group_2:r group_3:r", "(SELECT bins.bin, any_value(d) AS d, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE group_id = {k}), 0) AS group_{k}" for k in (1, 2, 3)) + " FROM bins LEFT JOIN (SELECT * FROM gr WHERE side = 'solvent') g ON g.bin = bins.bin GROUP BY bins.bin)")
     return q

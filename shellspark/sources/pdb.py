@@ -13,44 +13,57 @@ def _cut(a: int, b: int):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """The file's lines with their frame and order; large files are read in blocks.
+    """The file's lines with their frame and order; large files are read in blocks, a folder's files in the order of their names.
 
     The frame of a line is one more than the terminators before it: those of earlier blocks, summed over the few blocks, and those
     before it in its own block.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("line"))
     end = F.rtrim("value").isin("END", "ENDMDL")
     atom = F.substring("value", 1, 6).isin("ATOM  ", "HETATM")
     raw = raw.withColumns({"end": end.cast("int"), "is_atom": atom, "kind": F.substring("value", 1, 6)})
     # Two terminators in a row (ENDMDL, then END at the end of the file) close one frame: those without atoms before them count for nothing.
-    in_block = Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     rows = raw.withColumn("ends_before", F.coalesce(F.sum("end").over(in_block), F.lit(0)))
-    blocks = raw.groupBy("block").agg(F.sum("end").alias("n"))
-    before = blocks.withColumn("earlier", F.sum("n").over(Window.orderBy("block")) - F.col("n")).select("block", "earlier")
-    rows = rows.join(before, "block").withColumn("part", F.col("ends_before") + F.col("earlier"))
+    blocks = raw.groupBy("file", "block").agg(F.sum("end").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")  # a row for each block
+    rows = rows.join(blocks.withColumn("earlier", earlier).select("file", "block", "earlier"), ["file", "block"])
+    rows = rows.withColumn("part", F.col("ends_before") + F.col("earlier"))
     full = rows.where("is_atom").select("part").distinct()
-    numbered = full.withColumn("frame", F.row_number().over(Window.orderBy("part")).cast("int"))
-    return rows.join(numbered, "part").select("frame", "block", "line", "kind", "is_atom", "value")
+    numbered = full.withColumn("frame", F.row_number().over(Window.orderBy("part")).cast("int"))  # a row for each frame
+    return rows.join(numbered, "part").select("frame", "file", "block", "line", "kind", "is_atom", "value")
 
 
 def _atoms(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("block", "line")
+    order = Window.partitionBy(*by).orderBy("file", "block", "line")
     rows = rows.where("is_atom").withColumn("atom_index", F.row_number().over(order).cast("int"))
     number = lambda a, b: F.expr(f"try_cast(trim(substring(value, {a}, {b - a + 1})) as double)")
     whole = lambda a, b: F.expr(f"try_cast(trim(substring(value, {a}, {b - a + 1})) as int)")
-    return rows.select(*by, "atom_index", whole(7, 11).alias("index_pdb"), _cut(13, 16).alias("name"), _cut(18, 21).alias("resname"), _cut(22, 22).alias("chain"), whole(23, 26).alias("resnum"), number(31, 38).alias("x"), number(39, 46).alias("y"), number(47, 54).alias("z"), number(55, 60).alias("occup"), number(61, 66).alias("beta"), _cut(73, 76).alias("segname"), _cut(77, 78).alias("element"))
+    texts = {"name": _cut(13, 16), "resname": _cut(18, 21), "chain": _cut(22, 22), "resnum": whole(23, 26)}
+    numbers = {"x": number(31, 38), "y": number(39, 46), "z": number(47, 54), "occup": number(55, 60), "beta": number(61, 66)}
+    columns = {"index_pdb": whole(7, 11), **texts, **numbers, "segname": _cut(73, 76), "element": _cut(77, 78)}
+    return rows.select(*by, "atom_index", *(c.alias(name) for name, c in columns.items()))
 
 
 def read_pdb(spark: SparkSession, path: str, selection: str | None = None) -> DataFrame:
-    """All atoms of a file, numbered through, with residue and model numbers."""
+    """All atoms of a file, numbered through, with residue and model numbers.
+
+    Atoms and residues are counted in each model, and on from the models before it: no task sees more than a model.
+    """
     from ..operators.selection import select
 
-    rows = lines(spark, path).withColumn("model", F.col("frame"))
-    order = Window.partitionBy(F.lit(0)).orderBy("model", "atom_index")
-    out = _atoms(rows, ("model",)).withColumn("atom_index", F.row_number().over(order).cast("int"))
-    key = F.concat_ws("\x00", "model", "chain", "segname", "resnum", "resname")
-    first = out.withColumn("key", key).withColumn("new", (F.lag("key").over(order).isNull() | (F.lag("key").over(order) != F.col("key"))).cast("int"))
-    out = first.withColumn("residue", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("key", "new")
+    own = _atoms(lines(spark, path).withColumn("model", F.col("frame")), ("model",))
+    order = Window.partitionBy("model").orderBy("atom_index")
+    key = F.concat_ws("\x00", "chain", "segname", "resnum", "resname")
+    before = F.lag(key).over(order)
+    new = (before.isNull() | (before != key)).cast("int")
+    own = own.withColumn("new", new).withColumn("residue", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sizes = own.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("residues"))  # a row for each model
+    earlier = Window.orderBy("model").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("model", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "residues")))
+    shifted = {"atom_index": F.col("atom_index") + F.col("n_before"), "residue": F.col("residue") + F.col("residues_before")}
+    out = own.join(sizes, "model").withColumns({k: c.cast("int") for k, c in shifted.items()}).drop("new", "n_before", "residues_before")
     return out if selection is None else select(out, selection)
 
 

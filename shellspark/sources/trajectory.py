@@ -13,20 +13,32 @@ from ..functions import geometry as geo
 from ..operators.selection import AtomSelection
 from ..options import Options
 from ..plans.system import System
-from . import dcd, pdb
+from . import dcd, pdb, xtc
+from .scan import Scan
 
 
-def _parquet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/coords"), spark.read.parquet(f"{path}/cells")
+def _parquet(spark: SparkSession, path: str) -> Scan:
+    """Coordinates by spans of frames: the frames of a choice imply spans, so other folders are not opened."""
+    coords, cells = spark.read.parquet(f"{path}/coords"), spark.read.parquet(f"{path}/cells")
+    if "span" not in coords.columns:
+        return Scan.of(coords, cells)
+    size = int(spark.read.parquet(f"{path}/layout").first().frames_per_file)
 
+    def read(first: int, last: int, stride: int, lastatom: int) -> DataFrame:
+        spans = F.col("span") >= (first - 1) // size
+        own = coords.where(spans & (F.col("span") <= (last - 1) // size) if last >= 0 else spans)
+        return Scan.of(own.drop("span"), cells).coords(first, last, stride, lastatom)
 
-#: Readers by format; others can be registered under a name of their own.
-FORMATS: dict[str, Callable] = {"pdb": pdb.trajectory, "dcd": dcd.trajectory, "parquet": _parquet}
-_NAMES = {"PDBTraj": "pdb", "NamdDCD": "dcd"}
+    return Scan(cells, read)
+
+
+#: Readers by format: functions (spark, path) that return a Scan, or coords and cells.  Others can be registered under a name of their own.
+FORMATS: dict[str, Callable] = {"pdb": pdb.trajectory, "dcd": dcd.scan, "xtc": xtc.scan, "parquet": _parquet}
+_NAMES = {"PDBTraj": "pdb", "NamdDCD": "dcd", "XTC": "xtc"}
 
 
 def register(name: str, reader: Callable) -> None:
-    """Add a format: a function (spark, path) that returns coords and cells."""
+    """Add a format: a function (spark, path) that returns a Scan, or coords and cells."""
     FORMATS[name.lower()] = reader
 
 
@@ -35,6 +47,7 @@ def write_parquet(coords: DataFrame, cells: DataFrame, path: str, frames_per_fil
     spans = F.floor((F.col("frame") - 1) / frames_per_file).cast("int")
     coords.withColumn("span", spans).repartition("span").sortWithinPartitions("frame", "atom_index").write.partitionBy("span").parquet(f"{path}/coords")
     cells.write.parquet(f"{path}/cells")
+    coords.sparkSession.createDataFrame([(frames_per_file,)], "frames_per_file int").coalesce(1).write.parquet(f"{path}/layout")
 
 
 @dataclass
@@ -43,8 +56,16 @@ class Trajectory:
     filename: str
     solute: AtomSelection
     solvent: AtomSelection
-    coords: DataFrame
-    cells: DataFrame
+    scan: Scan
+    format: str = ""
+
+    @property
+    def coords(self) -> DataFrame:
+        return self.scan.coords()
+
+    @property
+    def cells(self) -> DataFrame:
+        return self.scan.cells
 
     @classmethod
     def open(cls, spark: SparkSession, filename: str, solute: AtomSelection, solvent: AtomSelection | None = None, format: str | None = None) -> Trajectory:  # noqa: A002
@@ -52,8 +73,8 @@ class Trajectory:
         kind = _NAMES.get(format, format) if format else os.path.splitext(filename)[1].lstrip(".") or "parquet"
         if kind.lower() not in FORMATS:
             raise ValueError(f"no reader for the format {kind!r}")
-        coords, cells = FORMATS[kind.lower()](spark, filename)
-        return cls(spark, filename, solute, solvent or solute, coords, cells)
+        scan = FORMATS[kind.lower()](spark, filename)
+        return cls(spark, filename, solute, solvent or solute, scan if isinstance(scan, Scan) else Scan.of(*scan), kind.lower())
 
     @property
     def autocorrelation(self) -> bool:
@@ -62,7 +83,7 @@ class Trajectory:
     def irefatom(self) -> int:
         """The atom of the first solvent molecule that is closest to its mean, in the first frame."""
         first = self.solvent.table(self.spark).where("mol = 1")
-        rows = self.coords.where("frame = 1").join(first, "atom_index").select("atype", "x", "y", "z").orderBy("atype").collect()
+        rows = self.scan.coords(1, 1, lastatom=max(self.solvent.indices)).join(first, "atom_index").select("atype", "x", "y", "z").orderBy("atype").collect()
         mean = [sum(r[c] for r in rows) / len(rows) for c in "xyz"]
         return min(rows, key=lambda r: (sum((r[c] - m) ** 2 for c, m in zip("xyz", mean, strict=True)), r.atype)).atype
 
@@ -87,7 +108,8 @@ class Trajectory:
                 raise ValueError("there must be a weight for each frame up to the last")
             own = self.spark.createDataFrame([(k, w) for k, w in enumerate(weights, 1)], "frame int, w double")
             frames = frames.join(own, "frame")
-        side = lambda sel, s: self.coords.join(sel.table(self.spark), "atom_index").select("frame", *(F.col(c).cast("bigint").alias(s + t) for c, t in (("mol", "mol"), ("mol", "idx"))), F.col("atype").alias(f"{s}atype"), F.col("atom_index").cast("bigint").alias(f"{s}atom"), *(F.col(c).alias(s + c) for c in "xyz"))
+        read = lambda sel: self.scan.coords(o.firstframe, o.lastframe, o.stride, max(sel.indices))
+        side = lambda sel, s: read(sel).join(sel.table(self.spark), "atom_index").select("frame", *(F.col(c).cast("bigint").alias(s + t) for c, t in (("mol", "mol"), ("mol", "idx"))), F.col("atype").alias(f"{s}atype"), F.col("atom_index").cast("bigint").alias(f"{s}atom"), *(F.col(c).alias(s + c) for c in "xyz"))
         groups = None
         if self.solute.custom_groups or self.solvent.custom_groups:
             parts = [sel.groups(self.spark).select(F.lit(name).alias("side"), "group_id", "group_name", F.col("atom_index").cast("bigint").alias("atom")) for name, sel in (("solute", self.solute), ("solvent", self.solvent))]
