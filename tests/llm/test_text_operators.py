@@ -183,8 +183,8 @@ def test_decontamination(spark, docs, empty):
     words = [t.split(" ") for _, t in items[:12]]
     texts = [prose(200, 9) + " " + items[0][1].upper() + " " + prose(50, 10), " ".join(words[1][:5] + ["odd"] + words[1][6:]), " ".join(words[2][:3] + words[2][5:]) + " " + prose(30, 11), " ".join(words[3][:10]), prose(100, 12), None, "", "this short item!", LONG + " " + items[4][1]]
     own = spark.createDataFrame([(k, t, "en", None, 1) for k, t in enumerate(texts)], KINDS)
-    for block in (dc.BLOCK, 700):  # in one block, and in several
-        out = dc.find(own, table, into="lang", block=block)
+    for size in (dc.ITEM_BYTES, 700):  # in one file, and in several
+        out = dc.find(own, table, into="lang", item_bytes=size)
         assert out.columns == ["doc_id", "text", "source", "n_chars", "lang"]
         got = {(r.doc_id, h.item_id): h.errors for r in out.collect() for h in r.lang}
         expected = {}
