@@ -8,6 +8,9 @@ A lookup sorts its keys once and searches each bucket's mapped array; nothing is
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import json
 import os
 import tempfile
@@ -58,9 +61,10 @@ def mapped(uri: str, dtype) -> np.ndarray:
     """The file as an array; one that is not on a mounted file system is first copied beside the worker."""
     fs, path = _fs(uri)
     if urlparse(uri).scheme not in ("", "file"):
-        local = os.path.join(tempfile.gettempdir(), f"store-{abs(hash(uri))}")
+        local = os.path.join(tempfile.gettempdir(), f"store-{hashlib.sha256(uri.encode()).hexdigest()}")
         if not os.path.exists(local):
             own = f"{local}.{uuid.uuid4().hex}"
+            atexit.register(_forget, local)
             with fs.open_input_stream(path, compression=None) as src, open(own, "wb") as dst:
                 while block := src.read(1 << 22):
                     dst.write(block)
@@ -69,6 +73,12 @@ def mapped(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+def _forget(local: str) -> None:
+    """Delete a copy; workers that have mapped it keep what they see."""
+    with contextlib.suppress(OSError):
+        os.remove(local)
+
+
 def put_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """Write named arrays as one file that arrays() maps."""
     kinds = [(name, x.dtype.str, len(x)) for name, x in arrays.items()]
