@@ -1,21 +1,24 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
-Labels.  The trees learn from labelled urls that the caller gives (columns url and block).  Without such, ``seeded`` labels the urls of the
-pages themselves: block, where a part of the host (between dots and hyphens) is a word of ``SEEDS``, else allow.  Labels are never
-made from the rules.  The trees do not see the words, only the features below, so what they learn holds for hosts that no list names.
+Labels.  The trees learn from labelled urls that the caller gives (columns url and block).  Without such, they learn from the urls of the pages
+themselves, labelled by ``seeded`` (block, where a part of the host, between dots and hyphens, is a word of ``SEEDS``), together with
+``examples``: urls made on the pages' domains by known forms of unwanted ones (a seed word alone or with others, random hosts, runs of
+digits, long click parameters) and of others of like forms (hyphenated names, numbers, parameters, seed words in the path).  Both kinds
+have urls with and without hyphens, digits, parameters and deep paths, so no single feature tells them apart.  Labels are never made from the rules.
 
 Features.  Lengths of url, host, path and the host's longest label, path depth, labels of the host, digit ratio, other-character ratio, entropy
-of the url's and of the host's characters, query parameters, fragment, hyphens of url and host, digits of the host, share of
-vowels in the host, and for two suffixes of the host (its last label and its last two) how many labelled rows have it and
-its smoothed share of blocked ones.  These counts cover all labelled rows and are a sorted hash store that workers map.  For fitting they are
-out of fold: rows are cut into ``FOLDS`` folds by host, and a row's counts leave out its own fold.
+of the url's and of the host's characters, query parameters and their length, fragment, hyphens and digits of the host, share of
+vowels in the host; for two suffixes of the host (its last label and its last two) how many labelled rows have it and
+its smoothed share of blocked ones; and of the host's parts the highest and the mean share of blocked rows, and how many labelled rows
+know.  These counts cover all labelled rows and are a sorted hash store that workers map.  For fitting they are out of fold: rows
+are cut into ``FOLDS`` folds by host, and a row's counts leave out its own fold.
 
 The trees are fitted on the driver from about ``MOST_TRAINING`` of the distinct labelled urls at most, those whose hash is below a
 threshold (a documented bound; all other steps cover all rows).
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits no rule, and is judged by the trees; without labelled urls, or with
-labels of one kind only, the trees give that share (none: allow); a url labelled both ways is two rows; equal urls get equal verdicts; an
-empty table gives an empty table; columns of the input with the names of results, in any case, are replaced.
+labels of one kind only, the trees give that share (none: allow); a url labelled both ways is two rows; equal urls get equal verdicts; a
+url may have any length; an empty table gives an empty table; columns of the input with the names of results, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from . import hashstore as hs
 from . import textcore as tc
 
-MOST_TRAINING, TREES, DEPTH, RATE, BINS, FOLDS, SMOOTH = 20_000, 40, 3, 0.2, 32, 5, 20
+MOST_TRAINING, TREES, DEPTH, RATE, BINS, FOLDS, SMOOTH, SMOOTH_PART = 20_000, 60, 4, 0.2, 32, 5, 20, 1
 #: Words by which ``seeded`` labels a host.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "betting", "casino", "casinos", "drugs", "gambling", "loans", "malware", "phishing", "pills", "poker", "porn", "slots", "spam", "tracker", "viagra", "warez", "xxx")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,7 +42,8 @@ UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PART = 256 << 10
 FEATURES = (
     "length", "host_length", "path_length", "longest_label", "depth", "host_labels", "digit_ratio", "other_ratio", "entropy", "host_entropy",
-    "parameters", "fragment", "hyphens", "host_hyphens", "host_digits", "host_vowels", "suffix1_count", "suffix1_share", "suffix2_count", "suffix2_share",
+    "parameters", "query_length", "fragment", "host_hyphens", "host_digits", "host_vowels", "suffix1_count", "suffix1_share", "suffix2_count", "suffix2_share",
+    "part_highest", "part_mean", "parts_known",
 )
 
 
@@ -73,6 +77,63 @@ def suffix_keys(host: Column) -> tuple[Column, Column]:
     return tuple(F.xxhash64(F.lit(k), F.substring_index(host, ".", -k)) for k in (1, 2))
 
 
+def keys_of(host: Column) -> Column:
+    """Keys of the two suffixes, then of the host's parts without the last label, each once."""
+    parts = F.array_distinct(F.split(F.regexp_replace(host, r"\.[^.]*$", ""), "[.-]"))
+    return F.concat(F.array(*suffix_keys(host)), F.transform(parts, lambda p: F.xxhash64(F.lit(0), p)))
+
+
+#: Plain words of hosts, fixed: those of the examples that are not unwanted.
+PLAIN = (
+    "my", "company", "data", "science", "news", "blog", "docs", "shop", "home", "garden", "city", "library", "music", "school", "travel", "health", "open", "source", "world",
+    "green", "river", "weather", "photo", "book", "kitchen", "design", "art", "sport", "local", "north", "family", "team", "cloud", "maps", "forum", "wiki", "support", "bank",
+)
+EXAMPLES, HOSTS = 6000, 400
+
+
+def examples(hosts: list[str], n: int = EXAMPLES, seed: int = 4) -> list[tuple[str, bool, str]]:
+    """n labelled urls with their form; hosts: some of the pages', for their domains and words."""
+    rng = np.random.default_rng(seed)
+    pick = lambda own: own[int(rng.integers(len(own)))]
+    chars = lambda own, a, b: "".join(pick(own) for _ in range(int(rng.integers(a, b + 1))))
+    number = lambda a, b: str(int(rng.integers(a, b)))
+    domains = sorted({".".join(h.split(".")[-2:]) for h in hosts if h.count(".")}) or ["example.com", "example.net", "example.org"]
+    # The pages' own hosts have one-off words: half of what the examples use, so being known is no sign of either kind.
+    words = [*PLAIN, *sorted({w for h in hosts for w in h.replace("-", ".").split(".")[:-2]} - {*SEEDS, "www", "m", ""})[: len(PLAIN)]]
+    alnum, hexa = LOWERED + "0123456789", "0123456789abcdef"
+    plain = lambda: pick(words)
+    query = lambda k, own, a, b: "?" + "&".join(f"{pick(('id', 'ref', 'page', 'utm_source', 'cid', 'sub', 'src', 'q'))}={chars(own, a, b)}" for _ in range(k))
+    page = lambda: f"/{pick(('en', 'de', 'fr', 'es'))}/{number(1, 9999)}{pick(('', '/', '.html', '#top', '?page=2&ref=x', '?utm_source=feed'))}"
+    tail = lambda: pick((lambda: "/", lambda: "", page, page, lambda: f"/{plain()}-{plain()}/{plain()}-{number(1, 99)}"))()
+    forms = {
+        True: {
+            "word": lambda: (pick(SEEDS), tail()), "word-first": lambda: (f"{pick(SEEDS)}-{plain()}", tail()), "word-last": lambda: (f"{plain()}-{pick(SEEDS)}", tail()),
+            "word-between": lambda: (f"{plain()}-{pick(SEEDS)}-{plain()}", tail()), "random": lambda: (chars(alnum, 12, 24), tail()), "digits": lambda: (f"{plain()}{chars('0123456789', 4, 8)}", tail()),
+            "clicks": lambda: (plain(), f"/{plain()}{query(int(rng.integers(4, 9)), hexa, 8, 32)}"),
+        },
+        False: {
+            "plain": lambda: (plain(), tail()), "plain-pair": lambda: (f"{plain()}-{plain()}", tail()), "plain-triple": lambda: (f"{plain()}-{plain()}-{plain()}", tail()),
+            "numbered": lambda: (f"{plain()}{number(1, 99)}", tail()), "joined": lambda: (plain() + plain() + plain(), tail()), "parameters": lambda: (plain(), f"/{plain()}{query(int(rng.integers(1, 4)), alnum, 1, 9)}"),
+            "word-in-path": lambda: (plain(), f"/{plain()}/{pick(SEEDS)}-{plain()}-{number(1, 99999)}"), "deep": lambda: (plain(), "".join(f"/{plain()}" for _ in range(int(rng.integers(3, 8)))) + f"/{number(1, 10**8)}"),
+        },
+    }
+    out = []
+    for k in range(n):
+        block = k % 2 == 0
+        form = pick(sorted(forms[block]))
+        host, rest = forms[block][form]()
+        out.append((f"{pick(('http', 'https'))}://{pick(('', '', 'www.', 'm.'))}{host}.{pick(domains)}{rest}", block, form))
+    return out
+
+
+def labelled_by_default(pages: DataFrame, url_col: str) -> DataFrame:
+    """The pages' urls by ``seeded`` and the examples."""
+    host = host_path(F.col(url_col))[0]
+    hosts = [r.h for r in pages.select(host.alias("h")).where("h <> ''").distinct().orderBy(F.xxhash64("h"), "h").limit(HOSTS).collect()]
+    made = [(u, b) for u, b, _ in examples(hosts)]
+    return seeded(pages, url_col).union(pages.sparkSession.createDataFrame(made, "url string, block boolean"))
+
+
 def _count(data: np.ndarray, offsets: np.ndarray, chars: bytes) -> np.ndarray:
     own = np.zeros(256, np.int64)
     own[list(chars)] = 1
@@ -104,16 +165,24 @@ def lexical(url: pa.Array, host: pa.Array, path: pa.Array) -> np.ndarray:
     digits, letters = (_count(data, offsets, x) for x in (b"0123456789", (LOWERED + UPPER).encode()))
     columns = (
         size, host_size, np.diff(p[1]), _longest(*h), _count(*p, b"/"), _count(*h, b".") + (host_size > 0), digits / some, (size - digits - letters) / some,
-        _entropy(data, offsets), _entropy(*h), _count(data, offsets, b"&?"), _count(data, offsets, b"#"), _count(data, offsets, b"-"), _count(*h, b"-"),
+        _entropy(data, offsets), _entropy(*h), _count(data, offsets, b"&?"), np.maximum(0, size - host_size - np.diff(p[1]) - 8), _count(data, offsets, b"#"), _count(*h, b"-"),
         _count(*h, b"0123456789"), _count(*h, b"aeiouy") / np.maximum(host_size, 1),
     )
     return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
 
 
-def with_suffixes(x: np.ndarray, counts: np.ndarray, blocked: np.ndarray, mean: float) -> np.ndarray:
-    """All features: counts and blocked have a column for each of the two suffixes."""
+def with_counts(x: np.ndarray, counts: np.ndarray, blocked: np.ndarray, first: np.ndarray, mean: float) -> np.ndarray:
+    """All features.  counts, blocked: of labelled rows, for each row's two suffixes and then its parts; first: where each row's begin."""
     share = (blocked + SMOOTH * mean) / (counts + SMOOTH)
-    return np.concatenate([x, np.log1p(counts[:, :1]), share[:, :1], np.log1p(counts[:, 1:]), share[:, 1:]], axis=1)
+    part = (blocked + SMOOTH_PART * mean) / (counts + SMOOTH_PART)
+    part[first] = part[first + 1] = 0
+    n = np.diff(np.append(first, len(counts))) - 2
+    known = (counts > 0).astype(np.float64)
+    known[first] = known[first + 1] = 0
+    sums = [np.add.reduceat(v, first) if len(first) else v for v in (part, known)]
+    highest = np.maximum.reduceat(part, first) if len(first) else part
+    columns = [np.log1p(counts[first]), share[first], np.log1p(counts[first + 1]), share[first + 1], highest, sums[0] / np.maximum(n, 1), sums[1]]
+    return np.concatenate([x, np.stack(columns, axis=1)], axis=1)
 
 
 @dataclass
@@ -194,15 +263,14 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
     spark = labelled.sparkSession
     host, path = host_path(F.col("url"))
     rows = labelled.where("block is not null").select("url", host.alias("host"), path.alias("path"), "block")
-    k1, k2 = suffix_keys(F.col("host"))
-    rows = rows.withColumns({"k1": k1, "k2": k2, "fold": F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS))})
+    rows = rows.withColumns({"keys": keys_of(F.col("host")), "fold": F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS))})
     model = Model(path=hs.shared_dir(spark, "suffixes"))
-    each = rows.select(F.explode(F.array("k1", "k2")).alias("key"), "fold", F.col("block").cast("long").alias("b"))
+    each = rows.select(F.explode("keys").alias("key"), "fold", F.col("block").cast("long").alias("b"))
     folds = f"{model.path}-folds"
     each.groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("blocked")).write.parquet(folds)
     counts = spark.read.parquet(folds)
     model.bits = hs.write(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")), model.path)
-    n, blocked = counts.agg(F.sum("n") / 2, F.sum("blocked") / 2).first()
+    n, blocked = rows.agg(F.count(F.lit(1)), F.sum(F.col("block").cast("long"))).first()
     if n:
         model.mean = blocked / n
         # The least hashes of distinct urls: about ``most`` of them, found without sending more than these.
@@ -210,14 +278,15 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
         below = min((1 << 63) - 1, int(0.95 * most / max(1, distinct) * (1 << 63)))
         sample = rows.where(F.xxhash64("url").bitwiseAND((1 << 63) - 1) <= below).distinct().orderBy(F.xxhash64("url"), "url", "block").limit(most)
         sample = sample.collect()
-        wanted = spark.createDataFrame([(k,) for k in sorted({k for r in sample for k in (r.k1, r.k2)})] or [(0,)], "key long")
-        found = {(r.key, r.fold): (r.n, r.blocked) for r in counts.join(F.broadcast(wanted), "key").collect()}  # 2 * most keys in FOLDS folds
-        out_of_fold = np.zeros((len(sample), 2, 2))
-        for k, r in enumerate(sample):
-            for j, key in enumerate((r.k1, r.k2)):
-                out_of_fold[k, j] = np.sum([found.get((key, f), (0, 0)) for f in range(FOLDS) if f != r.fold], axis=0)
+        wanted = spark.createDataFrame([(k,) for k in sorted({k for r in sample for k in r["keys"]})] or [(0,)], "key long")
+        found: dict[int, list] = {}
+        for r in counts.join(F.broadcast(wanted), "key").collect():  # the keys of ``most`` urls in FOLDS folds
+            found.setdefault(r.key, []).append((r.fold, r.n, r.blocked))
+        flat = [(sum(m for f, m, _ in own if f != r.fold), sum(m for f, _, m in own if f != r.fold)) for r in sample for own in (found.get(k, []) for k in r["keys"])]
+        sizes = np.array([len(r["keys"]) for r in sample], np.int64)
+        out_of_fold = np.array(flat, np.float64).reshape(-1, 2)
         x = lexical(*(pa.array([r[c] or "" for r in sample], pa.large_string()) for c in ("url", "host", "path")))
-        x = with_suffixes(x, out_of_fold[:, :, 0], out_of_fold[:, :, 1], model.mean)
+        x = with_counts(x, out_of_fold[:, 0], out_of_fold[:, 1], np.cumsum(sizes) - sizes, model.mean)
         fit(x, np.array([r.block for r in sample], np.float64), model)
     hs.remove(spark, folds)
     return model
@@ -226,17 +295,16 @@ def train(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all, if not given), host, path, rule, verdict and score (the trees' probability of block).
 
-    labelled: urls with a boolean column ``block``; by default the pages' own urls, labelled by ``seeded``.
+    labelled: urls with a boolean column ``block``; by default the pages' own urls by ``seeded``, and ``examples``.
     """
     results = ("host", "path", "rule", "verdict", "score")
     keep = tc.others(pages.columns if keep is None else keep, *results)
-    u, h, p, r, v, k1, k2 = own = tc.free([*keep, *results], "url_", "host_", "path_", "rule_", "verdict_", "key1_", "key2_")
+    u, h, p, r, v, keys = tc.free([*keep, *results], "url_", "host_", "path_", "rule_", "verdict_", "keys_")
     host, path = host_path(F.col(url_col))
     rows = pages.select(*keep, F.col(url_col).alias(u), host.alias(h), path.alias(p))
     rule, verdict = rule_of(F.col(h), F.col(p), rules)
-    keys = suffix_keys(F.col(h))
-    rows = rows.withColumns({r: rule, v: verdict, k1: keys[0], k2: keys[1]})
-    model = train(seeded(pages, url_col) if labelled is None else labelled.select("url", "block"))
+    rows = rows.withColumns({r: rule, v: verdict, keys: keys_of(F.col(h))})
+    model = train(labelled_by_default(pages, url_col) if labelled is None else labelled.select("url", "block"))
     shared = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees, whatever the input
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +314,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
             url, host, path = (tc.text_column(batch, c) for c in (u, h, p))
             for i, j in tc.slices(url, PART):
                 part = batch.slice(i, j - i)
-                counts = [store.lookup(part.column(c).to_numpy().view(np.uint64), "n", "blocked") for c in (k1, k2)]
-                n, blocked = (np.stack([c[m] for c in counts], axis=1).astype(np.float64) for m in (1, 2))
-                x = with_suffixes(lexical(*(c.slice(i, j - i) for c in (url, host, path))), n, blocked, model.mean)
+                each = part.column(keys)
+                known, n, blocked = store.lookup(each.flatten().to_numpy().view(np.uint64), "n", "blocked")
+                first = each.offsets.to_numpy()[:-1].astype(np.int64) - each.offsets[0].as_py()
+                x = lexical(*(c.slice(i, j - i) for c in (url, host, path)))
+                x = with_counts(x, n.astype(np.float64), blocked.astype(np.float64), first, model.mean)
                 score = 1 / (1 + np.exp(-model.score(x)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*keep, h, p, r, v)), pa.array(score)], [*keep, h, p, r, v, "score"])
 
