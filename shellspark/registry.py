@@ -545,6 +545,30 @@ def q_report_groups(spark, d):
     return group_table(_result(spark, d), "solvent", "md_count")
 
 
+def _through_a_document(spark, d, version: str):
+    """The result with custom groups, written in the layout of nested vectors and read back."""
+    import warnings
+
+    from .sinks import nested, persistence
+
+    path = nested.save(f"{shared_dir(spark, 'result')}/result.json", _result(spark, d, "custom"), version)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return persistence.load(spark, path)
+
+
+@query
+def q_load_groups(spark, d):
+    return _through_a_document(spark, d, "2.18.0").groups.select("side", "group_id", "bin", "n", "n_random").where("n <> 0 or n_random <> 0")
+
+
+@query
+def q_load_legacy(spark, d):
+    back = _through_a_document(spark, d, "2.17.0")
+    values = de.as_type(back.groups.where("side = 'solute' and group_id = 2").select("bin", "n", "n_random"), back.bins, "md_count")
+    return values.join(back.bins.select("bin", "mddf", "kb_rdf", "volume_bulk"), "bin")
+
+
 # Files: written whole from the embeddings (a frame for each, 21 atoms), then scanned; coordinates in hundredths (PDB: thousandths) of an Å.
 
 

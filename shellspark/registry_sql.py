@@ -283,5 +283,9 @@ def all_sql() -> dict[str, str]:
         ("dcd_scan", "FLOAT", 100, "true"), ("dcd_stride", "FLOAT", 100, "frame BETWEEN 2 AND 140 AND frame % 5 = 2 AND atom_index <= 4"), ("pdb_scan", "DOUBLE", 1000, "true"),
     ):
         q[key] = _scanned(kind, parts, chosen)
+    kept = "(SELECT side, group_id, bin, n, n_random FROM (SELECT side, group_id, bin, coalesce(n, 0) AS n, coalesce(n_random, 0) AS n_random FROM gr) WHERE n <> 0 OR n_random <> 0)"
+    q["load_groups"] = _sql(_BY_PRIORITY, "side group_id:i bin:i n:r n_random:r", kept)
+    own = "(SELECT bins.bin, d, coalesce(n, 0) AS value, mddf, kb_rdf, volume_bulk FROM bins CROSS JOIN sc LEFT JOIN (SELECT bin, n FROM gr WHERE side = 'solute' AND group_id = 2) g ON g.bin = bins.bin)"
+    q["load_legacy"] = _sql(_BY_PRIORITY, "bin:i d:r value:r mddf:r kb_rdf:r volume_bulk:r", own)
     q["report_groups"] = _sql(_BY_TYPE, "bin:i d:r group_1:r group_2:r group_3:r", "(SELECT bins.bin, any_value(d) AS d, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE group_id = {k}), 0) AS group_{k}" for k in (1, 2, 3)) + " FROM bins LEFT JOIN (SELECT * FROM gr WHERE side = 'solvent') g ON g.bin = bins.bin GROUP BY bins.bin)")
     return q

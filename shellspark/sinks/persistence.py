@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.finalise import Result
 from ..operators.selection import AtomSelection
 from ..options import VERSION, Options
+from . import nested
 
-OLDEST, WITHOUT_RANDOM_GROUPS = "2.0.0", "2.17.1"
+OLDEST = "2.0.0"
 _GROUPS = "side string, group_id int, bin int, n double, n_random double"
 
 
@@ -99,12 +100,14 @@ def save(path: str, result: Result) -> str:
 
 
 def load(spark: SparkSession, path: str) -> Result:
-    """Read a saved result; documents up to 2.17.1 may lack the groups' random counts."""
+    """Read a saved result, of this package or in the layout of nested vectors (``nested``), current or older."""
+    if nested.version_of(path)[1]:
+        return nested.load(spark, path)
     data = read_json(path)
     try:
         kinds = ", ".join(f"{c} {'int' if c == 'bin' else 'double'}" for c in data["bin_columns"])
         bins = spark.createDataFrame([tuple(r) for r in data["bins"]], kinds)
-        groups = spark.createDataFrame([(*r[:4], r[4] if len(r) > 4 else 0.0) for r in data["groups"]], _GROUPS)
+        groups = spark.createDataFrame([tuple(r) for r in data["groups"]], _GROUPS)
         return _result(data, bins, groups)
     except (KeyError, TypeError, AttributeError) as e:
         raise ValueError(f"{path} is not a saved result") from e
