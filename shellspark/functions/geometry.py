@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,20 +63,53 @@ def heights(m: Column) -> tuple[Column, Column, Column]:
     return v / area(b, c), v / area(c, a), v / area(a, b)
 
 
-def nearest(m: Column, ortho: bool, dx: Column, dy: Column, dz: Column) -> Column:
+def reduced_cell(m: list[float]) -> list[float]:
+    """Three short vectors of the same lattice (Minkowski-reduced), longest last, with the handedness of the given ones."""
+    v = np.array(m, float).reshape(3, 3)
+    sign = np.sign(np.linalg.det(v))
+    while True:
+        v = v[np.argsort((v * v).sum(axis=1), kind="stable")]
+        before = (v * v).sum()
+        # The second by the first, then the third by the nearest point of the lattice of the two.
+        v[1] -= np.rint(v[1] @ v[0] / (v[0] @ v[0])) * v[0]
+        v[:2] = v[np.argsort((v[:2] * v[:2]).sum(axis=1), kind="stable")]
+        near = np.rint(np.linalg.lstsq(v[:2].T, v[2], rcond=None)[0])
+        options = [v[2] - (near[0] + i) * v[0] - (near[1] + j) * v[1] for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        v[2] = min(options, key=lambda x: x @ x)
+        if (v * v).sum() >= before * (1 - 1e-12):
+            break
+    return (v if np.sign(np.linalg.det(v)) == sign else v * [[1], [1], [-1]]).ravel().tolist()
+
+
+def reduced(cells: DataFrame) -> DataFrame:
+    """frame and m with each cell reduced; a row for each frame."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [None if m is None else reduced_cell(m) for m in batch.column("m").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), pa.array(own, pa.list_(pa.float64()))], ["frame", "m"])
+
+    kind = cells.schema["frame"].dataType.simpleString()
+    return cells.select("frame", "m").mapInArrow(of, f"frame {kind}, m array<double>")
+
+
+def nearest(m: Column, ortho: bool, dx: Column, dy: Column, dz: Column, within: bool = False) -> Column:
     """The shortest periodic image of a difference as a struct (x, y, z, d2).
 
-    In a skewed cell rounding fractions is not enough, so the 27 images around the rounded one are compared.
+    In a skewed cell rounding fractions is exact only for images within half of the least height; ``within`` says that no others
+    matter.  Else the 27 images around the rounded one are compared, which is exact in a reduced cell.
     """
     if ortho:
         x, y, z = (near(e, m[k]) for e, k in ((dx, 0), (dy, 4), (dz, 8)))
         return F.struct((x * x + y * y + z * z).alias("d2"), x.alias("x"), y.alias("y"), z.alias("z"))
-    shifts = F.array(*(F.array(*(F.lit(float(t)) for t in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
 
-    def image(f, s):
+    def image(f, s=(0.0, 0.0, 0.0)):
         x, y, z = ((f[0] + s[0]) * m[t] + (f[1] + s[1]) * m[3 + t] + (f[2] + s[2]) * m[6 + t] for t in range(3))
         return F.struct((x * x + y * y + z * z).alias("d2"), x.alias("x"), y.alias("y"), z.alias("z"))
 
+    if within:
+        return image([g - F.floor(g + 0.5) for g in fractions(m, dx, dy, dz)])
+    shifts = F.array(*(F.array(*(F.lit(float(t)) for t in (i, j, k))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
     # The outer array binds the fractions, so that they are computed once for all images.
     rounded = F.array(F.array(*(g - F.floor(g + 0.5) for g in fractions(m, dx, dy, dz))))
     return F.transform(rounded, lambda f: F.array_min(F.transform(shifts, lambda s: image(f, s))))[0]

@@ -6,45 +6,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..plans.staging import settled
 
 
-def _cells(f: tuple, n: tuple) -> list[Column]:
-    """Cell numbers of wrapped fractional coordinates."""
-    return [F.least(F.floor((x - F.floor(x)) * k), k - 1).cast("int") for x, k in zip(f, n, strict=True)]
+KEPT = ("mol", "idx", "atype", "atom")
 
 
-def range_join(solute: DataFrame, solvent: DataFrame, frames: DataFrame, cutoff: float, ortho: bool = True, keys: tuple[str, ...] = ("frame",), strategy: str = "cells") -> DataFrame:
+def _checked(m: Column, size: tuple, cutoff: float) -> Column:
+    """The cell; an error where the cutoff exceeds half of its least height, beyond which an atom can have two images in range."""
+    least = F.least(*size)
+    text = F.concat(F.lit(f"the cutoff, {cutoff}, exceeds half of the least height of a cell, "), least.cast("string"))
+    return F.when(least < 2 * cutoff * (1 - 1e-12), F.raise_error(text).cast("array<double>")).otherwise(m)
+
+
+def _wrapped(m: Column, ortho: bool, names: list[str]) -> list[Column]:
+    """Coordinates along the cell vectors, from 0 to below 1."""
+    x = [F.col(c) for c in names]
+    f = [e / m[k] for e, k in zip(x, (0, 4, 8), strict=True)] if ortho else geo.fractions(m, *x)
+    return [e - F.floor(e) for e in f]
+
+
+def _placed(m: Column, ortho: bool, f: list[Column]) -> list[Column]:
+    if ortho:
+        return [e * m[k] for e, k in zip(f, (0, 4, 8), strict=True)]
+    return [f[0] * m[t] + f[1] * m[3 + t] + f[2] * m[6 + t] for t in range(3)]
+
+
+def range_join(
+    solute: DataFrame,
+    solvent: DataFrame,
+    frames: DataFrame,
+    cutoff: float,
+    ortho: bool = True,
+    keys: tuple[str, ...] = ("frame",),
+    strategy: str = "cells",
+    lcell: int = 1,
+    within: float | None = None,
+) -> DataFrame:
     """Solute and solvent atoms within ``cutoff`` under the minimum image, with d2; equal keys only.
 
-    ``cells``: atoms are put into cells no smaller than the cutoff; the solute's atoms go to the neighbouring cells too (the
-    distinct ones, where an axis has fewer than three), and an equi-join on keys and cell finds the pairs, so the
-    work follows the number of neighbours and hot frames are split by cell.  ``brute`` joins on the keys alone.
-    The cutoff must not exceed half the cell.
+    ``cells``: atoms are put into cells no smaller than cutoff / lcell; the solute's atoms go to the neighbouring cells that a sphere around
+    them can reach, each copy moved by the cell vectors that this takes, and an equi-join on keys and cell finds the pairs.  So distances
+    are plain differences, the cell vectors are not in the shuffle, the work follows the number of neighbours, and hot frames are split
+    by cell.  ``brute`` joins on the keys alone and rounds the difference's fractions.
+
+    Both are exact: within half of the least height no atom has two images in range, and the one in range has fractions of at most
+    a half.  Skewed cells are first replaced by reduced ones of the same lattice, whose heights are larger; a cutoff beyond half
+    of the least height is an error.  ``within``: the greatest distance that is kept, if it is not the cutoff.
     """
     cell = frames.select("frame", "m")
-    left, right = solute.join(cell, "frame"), solvent
-    if strategy == "cells":
-        m = F.col("m")
-        size = (m[0], m[4], m[8]) if ortho else geo.heights(m)
-        n = tuple(F.greatest(F.lit(1), F.floor(x / cutoff)).cast("int") for x in size)
-        where = lambda x, y, z: tuple(e / s for e, s in zip((x, y, z), size, strict=True)) if ortho else geo.fractions(m, x, y, z)
-        c = _cells(where(F.col("sx"), F.col("sy"), F.col("sz")), n)
-        for axis, own, k in zip("xyz", c, n, strict=True):
-            left = left.withColumn(f"c{axis}", own).withColumn(f"n{axis}", k)
+    m = F.col("m")
+    size = [m[0], m[4], m[8]] if ortho else list(geo.heights(m))
+    cell = cell if ortho else geo.reduced(cell)
+    counts = [F.greatest(F.lit(1), F.floor(x * lcell / cutoff)).cast("int") for x in size]
+    own = {f"h{axis}": x for axis, x in zip("xyz", size, strict=True)} | {f"n{axis}": k for axis, k in zip("xyz", counts, strict=True)}
+    # Written once, a row for each frame: plans stay small, and a cutoff that does not fit is found at once.
+    cell = settled(cell.select("frame", _checked(m, size, cutoff).alias("m"), *(c.alias(k) for k, c in own.items())), "cells")
+    n, size = ([F.col(f"{c}{axis}") for axis in "xyz"] for c in "nh")
+    more = [f"{c}{axis}" for c in "nh" for axis in "xyz"]
+    # What is joined is named anew, so no column of the keys or of the other side clashes.
+    left = solute.select(*keys, *(f"s{c}" for c in (*KEPT, *"xyz"))).join(cell, "frame")
+    right = solvent.select(*keys, *(f"v{c}" for c in (*KEPT, *"xyz"))).join(cell, "frame")
+    if strategy == "brute":
+        pairs = left.join(right.drop("m", *more), list(keys))
+        image = geo.nearest(m, ortho, *(F.col(f"v{c}") - F.col(f"s{c}") for c in "xyz"), within=True)
+        out = pairs.withColumn("d2", image["d2"])
+    elif strategy == "cells":
+        place = lambda f, k: F.least(F.floor(f * k), k - 1).cast("int")
+        left = left.withColumns({f"f{axis}": f for axis, f in zip("xyz", _wrapped(m, ortho, ["sx", "sy", "sz"]), strict=True)})
         for axis in "xyz":
-            at, k = F.col(f"c{axis}"), F.col(f"n{axis}")
-            left = left.withColumn(f"c{axis}", F.explode(F.array_distinct(F.array(F.pmod(at - 1, k), at, F.pmod(at + 1, k)))))
-        right = solvent.join(cell, "frame")
-        c = _cells(where(F.col("vx"), F.col("vy"), F.col("vz")), n)
-        right = right.withColumns({f"c{axis}": own for axis, own in zip("xyz", c, strict=True)}).drop("m")
-        pairs = left.drop("nx", "ny", "nz").join(right, [*keys, "cx", "cy", "cz"])
-    elif strategy == "brute":
-        pairs = left.join(right, list(keys))
+            f, k, height = (F.col(f"{c}{axis}") for c in "fnh")
+            at = F.explode(F.sequence(place(f, k) - lcell, place(f, k) + lcell))
+            # How far the atom is from the cell along this axis, and the turns around the cell that lead there.
+            own = F.col(f"at{axis}")
+            gap = height * F.greatest(F.lit(0.0), own / k - f, f - (own + 1) / k)
+            left = left.withColumn(f"at{axis}", at).withColumns({f"g{axis}": gap, f"c{axis}": F.pmod(own, k), f"f{axis}": f - F.floor(own / k)})
+        gaps = [F.col(f"g{axis}") for axis in "xyz"]
+        reach = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) if ortho else F.greatest(*(g * g for g in gaps))
+        left = left.where(reach <= cutoff * cutoff * (1 + 1e-9))
+        moved = _placed(m, ortho, [F.col(f"f{axis}") for axis in "xyz"])
+        columns = [*keys, *(f"s{c}" for c in KEPT)]
+        left = left.select(*columns, "cx", "cy", "cz", *(e.alias(f"s{axis}") for axis, e in zip("xyz", moved, strict=True)))
+        right = right.withColumns({f"f{axis}": f for axis, f in zip("xyz", _wrapped(m, ortho, ["vx", "vy", "vz"]), strict=True)})
+        own = [F.col(f"f{axis}") for axis in "xyz"]
+        cells = [place(f, k).alias(f"c{axis}") for axis, f, k in zip("xyz", own, n, strict=True)]
+        at = [e.alias(f"v{axis}") for axis, e in zip("xyz", _placed(m, ortho, own), strict=True)]
+        right = right.select(*keys, *(f"v{c}" for c in KEPT), *cells, *at)
+        d = [F.col(f"v{axis}") - F.col(f"s{axis}") for axis in "xyz"]
+        out = left.join(right, [*keys, "cx", "cy", "cz"]).withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    image = geo.nearest(F.col("m"), ortho, F.col("vx") - F.col("sx"), F.col("vy") - F.col("sy"), F.col("vz") - F.col("sz"))
-    out = pairs.withColumn("d2", image["d2"]).where(F.col("d2") <= cutoff * cutoff)
-    return out.drop("m", "cx", "cy", "cz")
+    most = cutoff if within is None else within
+    return out.where(F.col("d2") <= most * most).select(*keys, *(f"{s}{c}" for s in "sv" for c in KEPT), "d2")
 
 
 def min_distance(pairs: DataFrame, irefatom: int, keys: tuple[str, ...] = ("frame",), autocorrelation: bool = False) -> DataFrame:

@@ -54,7 +54,9 @@ def bulk_molecules(system: System, md: DataFrame, refs: DataFrame) -> DataFrame:
 def unwrapped(system: System) -> DataFrame:
     """Solvent atoms moved to the image nearest to their molecule's reference atom, relative to the molecule's mean: frame, vidx, vatype, vatom, ux, uy, uz."""
     ref = system.solvent.where(F.col("vatype") == system.irefatom).select("frame", "vidx", *(F.col(f"v{c}").alias(f"r{c}") for c in "xyz"))
-    rows = system.solvent.join(ref, ["frame", "vidx"]).join(system.frames.select("frame", "m"), "frame")
+    cells = system.frames.select("frame", "m")
+    cells = cells if system.ortho else settled(geo.reduced(cells), "cells")
+    rows = system.solvent.join(ref, ["frame", "vidx"]).join(cells, "frame")
     image = geo.nearest(F.col("m"), system.ortho, *(F.col(f"v{c}") - F.col(f"r{c}") for c in "xyz"))
     rows = rows.withColumn("u", image).select("frame", "vidx", "vmol", "vatype", "vatom", *(F.col(f"u.{c}").alias(f"u{c}") for c in "xyz"))
     mean = rows.groupBy("frame", "vidx").agg(*(F.avg(f"u{c}").alias(f"m{c}") for c in "xyz"))
@@ -90,5 +92,5 @@ def random_pairs(system: System, md: DataFrame, strategy: str = "cells") -> Data
     bulk = settled(bulk_molecules(system, md, refs), "bulk")
     moved = random_move(slots(system, bulk), unwrapped(system), system.frames)
     solute = system.solute.join(refs, ["frame", "sidx"])
-    near = pr.range_join(solute, moved, system.frames, system.options.radius, system.ortho, ("frame", "k"), strategy)
+    near = pr.range_join(solute, moved, system.frames, system.options.radius, system.ortho, ("frame", "k"), strategy, system.options.lcell)
     return pr.min_distance(near, system.irefatom, ("frame", "k"), system.autocorrelation)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import VERSION
+from . import contours
 from . import derived as de
 from .finalise import Result
 from .selection import ONE_LETTER, AtomSelection, Group
@@ -125,6 +126,16 @@ class ResidueContributions:
         rows = self.table.where(F.pmod(F.col("residue_pos") - 1, F.lit(by)) == 0)
         return rows.withColumn("tick", F.when(F.pmod(F.col("residue_pos") - 1, F.lit(tick)) == 0, F.col("label")))
 
+    def contours(self, levels: list[float] | None = None, max_residues: int = 2000) -> DataFrame:
+        """Isolines of the map: level, line, place, residue, d, closed (``contours.lines``)."""
+        rows = self.plot_data(max_residues).drop("tick")
+        return contours.lines(contours.segments(rows, contours.levels_of(rows) if levels is None else levels))
+
+    def filled_contours(self, levels: list[float] | None = None, max_residues: int = 2000) -> DataFrame:
+        """The map, thinned for plotting, with the band of each value between levels."""
+        rows = self.plot_data(max_residues)
+        return contours.bands(rows, contours.levels_of(rows) if levels is None else levels)
+
     def heatmap(self, width: int = 60) -> str:
         """The map as text: a line for each distance bin, darker for larger values."""
         rows = self.plot_data(width).orderBy("bin", "residue_pos").collect()

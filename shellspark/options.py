@@ -13,8 +13,8 @@ VERSION = "3.0.0"
 class Options:
     """dbulk: where the bulk begins; cutoff: where counting ends; with ``usecutoff`` the bulk is what lies between.
 
-    Without any of the three, both are 10 and the bulk is all that lies beyond.  ``nthreads``, ``lcell``, ``GC``,
-    ``GC_threshold``, ``StableRNG`` and ``low_memory`` are taken for compatibility; Spark decides on parallelism and memory.
+    Without any of the three, both are 10 and the bulk is all that lies beyond.  ``lcell``: cells of the range join are
+    cutoff / lcell wide.  ``nthreads``, ``GC``, ``GC_threshold``, ``StableRNG`` and ``low_memory`` are taken for compatibility; Spark decides on parallelism and memory.
     """
 
     firstframe: int = 1

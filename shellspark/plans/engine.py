@@ -16,7 +16,7 @@ from .system import System
 def minimum_distances(system: System, strategy: str = "cells") -> DataFrame:
     """Pairs of molecules of the considered frames within the search radius."""
     s = system.pruned()
-    near = pr.range_join(s.solute, s.solvent, s.frames, s.options.radius, s.ortho, strategy=strategy)
+    near = pr.range_join(s.solute, s.solvent, s.frames, s.options.radius, s.ortho, strategy=strategy, lcell=s.options.lcell)
     return pr.min_distance(near, s.irefatom, autocorrelation=s.autocorrelation)
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import registry_sql
 from .functions import geometry as geo
 from .functions import rng
 from .functions import scalars as sc
+from .operators import contours
 from .operators import derived as de
 from .operators import finalise as fi
 from .operators import grid as gd
@@ -19,11 +21,13 @@ from .operators import histograms as hi
 from .operators import pairs as pr
 from .operators import random_reference as rr
 from .operators import residue_map as rm
-from .operators.selection import molecule_index, predicate
+from .operators.selection import AtomSelection, SoluteGroup, SolventGroup, molecule_index, predicate
 from .plans import engine
 from .plans.staging import settled, shared_dir
 from .plans.system import System
 from .sources import tables
+from .sources.scan import Scan
+from .sources.trajectory import Trajectory
 
 WEIGHTS = "(1 + frame % 4) / 4"
 RESIDUES = 7
@@ -129,14 +133,27 @@ def q_molecule_index(spark, d):
     return molecule_index(tables.atoms(spark, d).select(F.col("atom").alias("atom_index")), 3).select("atom_index", "pos", "mol", "atype")
 
 
+def _selection(spark, d, side: str, custom: bool = False) -> AtomSelection:
+    """All atoms of a side, named by type; with custom groups by the orders' priorities."""
+    rows = _groups(spark, d, "custom").where(F.col("side") == side).select("atom", "group_id", "group_name").orderBy("atom").collect()
+    atoms = [r.atom for r in rows]
+    if not custom:
+        return AtomSelection.make(atoms, natomspermol=3, group_names=registry_sql.ATOM_NAMES)
+    names = {r.group_id: r.group_name for r in rows}
+    each = [[r.atom for r in rows if r.group_id == k] for k in range(1, max(names) + 1)]
+    return AtomSelection.make(atoms, natomspermol=3, group_names=[names.get(k, str(k)) for k in range(1, max(names) + 1)], group_atom_indices=each)
+
+
 @query
 def q_atom_group(spark, d):
-    return _groups(spark, d, "custom").where("group_name = '2-HIGH' and side = 'solute'").select("group_id", "atom")
+    own = _selection(spark, d, "solute", custom=True).atom_group("2-HIGH")
+    return spark.createDataFrame([(2, a) for a in own], "group_id int, atom long")
 
 
 @query
 def q_atom_group_names(spark, d):
-    return _groups(spark, d, "custom").select("group_id", "group_name").distinct()
+    own = _selection(spark, d, "solvent", custom=True).atom_group_names()
+    return spark.createDataFrame([(k, name) for k, name in enumerate(own, 1)], "group_id int, group_name string")
 
 
 @query
@@ -158,28 +175,34 @@ def q_frame_weights(spark, d):
 
 @query
 def q_irefatom(spark, d):
-    first = _system(spark, d).solvent.where("frame = 1 and vidx = 1")
-    mean = first.agg(*(F.avg(f"v{c}").alias(f"m{c}") for c in "xyz"))
-    dist = sum(((F.col(f"v{c}") - F.col(f"m{c}")) * (F.col(f"v{c}") - F.col(f"m{c}")) for c in "yz"), (F.col("vx") - F.col("mx")) * (F.col("vx") - F.col("mx")))
-    return first.crossJoin(F.broadcast(mean)).groupBy("vmol").agg(F.min(F.struct(F.round(dist, 9).alias("r"), "vatype")).alias("m")).select("vmol", F.col("m.vatype").alias("irefatom"))
+    every = tables.atoms(spark, d)
+    first = _system(spark, d).solvent.where("frame = 1").select("vatom").orderBy("vatom").collect()
+    solvent = AtomSelection.make([r.vatom for r in first], natomspermol=3)
+    coords = every.select("frame", F.col("atom").alias("atom_index"), "x", "y", "z")
+    own = Trajectory(spark, "tables", solvent, solvent, Scan.of(coords, tables.frames(spark, d)))
+    return spark.createDataFrame([(solvent.indices[0] // 3, own.irefatom())], "vmol long, irefatom int")
 
 
 # Cells.
 
 
-def _some_cells(spark) -> DataFrame:
-    rows = spark.range(1, 41).select(F.col("id").alias("cell"), *((F.lit(float(a)) + F.col("id") % b).alias(c) for a, b, c in ((30, 7, "a"), (40, 5, "b"), (50, 3, "c"))), *((F.lit(90.0) + (F.col("id") % 4) * s).alias(c) for s, c in ((0.0, "alpha"), (5.0, "beta"), (7.5, "gamma"))))
+def _some_cells(spark, d) -> DataFrame:
+    """A cell for each vector of the embeddings."""
+    cell = F.col("cell")
+    edges = {c: F.lit(float(a)) + cell % b for a, b, c in ((30, 7, "a"), (40, 5, "b"), (50, 3, "c"))}
+    angles = {c: F.lit(90.0) + (cell % 4) * s for s, c in ((0.0, "alpha"), (5.0, "beta"), (7.5, "gamma"))}
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") + 1).alias("cell")).withColumns(edges | angles)
     return rows.withColumn("m", geo.cell_matrix(*(F.col(c) for c in ("a", "b", "c", "alpha", "beta", "gamma"))))
 
 
 @query
 def q_cell_volume(spark, d):
-    return _some_cells(spark).select("cell", geo.volume(F.col("m")).alias("volume"))
+    return _some_cells(spark, d).select("cell", geo.volume(F.col("m")).alias("volume"))
 
 
 @query
 def q_cell_kind(spark, d):
-    return _some_cells(spark).select("cell", geo.is_orthorhombic(F.col("m")).cast("int").alias("is_ortho"))
+    return _some_cells(spark, d).select("cell", geo.is_orthorhombic(F.col("m")).cast("int").alias("is_ortho"))
 
 
 @query
@@ -198,6 +221,14 @@ def q_range_join(spark, d):
     return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
 
 
+@query
+def q_range_join_lcell(spark, d):
+    """The same pairs by smaller cells."""
+    s = _system(spark, d)
+    near = pr.range_join(s.solute, s.solvent, s.frames, 4.0, lcell=2)
+    return near.select("frame", "satom", "vatom", F.sqrt("d2").alias("d"))
+
+
 def _triclinic(s: System, solute: DataFrame) -> DataFrame:
     cell = F.array(*(F.lit(float(x)) for x in registry_sql.SKEWED))
     near = pr.range_join(solute, s.solvent, s.frames.withColumn("m", cell), 4.0, ortho=False)
@@ -279,8 +310,8 @@ def q_coordination_number(spark, d):
 
 @query
 def q_uniforms(spark, d):
-    rows = spark.range(1, 2001)
-    return rows.select(F.col("id").alias("key"), *(rng.uniform(c, 321, F.col("id"), "test").alias(f"u{c}") for c in range(4)))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"))
+    return rows.select("key", *(rng.uniform(c, 321, F.col("key"), "test").alias(f"u{c}") for c in range(4)))
 
 
 @query
@@ -320,9 +351,9 @@ def q_random_move(spark, d):
 
 @query
 def q_eulermat(spark, d):
-    rows = spark.range(0, 200)
-    a = geo.euler(*(rng.uniform(c, 7, F.col("id")) * 360.0 for c in range(3)), degrees=True)
-    return rows.select(F.col("id").alias("key"), *(a[i][j].alias(f"a{i + 1}{j + 1}") for i in range(3) for j in range(3)))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("key"))
+    a = geo.euler(*(rng.uniform(c, 7, F.col("key")) * 360.0 for c in range(3)), degrees=True)
+    return rows.select("key", *(a[i][j].alias(f"a{i + 1}{j + 1}") for i in range(3) for j in range(3)))
 
 
 # Scalars.
@@ -330,17 +361,18 @@ def q_eulermat(spark, d):
 
 @query
 def q_shell_volume(spark, d):
-    return hi.dense(spark, 500).select("bin", sc.shell_volume(F.col("bin"), 0.02).alias("shell_volume"))
+    return _result(spark, d).bins.select("bin", sc.shell_volume(F.col("bin"), 0.1).alias("shell_volume"))
 
 
 @query
 def q_shell_radius(spark, d):
-    return hi.dense(spark, 500).select("bin", sc.shell_radius(F.col("bin"), 0.02).alias("shell_radius"))
+    return _result(spark, d).bins.select("bin", sc.shell_radius(F.col("bin"), 0.1).alias("shell_radius"))
 
 
 @query
 def q_report_format(spark, d):
-    rows = spark.range(0, 400).select(F.col("id").alias("key"), ((F.col("id") * 37 % 401 - 200).cast("double") * 16.0).alias("x"))
+    x = (F.col("o_totalprice") - 150000.0) / (F.sqrt(F.lit(2.0)) * (1 + F.col("o_orderkey") % 1000))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), x.alias("x"))
     return rows.select("key", sc.formatted(F.col("x")).alias("text"))
 
 
@@ -422,7 +454,8 @@ def q_merge(spark, d):
 
 @query
 def q_merge_weights(spark, d):
-    files = [(f"part{k}", int(n)) for k, n in enumerate((8, 12, 5), 1)]
+    by = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    files = sorted((r.o_orderpriority, r.n) for r in by.collect())  # a few priorities
     return spark.createDataFrame([(name, n, w) for (name, n), w in zip(files, de.merge_weights(files), strict=True)], "file string, n_frames int, weight double")
 
 
@@ -454,18 +487,22 @@ def q_contrib_kbi(spark, d):
 
 @query
 def q_contrib_group(spark, d):
-    return de.as_type(*_group_sum(spark, d, "solute", [2], "custom"), "md_count")
+    own = replace(_result(spark, d, "custom"), solute=_selection(spark, d, "solute", custom=True))
+    return de.contributions(own, SoluteGroup("2-HIGH"), "md_count")
 
 
 @query
 def q_contrib_atoms(spark, d):
-    return de.as_type(*_group_sum(spark, d, "solvent", [1, 2], share=4.0), "coordination_number")
+    """The first two atoms of the first solvent molecule."""
+    side = _selection(spark, d, "solvent")
+    own = replace(_result(spark, d), solvent=side)
+    return de.contributions(own, SolventGroup(list(side.indices[:2])), "coordination_number")
 
 
 @query
 def q_contrib_names(spark, d):
-    ids = [k for k, x in enumerate(registry_sql.ATOM_NAMES, 1) if x in ("H1", "H2")]
-    return de.as_type(*_group_sum(spark, d, "solvent", ids), "mddf")
+    own = replace(_result(spark, d), solvent=_selection(spark, d, "solvent"))
+    return de.contributions(own, SolventGroup(["H1", "H2"]), "mddf")
 
 
 def _map(spark, d, kind: str) -> rm.ResidueContributions:
@@ -524,6 +561,24 @@ def q_rc_plot_data(spark, d):
     return _map(spark, d, "coordination_number").plot_data(4, 2)
 
 
+@query
+def q_rc_contours(spark, d):
+    """Segments of five isolines."""
+    table = _map(spark, d, "coordination_number").table
+    found = contours.segments(table, contours.levels_of(table, 5))
+    return found.withColumn("level", F.dense_rank().over(Window.orderBy("level"))).select("level", "a", "b", "x0", "d0", "x1", "d1")
+
+
+@query
+def q_rc_contour_lines(spark, d):
+    """Ends and points of each isoline."""
+    table = _map(spark, d, "coordination_number").table
+    found = contours.lines(contours.segments(table, contours.levels_of(table, 5)))
+    by = found.groupBy("level", "line").agg(F.count(F.lit(1)).alias("points"), F.max(F.col("closed").cast("int")).alias("closed"))
+    by = by.withColumn("level", F.dense_rank().over(Window.orderBy("level")))
+    return by.groupBy("level").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("points") - 1).alias("segments"))
+
+
 @query
 def q_grid3d(spark, d):
     atoms = _system(spark, d).solute.where("frame = 1").select(F.col("satom").alias("atom"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), F.col("satype").alias("group_id"))
@@ -535,7 +590,11 @@ def q_grid3d(spark, d):
 
 @query
 def q_report_main(spark, d):
-    return _result(spark, d).bins.select("bin", "d", "mddf", "kb", "md_count", "md_count_random", "coordination_number", "coordination_number_random", "shell_volume")
+    from .sinks import report
+
+    numbers = F.transform(F.split(F.trim(F.col("line")), " +"), lambda x: x.cast("double"))
+    rows = report.main_table(_result(spark, d)).select("bin", numbers.alias("x"))
+    return rows.select("bin", *(F.round(F.col("x")[k], 5).alias(c) for k, c in enumerate(report.COLUMNS)))
 
 
 @query

@@ -17,7 +17,7 @@ a AS MATERIALIZED (SELECT 1 + o_orderkey % 20 AS frame, o_orderkey AS mol, atype
   FROM li JOIN orders ON l_orderkey = o_orderkey WHERE atype <= 3 AND l_orderkey IN (SELECT l_orderkey FROM li WHERE atype = 3)),
 sol AS MATERIALIZED (SELECT frame, mol AS smol, dense_rank() OVER (PARTITION BY frame ORDER BY mol) AS sidx, atype AS satype, atom AS satom, x AS sx, y AS sy, z AS sz FROM a WHERE mol % 97 < 3),
 slv AS MATERIALIZED (SELECT frame, mol AS vmol, dense_rank() OVER (PARTITION BY frame ORDER BY mol) AS vidx, atype AS vatype, atom AS vatom, x AS vx, y AS vy, z AS vz FROM a WHERE mol % 97 >= 3),
-fr AS (SELECT i AS frame, (1 + i % 4) / 4.0::DOUBLE AS w FROM generate_series(1, 20) t(i)),
+fr AS (SELECT i AS frame, (1 + i % 4) / 4.0::DOUBLE AS w FROM (SELECT DISTINCT 1 + o_orderkey % 20 AS i FROM orders)),
 nn AS (SELECT (SELECT count(DISTINCT smol) FROM sol) / 20.0::DOUBLE AS ns, (SELECT count(DISTINCT vmol) FROM slv) / 20.0::DOUBLE AS nv)"""
 
 _MI = "({e}) - 60.0::DOUBLE * floor(({e}) / 60.0::DOUBLE + 0.5::DOUBLE)"
@@ -133,7 +133,7 @@ def _sql(ctes: str, columns: str, source: str) -> str:
     return f"WITH {ctes.strip()}\nSELECT {_numbers(columns)} FROM {source}" if ctes else f"SELECT {_numbers(columns)} FROM {source}"
 
 
-def _contribution(ctes: str, where: str, kind: str, share: float = 1.0) -> str:
+def _contribution(ctes: str, where: str, kind: str, share: str = "1") -> str:
     value = {"mddf": "CASE WHEN md_count_random > 0 THEN n / md_count_random ELSE 0 END", "md_count": "n", "coordination_number": "sum(n) OVER (ORDER BY bin)", "kbi": "0.6022140857::DOUBLE / density_solvent_bulk * (sum(n) OVER (ORDER BY bin) - sum(n_random) OVER (ORDER BY bin))"}[kind]
     own = f"(SELECT bin, sum(n) / {share} AS n, sum(n_random) / {share} AS n_random FROM gr WHERE {where} GROUP BY bin)"
     rows = f"(SELECT bin, d, md_count_random, density_solvent_bulk, coalesce(n, 0) AS n, coalesce(n_random, 0) AS n_random FROM bins LEFT JOIN {own} USING (bin))"
@@ -167,7 +167,7 @@ def _fraction(row: tuple[float, float, float], *e: str) -> str:
 
 def _cells() -> str:
     rad = "pi() / 180"
-    rows = "(SELECT i AS cell, 30.0::DOUBLE + i % 7 AS a, 40.0::DOUBLE + i % 5 AS b, 50.0::DOUBLE + i % 3 AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE + i % 4 * 5.0::DOUBLE AS beta, 90.0::DOUBLE + i % 4 * 7.5::DOUBLE AS gamma FROM generate_series(1, 40) t(i))"
+    rows = "(SELECT i AS cell, 30.0::DOUBLE + i % 7 AS a, 40.0::DOUBLE + i % 5 AS b, 50.0::DOUBLE + i % 3 AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE + i % 4 * 5.0::DOUBLE AS beta, 90.0::DOUBLE + i % 4 * 7.5::DOUBLE AS gamma FROM (SELECT vec_id + 1 AS i FROM embeddings))"
     return f"(SELECT cell, a * b * c * sqrt(1 - cos(alpha * {rad}) * cos(alpha * {rad}) - cos(beta * {rad}) * cos(beta * {rad}) - cos(gamma * {rad}) * cos(gamma * {rad}) + 2 * cos(alpha * {rad}) * cos(beta * {rad}) * cos(gamma * {rad})) AS volume, CASE WHEN beta = 90 AND gamma = 90 THEN 1 ELSE 0 END AS is_ortho FROM {rows})"
 
 
@@ -195,6 +195,49 @@ gs AS (SELECT *, CASE WHEN max(c) OVER () > min(c) OVER () THEN (c - min(c) OVER
     return _sql(_BY_TYPE + more, "ix:i iy:i iz:i gx:r gy:r gz:r atom:i r:r value:r", "gs")
 
 
+#: A line is open, and begins where no segment ends, or closed.  Closed ones need a walk: each point takes the least that it reaches.
+_COUNTED = """(SELECT level, count(*) AS segments, (SELECT count(DISTINCT least) FROM comp WHERE comp.level = seg.level) AS lines FROM seg GROUP BY level)"""
+
+
+def _contours(columns: str, source: str) -> str:
+    """Marching squares over the map with five levels; ``comp``: the least point of each point's line."""
+    cases = "(1,'BL'),(2,'RB'),(3,'RL'),(4,'TR'),(6,'TB'),(7,'TL'),(8,'LT'),(9,'BT'),(11,'RT'),(12,'LR'),(13,'BR'),(14,'LB'),(21,'BR'),(21,'TL'),(5,'BL'),(5,'TR'),(26,'LB'),(26,'RT'),(10,'RB'),(10,'LT')"
+    key = lambda s: f"CASE {s} WHEN 'B' THEN 'h:' || i || ':' || b WHEN 'T' THEN 'h:' || i || ':' || b + 1 WHEN 'L' THEN 'v:' || i || ':' || b ELSE 'v:' || i + 1 || ':' || b END"
+    x = lambda s: f"CASE {s} WHEN 'B' THEN i + (lv - v1) / (v2 - v1) WHEN 'T' THEN i + (lv - v8) / (v4 - v8) WHEN 'L' THEN i ELSE i + 1 END"
+    y = lambda s: f"CASE {s} WHEN 'B' THEN d WHEN 'T' THEN e WHEN 'L' THEN d + (e - d) * (lv - v1) / (v8 - v1) ELSE d + (e - d) * (lv - v2) / (v4 - v2) END"
+    more = f""",
+lim AS (SELECT min(cn) AS lo, max(cn) AS hi FROM mp),
+lvl AS (SELECT k AS level, lo + (hi - lo) * (k - 0.5::DOUBLE) / 5 AS lv FROM lim, generate_series(1, 5) t(k) WHERE hi > lo),
+cel AS (SELECT p.residue_pos AS i, p.bin AS b, p.d AS d, s.d AS e, p.cn AS v1, q.cn AS v2, r.cn AS v4, s.cn AS v8, level, lv
+  FROM mp p JOIN mp q ON q.residue_pos = p.residue_pos + 1 AND q.bin = p.bin JOIN mp r ON r.residue_pos = p.residue_pos + 1 AND r.bin = p.bin + 1
+  JOIN mp s ON s.residue_pos = p.residue_pos AND s.bin = p.bin + 1, lvl),
+num AS (SELECT *, (v1 >= lv)::INT + 2 * (v2 >= lv)::INT + 4 * (v4 >= lv)::INT + 8 * (v8 >= lv)::INT AS c, (v1 + v2 + v4 + v8) / 4 >= lv AS m FROM cel),
+seg AS MATERIALIZED (SELECT level, {key("w[1]")} AS a, {key("w[2]")} AS b, {x("w[1]")} AS x0, {y("w[1]")} AS d0, {x("w[2]")} AS x1, {y("w[2]")} AS d1
+  FROM num JOIN (VALUES {cases}) t(n, w) ON n = CASE WHEN c IN (5, 10) AND m THEN c + 16 ELSE c END),
+lnk AS MATERIALIZED (SELECT level, a AS p, b AS q FROM seg UNION SELECT level, b, a FROM seg UNION SELECT level, a, a FROM seg UNION SELECT level, b, b FROM seg),
+reach AS (SELECT level, p, q FROM lnk UNION SELECT r.level, r.p, l.q FROM reach r JOIN lnk l ON l.level = r.level AND l.p = r.q),
+comp AS MATERIALIZED (SELECT level, p, min(q) AS least FROM reach GROUP BY level, p)"""
+    # The walk over all pairs of a line's points is for the count alone.
+    text = _sql(_MAP + (more if source == _COUNTED else more[: more.index(",\nlnk AS")]), columns, source)
+    return text.replace("WITH ", "WITH RECURSIVE ", 1) if source == _COUNTED else text
+
+
+def _skewed_pairs(cutoff: float) -> str:
+    """Pairs in the skewed cell: of the 27 images around the rounded difference at most one is in range."""
+    m = SKEWED
+    v = m[0] * m[4] * m[8]  # the cell is lower triangular
+    fz = f"dz / {m[8]}.0::DOUBLE"
+    fy = f"(dy - ({fz}) * {m[7]}) / {m[4]}.0::DOUBLE"
+    fx = f"(dx - ({fy}) * {m[3]} - ({fz}) * {m[6]}) / {m[0]}.0::DOUBLE"
+    assert v > 0 and not any(m[k] for k in (1, 2, 5))
+    part = lambda t: f"(a + i) * {m[t]} + (b + j) * {m[3 + t]} + (c + k) * {m[6 + t]}"
+    differences = "SELECT l.frame AS frame, satom, vatom, vx - sx AS dx, vy - sy AS dy, vz - sz AS dz FROM sol l JOIN slv r ON l.frame = r.frame"
+    rounded = f"SELECT frame, satom, vatom, f1 - floor(f1 + 0.5) AS a, f2 - floor(f2 + 0.5) AS b, f3 - floor(f3 + 0.5) AS c FROM (SELECT *, {fx} AS f1, {fy} AS f2, {fz} AS f3 FROM ({differences}))"
+    images = "(SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j), (SELECT unnest([-1, 0, 1]) AS k)"
+    d2 = " + ".join(f"({part(t)}) * ({part(t)})" for t in range(3))
+    return _sql(_ATOMS, "frame:i satom:i vatom:i d:r", f"(SELECT frame, satom, vatom, sqrt(d2) AS d FROM (SELECT frame, satom, vatom, {d2} AS d2 FROM ({rounded}), {images}) WHERE d2 <= {cutoff * cutoff})")
+
+
 def _scanned(kind: str, parts: int, chosen: str) -> str:
     """Coordinates that a file holds as ``kind``, in whole parts of an Å, and the cells' volumes."""
     at = lambda k: f"round((embedding[atom_index * 3 - {k}]::DOUBLE * 10.0)::{kind}::DOUBLE * {parts})::BIGINT"
@@ -214,7 +257,7 @@ def all_sql() -> dict[str, str]:
     q["sel_bool"] = _sql(lb, "atom_index:i name resname resnum:i", "lb WHERE resname NOT IN ('WAT', 'ALA', 'LEU') AND (name = 'H1' OR atom_index <= 30000) AND resnum NOT IN (7, 8, 9)")
     q["molecule_index"] = _sql(_ATOMS, "atom_index:i pos:i mol:i atype:i", "(SELECT atom AS atom_index, pos, (pos - 1) // 3 + 1 AS mol, (pos - 1) % 3 + 1 AS atype FROM (SELECT atom, row_number() OVER (ORDER BY atom) AS pos FROM a))")
     q["atom_group"] = _sql(_ATOMS, "group_id:i atom:i", "(SELECT 2 AS group_id, atom FROM a WHERE priority = '2-HIGH' AND mol % 97 < 3)")
-    q["atom_group_names"] = _sql(_ATOMS, "group_id:i group_name", "(SELECT DISTINCT substr(priority, 1, 1) AS group_id, priority AS group_name FROM a)")
+    q["atom_group_names"] = _sql(_ATOMS, "group_id:i group_name", "(SELECT DISTINCT substr(priority, 1, 1) AS group_id, priority AS group_name FROM a WHERE mol % 97 >= 3)")
     q["pruned_scan"] = _sql(_ATOMS, "frame:i satom:i sx:r sy:r sz:r", "sol WHERE frame BETWEEN 3 AND 5")
     q["frame_stride"] = _sql(_ATOMS, "frame:i n_atoms:i", "(SELECT frame, count(*) AS n_atoms FROM slv WHERE frame IN (2, 7, 12, 17) GROUP BY frame)")
     q["frame_weights"] = _sql(_ATOMS, "frame:i w:r", "fr WHERE frame <> 4")
@@ -234,17 +277,19 @@ def all_sql() -> dict[str, str]:
     q["group_counts_custom"] = group(_MD, "(SELECT substr(priority, 1, 1)::INT FROM a a2 WHERE a2.atom = {atom} LIMIT 1)")
     q["group_counts_self"] = _sql(_SELF, "side group_id:i bin:i n:r", f"(SELECT side, group_id, bin, n FROM (SELECT group_id, bin, count(*) / 2.0::DOUBLE AS n FROM (SELECT satype AS group_id, {_bin('d')} AS bin FROM md UNION ALL SELECT vatype, {_bin('d')} FROM md) GROUP BY ALL), (VALUES ('solute'), ('solvent')) s(side))")
     q["coordination_number"] = _sql(_RESULT, "bin:i d:r md_count:r coordination_number:r sum_rdf_count:r", "bins")
-    q["uniforms"] = _sql("", "key:i u0:r u1:r u2:r u3:r", "(SELECT key, " + ", ".join(f"{_u(c, 'key', repr('test'))} AS u{c}" for c in range(4)) + " FROM generate_series(1, 2000) t(key))")
+    q["range_join_lcell"] = q["range_join"]
+    q["range_join_triclinic"] = _skewed_pairs(4.0)
+    q["uniforms"] = _sql("", "key:i u0:r u1:r u2:r u3:r", "(SELECT key, " + ", ".join(f"{_u(c, 'key', repr('test'))} AS u{c}" for c in range(4)) + " FROM (SELECT o_orderkey AS key FROM orders))")
     q["ref_solutes"] = _sql(_RANDOM, "frame:i k:i sidx:i", "refs")
     q["bulk_molecules"] = _sql(_RANDOM, "frame:i k:i vidx:i rn:i nb:i", "bulk")
     q["bulk_resample"] = _sql(_RANDOM, "frame:i k:i slot:i vidx:i", "slots")
     q["unwrap"] = _sql(_RANDOM, "frame:i vatom:i ux:r uy:r uz:r", "loc")
     q["random_move"] = _sql(_RANDOM, "frame:i k:i slot:i vatype:i vx:r vy:r vz:r", "(SELECT *, vidx AS slot FROM rp)")
     e = _euler("b", "g", "t")
-    q["eulermat"] = _sql("", "key:i " + " ".join(f"a{i}{j}:r" for i in (1, 2, 3) for j in (1, 2, 3)), "(SELECT key, " + ", ".join(f"{e[i][j]} AS a{i + 1}{j + 1}" for i in range(3) for j in range(3)) + " FROM (SELECT key, " + ", ".join(f"{_u(c, 'key', seed=7)} * 360 * {deg} AS {n}" for c, n in enumerate("bgt")) + " FROM generate_series(0, 199) t(key)))")
-    q["shell_volume"] = _sql("", "bin:i shell_volume:r", "(SELECT i AS bin, 4 * pi() / 3 * (power(i * 0.02::DOUBLE, 3) - power((i - 1) * 0.02::DOUBLE, 3)) AS shell_volume FROM generate_series(1, 500) t(i))")
-    q["shell_radius"] = _sql("", "bin:i shell_radius:r", "(SELECT i AS bin, cbrt(0.5::DOUBLE * (power(i * 0.02::DOUBLE, 3) + power((i - 1) * 0.02::DOUBLE, 3))) AS shell_radius FROM generate_series(1, 500) t(i))")
-    q["report_format"] = _sql("", "key:i text", "(SELECT key, CASE WHEN abs(x) < 998 THEN printf('%12.7f', x) ELSE printf('%12.5e', x) END AS text FROM (SELECT key, (key * 37 % 401 - 200)::DOUBLE * 16 AS x FROM generate_series(0, 399) t(key)))")
+    q["eulermat"] = _sql("", "key:i " + " ".join(f"a{i}{j}:r" for i in (1, 2, 3) for j in (1, 2, 3)), "(SELECT key, " + ", ".join(f"{e[i][j]} AS a{i + 1}{j + 1}" for i in range(3) for j in range(3)) + " FROM (SELECT key, " + ", ".join(f"{_u(c, 'key', seed=7)} * 360 * {deg} AS {n}" for c, n in enumerate("bgt")) + " FROM (SELECT p_partkey AS key FROM part)))")
+    q["shell_volume"] = _sql("", "bin:i shell_volume:r", "(SELECT i AS bin, 4 * pi() / 3 * (power(i * 0.1::DOUBLE, 3) - power((i - 1) * 0.1::DOUBLE, 3)) AS shell_volume FROM generate_series(1, 100) t(i))")
+    q["shell_radius"] = _sql("", "bin:i shell_radius:r", "(SELECT i AS bin, cbrt(0.5::DOUBLE * (power(i * 0.1::DOUBLE, 3) + power((i - 1) * 0.1::DOUBLE, 3))) AS shell_radius FROM generate_series(1, 100) t(i))")
+    q["report_format"] = _sql("", "key:i text", "(SELECT key, CASE WHEN abs(x) < 998 THEN printf('%12.7f', x) ELSE printf('%12.5e', x) END AS text FROM (SELECT o_orderkey AS key, (o_totalprice - 150000.0::DOUBLE) / (sqrt(2.0::DOUBLE) * (1 + o_orderkey % 1000)) AS x FROM orders))")
     code = "CASE resname " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in zip(RESIDUE_NAMES, "ARNDCQEGHLK", strict=False)) + " ELSE resname END"
     q["residue_labels"] = _sql(lb, "resname resnum:i label", f"(SELECT DISTINCT resname, resnum, {code} || resnum AS label FROM lb)")
     for key, columns in {"mddf": "mddf:r coordination_number:r", "rdf": "rdf:r sum_rdf_count:r", "kb": "kb:r coordination_number_random:r", "kb_rdf": "kb_rdf:r sum_rdf_count_random:r", "shell_volumes_mc": "shell_volume:r"}.items():
@@ -258,13 +303,13 @@ def all_sql() -> dict[str, str]:
     q["smooth"] = _sql(_RESULT, "bin:i d:r md_count:r md_count_smooth:r", "(SELECT *, avg(md_count) OVER (ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS md_count_smooth FROM bins)")
     q["renormalize"] = _sql(_RESULT, "bin:i mddf:r kb:r rdf:r", "(SELECT bin, CASE WHEN x > 0 THEN md_count / x ELSE 0 END AS mddf, CASE WHEN y > 0 THEN rdf_count / y ELSE 0 END AS rdf, 0.6022140857::DOUBLE / density_solvent_bulk * (coordination_number - sum(x) OVER (ORDER BY bin)) AS kb FROM (SELECT *, md_count_random * (5 * 6.022140857e23 / 1e27) / density_solvent_bulk AS x, rdf_count_random * (5 * 6.022140857e23 / 1e27) / density_solvent_bulk AS y FROM bins))")
     q["merge"] = _merge()
-    q["merge_weights"] = _sql("", "file n_frames:i weight:r", "(SELECT file, n_frames, n_frames / sum(n_frames) OVER () AS weight FROM (VALUES ('part1', 8), ('part2', 12), ('part3', 5)) t(file, n_frames))")
+    q["merge_weights"] = _sql("", "file n_frames:i weight:r", "(SELECT file, n_frames, n_frames / sum(n_frames) OVER () AS weight FROM (SELECT o_orderpriority AS file, count(*) AS n_frames FROM orders GROUP BY 1))")
     q["contrib_mddf"] = _contribution(_BY_TYPE, "side = 'solute' AND group_id IN (1, 2)", "mddf")
     q["contrib_md_count"] = _contribution(_BY_TYPE, "side = 'solvent' AND group_id = 2", "md_count")
     q["contrib_cn"] = _contribution(_BY_TYPE, "side = 'solvent' AND group_id IN (1, 3)", "coordination_number")
     q["contrib_kbi"] = _contribution(_BY_TYPE, "side = 'solute' AND group_id = 3", "kbi")
     q["contrib_group"] = _contribution(_BY_PRIORITY, "side = 'solute' AND group_id = 2", "md_count")
-    q["contrib_atoms"] = _contribution(_BY_TYPE, "side = 'solvent' AND group_id IN (1, 2)", "coordination_number", 4.0)
+    q["contrib_atoms"] = _contribution(_BY_TYPE, "side = 'solvent' AND group_id IN (1, 2)", "coordination_number", "(SELECT count(DISTINCT vmol) FROM slv)")
     q["contrib_names"] = _contribution(_BY_TYPE, "side = 'solvent' AND group_id IN (2, 3)", "mddf")
     q["residue_map"] = _rc("md_count")
     q["rc_add"] = _rc("md_count + cn")
@@ -276,8 +321,11 @@ def all_sql() -> dict[str, str]:
     q["rc_findmax"] = _sql(_MAP, "residue_pos:i value:r bin:i", "(SELECT residue_pos, md_count AS value, bin FROM mp QUALIFY row_number() OVER (PARTITION BY residue_pos ORDER BY md_count DESC, bin) = 1)")
     q["rc_extrema"] = _sql(_MAP, "least:r largest:r", "(SELECT min(cn) AS least, max(cn) AS largest FROM mp)")
     q["rc_plot_data"] = _sql(_MAP, _RC + " tick", "(SELECT residue_pos, resnum, label, bin, d, cn AS value, CASE WHEN residue_pos % 4 = 1 THEN label END AS tick FROM mp WHERE residue_pos % 2 = 1)")
+    q["rc_contours"] = _contours("level:i a b x0:r d0:r x1:r d1:r", "seg")
+    q["rc_contour_lines"] = _contours("level:i lines:i segments:i", _COUNTED)
     q["grid3d"] = _grid()
-    q["report_main"] = _sql(_RESULT, "bin:i d:r mddf:r kb:r md_count:r md_count_random:r coordination_number:r coordination_number_random:r shell_volume:r", "bins")
+    printed = ", ".join(f"round(CASE WHEN abs({c}) < 998 THEN printf('%.7f', {c})::DOUBLE ELSE printf('%.5e', {c})::DOUBLE END, 5) AS {c}" for c in ("d", "mddf", "kb", "md_count", "md_count_random", "coordination_number", "coordination_number_random", "shell_volume"))
+    q["report_main"] = _sql(_RESULT, "bin:i d:r mddf:r kb:r md_count:r md_count_random:r coordination_number:r coordination_number_random:r shell_volume:r", f"(SELECT bin, {printed} FROM bins)")
     for key, kind, parts, chosen in (
         ("xtc_scan", "DOUBLE", 100, "true"), ("xtc_stride", "DOUBLE", 100, "frame BETWEEN 3 AND 150 AND frame % 7 = 3 AND atom_index <= 5"),
         ("dcd_scan", "FLOAT", 100, "true"), ("dcd_stride", "FLOAT", 100, "frame BETWEEN 2 AND 140 AND frame % 5 = 2 AND atom_index <= 4"), ("pdb_scan", "DOUBLE", 1000, "true"),

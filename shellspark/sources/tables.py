@@ -26,9 +26,12 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((1 + k % FRAMES).cast("int").alias("frame"), k.alias("mol"), t.alias("atype"), (k * 3 + t - 1).alias("atom"), (centre(k * 7919) + offset(p, 41, 20)).alias("x"), (centre(k * 104729) + offset(s, 37, 18)).alias("y"), (centre(c * 15485863 + k * 31) + offset(p + t, 43, 21)).alias("z"), F.col("o_orderpriority").alias("priority"))
 
 
-def frames(spark: SparkSession, weights: str = "1") -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, weights: str = "1") -> DataFrame:
+    """The frames that orders are in."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     cell = F.array(*(F.lit(BOX if k % 4 == 0 else 0.0) for k in range(9)))
-    return spark.range(1, FRAMES + 1).select(F.col("id").cast("int").alias("frame")).withColumn("w", F.expr(weights).cast("double")).withColumn("m", cell).withColumn("volume", F.lit(BOX**3))
+    own = orders.select((1 + F.col("o_orderkey") % FRAMES).cast("int").alias("frame")).distinct()
+    return own.withColumn("w", F.expr(weights).cast("double")).withColumn("m", cell).withColumn("volume", F.lit(BOX**3))
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -47,4 +50,4 @@ def system(spark: SparkSession, sf_dir: str, *, autocorrelation: bool = False, w
         ids = F.substring("priority", 1, 1).cast("int")
         groups = every.select(F.when(F.col("mol") % 97 < 3, "solute").otherwise("solvent").alias("side"), ids.alias("group_id"), F.col("priority").alias("group_name"), "atom")
     o = Options(**(OPTIONS | options))
-    return System(_side(solute, "s"), _side(solvent, "v"), frames(spark, weights), n[0], n[1], 3, 3, o, 1, True, autocorrelation, groups, files=(("tables", FRAMES),))
+    return System(_side(solute, "s"), _side(solvent, "v"), settled(frames(spark, sf_dir, weights), "frames"), n[0], n[1], 3, 3, o, 1, True, autocorrelation, groups, files=(("tables", FRAMES),))

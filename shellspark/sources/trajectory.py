@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators.selection import AtomSelection
 from ..options import Options
+from ..plans.staging import settled
 from ..plans.system import System
 from . import dcd, pdb, xtc
 from .scan import Scan
@@ -89,7 +90,8 @@ class Trajectory:
 
     def system(self, options: Options | None = None, frame_weights=None) -> System:
         o = options or Options()
-        info = self.cells.agg(F.count(F.lit(1)).alias("n"), F.min_by("m", "frame").alias("m"), F.sum(F.col("m").isNull().cast("int")).alias("none")).first()
+        cells = settled(self.cells, "cells")  # a row for each frame
+        info = cells.agg(F.count(F.lit(1)).alias("n"), F.min_by("m", "frame").alias("m"), F.sum(F.col("m").isNull().cast("int")).alias("none")).first()
         if not info.n:
             raise ValueError("the trajectory has no frames")
         if info.none:
@@ -99,7 +101,7 @@ class Trajectory:
             raise ValueError(f"lastframe is {last}, but the trajectory has {info.n} frames")
         if o.irefatom > self.solvent.natomspermol:
             raise ValueError("irefatom is larger than the number of atoms of a solvent molecule")
-        frames = self.cells.select("frame", "m", "volume")
+        frames = cells.select("frame", "m", "volume")
         if frame_weights is None:
             frames = frames.withColumn("w", F.lit(1.0))
         else:
@@ -115,7 +117,7 @@ class Trajectory:
             parts = [sel.groups(self.spark).select(F.lit(name).alias("side"), "group_id", "group_name", F.col("atom_index").cast("bigint").alias("atom")) for name, sel in (("solute", self.solute), ("solvent", self.solvent))]
             groups = parts[0].unionByName(parts[1])
         iref = o.irefatom if o.irefatom > 0 else self.irefatom()
-        ortho = bool(self.cells.orderBy("frame").limit(1).select(geo.is_orthorhombic(F.col("m"))).first()[0])
+        ortho = bool(cells.orderBy("frame").limit(1).select(geo.is_orthorhombic(F.col("m"))).first()[0])
         n = len(range(o.firstframe, last + 1, o.stride))
         return System(side(self.solute, "s"), side(self.solvent, "v"), frames, self.solute.nmols, self.solvent.nmols, self.solute.natomspermol, self.solvent.natomspermol, o, iref, ortho, self.autocorrelation, groups, files=((self.filename, n),))
 

@@ -196,7 +196,7 @@ def _random_system(spark, m, n=(6, 25), frames=2, seed=3):
 
 @pytest.mark.parametrize("m", [(20, 0, 0, 0, 24, 0, 0, 0, 31), (10, 5, 0, 0, 10, 0, 0, 0, 10), (20, 0, 0, 9, 19, 0, -7, 6, 18)])
 def test_range_join_is_brute_force(spark, m):
-    cutoff = 4.5
+    cutoff = 4.4  # half of the least height is 4.47 in the second cell
     left, right, s, v, frames = _random_system(spark, m)
     ortho = all(m[k] == 0 for k in (1, 2, 3, 5, 6, 7))
     assert bool(frames.select(geo.is_orthorhombic(F.col("m"))).first()[0]) == ortho
