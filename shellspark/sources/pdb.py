@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..plans.staging import settled
+from .scan import Scan
 
 
 def _cut(a: int, b: int):
@@ -67,6 +69,12 @@ def read_pdb(spark: SparkSession, path: str, selection: str | None = None) -> Da
     return out if selection is None else select(out, selection)
 
 
+def scan(spark: SparkSession, path: str) -> Scan:
+    """The text is parsed and numbered once; what is read from then on is the table of that."""
+    coords, cells = trajectory(spark, path)
+    return Scan.of(settled(coords, "pdb"), settled(cells, "cells"))
+
+
 def trajectory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """coords (frame, atom_index, x, y, z) and cells (frame, m, volume); a frame without CRYST1 has the cell before it."""
     rows = lines(spark, path)

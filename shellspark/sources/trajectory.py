@@ -34,7 +34,7 @@ def _parquet(spark: SparkSession, path: str) -> Scan:
 
 
 #: Readers by format: functions (spark, path) that return a Scan, or coords and cells.  Others can be registered under a name of their own.
-FORMATS: dict[str, Callable] = {"pdb": pdb.trajectory, "dcd": dcd.scan, "xtc": xtc.scan, "parquet": _parquet}
+FORMATS: dict[str, Callable] = {"pdb": pdb.scan, "dcd": dcd.scan, "xtc": xtc.scan, "parquet": _parquet}
 _NAMES = {"PDBTraj": "pdb", "NamdDCD": "dcd", "XTC": "xtc"}
 
 
