@@ -84,8 +84,10 @@ class ResidueContributions:
     __rmul__ = __mul__
 
     def __truediv__(self, other):
-        """Where the divisor is 0 the quotient is 0."""
+        """Where the divisor is 0 the quotient is 0, with a warning."""
         if isinstance(other, ResidueContributions):
+            if other.table.where("value = 0").limit(1).count():
+                warnings.warn("the divisor has zeros, where the quotient is 0", stacklevel=2)
             return self._with(other, F.when(F.col("value2") != 0, F.col("value") / F.col("value2")).otherwise(0.0))
         return replace(self, table=self.table.withColumn("value", F.col("value") / float(other)))
 
@@ -97,6 +99,21 @@ class ResidueContributions:
         keep = (F.col("residue_pos") >= a) & (F.pmod(F.col("residue_pos") - a, F.lit(step)) == 0)
         return replace(self, table=self.table.where(keep if b is None else keep & (F.col("residue_pos") <= b)))
 
+    def __iter__(self):
+        """The maps of the residues one by one; of a single residue its values by distance."""
+        places = [r[0] for r in self.table.select("residue_pos").distinct().orderBy("residue_pos").collect()]
+        if len(places) == 1:
+            yield from self.values()
+        else:
+            yield from (self[k] for k in places)
+
+    def values(self) -> list[float]:
+        """The values of a single residue by distance."""
+        rows = self.table.select("residue_pos", "bin", "value").orderBy("bin").collect()  # as many as bins
+        if len({r.residue_pos for r in rows}) > 1:
+            raise ValueError("the map has several residues; choose one, as in map[1]")
+        return [r.value for r in rows]
+
     def __lt__(self, other):
         raise TypeError("maps have no order; use findmax() of a residue")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ def mddf(system: System, *, coordination_number_only: bool = False, strategy: st
             random = settled(random_distances(system, md, strategy), "random")
         other = hi.weighted(random, frames)
         bins = settled(fi.mddf_bins(counts, hi.counts(other, o.binstep, "_random"), o, system.n_solute, system.n_solvent, system.solvent_nmols, q, v), "bins")
+        if not o.silent and bins.where("md_count > 0 and md_count_random = 0").limit(1).count():
+            warnings.warn("some bins have counts but no random ones, so their distribution is 0: more random samples may help", stacklevel=2)
         fix = bins.where("bin = 1").select((F.col("density_solvent_bulk") / F.col("density_solvent")).alias("fix"))
         rows = fi.group_rows(groups, hi.group_counts(other, o.binstep, system.groups, system.autocorrelation, "n_random"), system.n_solute, o.n_random_samples, q, fix)
     return fi.Result(bins, settled(rows, "groups"), o, system.n_solute, system.n_solvent, system.autocorrelation, files=system.files, weights=(1.0,), extra={"q": q, "v": v, "names": system.groups})

@@ -122,4 +122,7 @@ class Trajectory:
         return System(side(self.solute, "s"), side(self.solvent, "v"), frames, self.solute.nmols, self.solvent.nmols, self.solute.natomspermol, self.solvent.natomspermol, o, iref, ortho, self.autocorrelation, groups, files=((self.filename, n),))
 
     def __str__(self) -> str:
-        return f"Trajectory {self.filename}\n  solute: {self.solute}\n  solvent: {self.solvent}"
+        r = self.cells.agg(F.count(F.lit(1)).alias("n"), F.min_by("m", "frame").alias("m"), F.min_by("volume", "frame").alias("v")).first()
+        cell = "none" if r.m is None else f"{' '.join(f'{x:g}' for x in r.m)} (volume {r.v:g} A^3)"
+        parts = [f"Trajectory {self.filename}", f"format: {self.format or 'tables'}, {r.n} frame{'s' * (r.n != 1)}", f"first cell: {cell}", f"solute: {self.solute}", f"solvent: {self.solvent}"]
+        return "\n  ".join(parts)

@@ -90,3 +90,13 @@ def test_filled_bands_and_one_peak(spark):
     lines = peak.contours([0.5, 1.5])
     assert lines.where("closed").count() == lines.count() and lines.select("level", "line").distinct().count() == 2
     assert lines.where("level = 1.5").agg(F.max("place")).first()[0] == 5  # four points, and the first again
+
+
+def test_residues_and_distances_one_by_one(spark):
+    grid = [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0]]
+    own = ResidueContributions(table_of(spark, grid))
+    assert [one.values() for one in own] == grid and list(own[2]) == grid[1] and list(own[5]) == []
+    with pytest.raises(ValueError):
+        own.values()
+    with pytest.warns(UserWarning, match="zeros"):
+        assert (own / own)[1].values() == [0.0, 1.0, 1.0]

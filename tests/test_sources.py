@@ -210,3 +210,19 @@ def test_folders_of_pdb_and_spans_of_parquet(spark, tmp_path):
     chosen = t.scan.coords(9, 16)
     assert chosen.count() == 8 and {f.split("span=")[1].split("/")[0] for f in chosen.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]} == {"2", "3"}
     assert "PartitionFilters: [isnotnull(span" in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_trajectory_tells_what_it_is(spark, frames):
+    _, folder = frames
+    t = Trajectory.open(spark, str(folder / "one.xtc"), AtomSelection.make([1, 2], nmols=1), AtomSelection.make([3, 4, 5, 6], nmols=2))
+    text = str(t)
+    assert all(x in text for x in ("one.xtc", "format: xtc, 40 frames", "volume 60000", "2 atoms of 1 molecule", "4 atoms of 2 molecules"))
+
+
+def test_bins_without_random_counts_are_told(spark, tmp_path):
+    line = "ATOM  {:5d}  O   WAT X{:4d}    {:8.3f}{:8.3f}{:8.3f}  0.00  0.00\n"
+    cell = "CRYST1   30.000   30.000   30.000  90.00  90.00  90.00 P 1           1\n"
+    (tmp_path / "a.pdb").write_text(cell + "".join(line.format(k + 1, k + 1, 3.0 * k, 0, 0) for k in range(4)) + "END\n")
+    t = Trajectory.open(spark, str(tmp_path / "a.pdb"), AtomSelection.make([1], nmols=1), AtomSelection.make([2, 3, 4], nmols=3))
+    with pytest.warns(UserWarning, match="random"):
+        engine.mddf(t.system(Options(n_random_samples=1)))
