@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import VERSION
+from ..plans.staging import settled
 from . import contours
 from . import derived as de
 from .finalise import Result
@@ -58,7 +59,9 @@ class ResidueContributions:
         values = de.as_type(summed.unionByName(missing), result.bins, type, ("residue",))
         a, b = bin_slice(result.bins, dmin, dmax)
         rows = values.where(F.col("bin").between(a, b)).join(names, "residue")
-        return cls(rows.select(F.col("place").alias("residue_pos"), "resnum", labels(F.col("resname"), F.col("resnum")).alias("label"), "bin", "d", "value"), result.version)
+        columns = [F.col("place").alias("residue_pos"), "resnum", labels(F.col("resname"), F.col("resnum")).alias("label"), "bin", "d", "value"]
+        # Residues times distances: written once, as arithmetic, slices and comparisons read it again and again.
+        return cls(settled(rows.select(*columns), "residues"), result.version)
 
     def _with(self, other: ResidueContributions, value) -> ResidueContributions:
         a, b = self.table, other.table.select("residue_pos", "bin", F.col("d").alias("d2"), F.col("label").alias("label2"), F.col("value").alias("value2"))
