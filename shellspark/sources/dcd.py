@@ -4,8 +4,9 @@ A file is a header of three records and frames of four: the cell (six doubles: A
 All frames have one size, so a frame is found by its offset, and the frame count follows from the file's size; a file that ends
 within a frame is an error.  A folder of files is one trajectory in the order of their names.
 
-Filters on ``frame`` are pushed into the source, and a stride is an option of it, so tasks seek to the chosen frames and nothing else is read;
-up to ``lastatom``, only the first part of each record is.  The cells are a source of their own that reads 56 bytes a frame.
+The first and last frame, the stride and the last atom are options of the source, so tasks seek to the chosen frames and to the first part of
+each record, and nothing else is read.  The cells are a source of their own that reads 56 bytes a frame.  Filters of a query are not
+pushed: Spark keeps what a Python source has been given with the table, so a second query over one table would see the first one's.
 """
 
 from __future__ import annotations
@@ -19,18 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    IsNotNull,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geometry as geo
 from . import files
@@ -89,30 +79,15 @@ class Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.block, self.what = options["path"], int(options.get("frames_per_task", 64)), options.get("what", "coords")
         self.most = int(options.get("lastatom", 0))
-        self.stride, self.phase = int(options.get("stride", 1)), int(options.get("phase", 1))
+        self.first, self.last, self.stride = (int(options.get(k, v)) for k, v in (("first", 1), ("last", -1), ("stride", 1)))
         self.parts = [(uri, layout(uri)) for uri in files.parts(self.path, ".dcd")]
         if len({at.natoms for _, at in self.parts}) != 1:
             raise ValueError(f"the files of {self.path} differ in their numbers of atoms")
         self.ends = list(accumulate(at.frames for _, at in self.parts))
-        self.low, self.high, self.among = 1, self.ends[-1], None
-
-    def pushFilters(self, filters):
-        """Bounds and sets of frames are dealt with here; the others stay with Spark."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("frame",):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.among = own if self.among is None else self.among & own
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("frame",):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == ("frame",):
-                self.high = min(self.high, f.value - isinstance(f, LessThan))
-            elif not (isinstance(f, IsNotNull) and f.attribute == ("frame",)):
-                yield f
-
-    def chosen(self) -> range | list[int]:
-        first = self.low + (self.phase - self.low) % self.stride
-        own = range(first, self.high + 1, self.stride)
-        return own if self.among is None else [k for k in own if k in self.among]
+
+    def chosen(self) -> range:
+        last = self.ends[-1] if self.last < 0 else min(self.last, self.ends[-1])
+        return range(max(1, self.first), last + 1, self.stride)
 
     def partitions(self):
         own = self.chosen()
@@ -142,7 +117,7 @@ class Reader(DataSourceReader):
 
 
 class DCDSource(DataSource):
-    """spark.read.format("dcd").load(path); options: what (coords or cells), lastatom, stride and phase (a frame of it), frames_per_task."""
+    """spark.read.format("dcd").load(path); options: what (coords or cells), first, last (-1: to the end), stride, lastatom, frames_per_task."""
 
     @classmethod
     def name(cls):
@@ -157,16 +132,13 @@ class DCDSource(DataSource):
 
 def scan(spark: SparkSession, path: str) -> Scan:
     spark.dataSource.register(DCDSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     source = lambda **own: spark.read.format("dcd").options(**own).load(path)
     angles = geo.dcd_angles(*(F.col(c) for c in ("alpha", "beta", "gamma")))
     m = geo.cell_matrix(F.col("a"), F.col("b"), F.col("c"), *angles)
     cells = source(what="cells").select("frame", m.alias("m")).withColumn("volume", geo.volume(F.col("m")))
 
     def read(first: int, last: int, stride: int, lastatom: int) -> DataFrame:
-        rows = source(lastatom=lastatom, stride=stride, phase=first)
-        rows = rows.where(F.col("frame") >= first) if first > 1 else rows
-        return rows.where(F.col("frame") <= last) if last >= 0 else rows
+        return source(first=first, last=last, stride=stride, lastatom=lastatom)
 
     return Scan(cells, read)
 
