@@ -1,7 +1,10 @@
 """Distances that are equal bit by bit with the SQL's, and numbers with the digits of C."""
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
+from shellspark.functions import scalars as sc
 from shellspark.operators import pairs as pr
 
 
@@ -31,3 +34,13 @@ def test_equal_distances_are_those_of_plain_differences(spark):
         key = (a[i][1], b[j][1])
         expected[key] = min(expected.get(key, own), own)
     assert found == expected
+
+
+def test_numbers_are_rounded_from_their_binary_values(spark):
+    """Each is a tie in its shortest decimal, and most are not in binary."""
+    values = [0.00000005, 0.00390625, 1.00000005, 123.45678905, 123.45678915, 997.99999995, 1234.565, 10000.05, -2.00000015, 0.0, -998.0, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([*values, None])], "k int, x double")
+    got = {r.k: r.text for r in rows.select("k", sc.formatted(F.col("x")).alias("text")).collect()}
+    con = duckdb.connect()
+    sql = "SELECT CASE WHEN abs(x) < 998 THEN printf('%12.7f', x) ELSE printf('%12.5e', x) END FROM (SELECT ?::DOUBLE AS x)"
+    assert got == {k: con.execute(sql, [x]).fetchone()[0] for k, x in enumerate([*values, None])}
