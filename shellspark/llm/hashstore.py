@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 
 from shellspark.plans.staging import shared_dir
 
-__all__ = ["Sink", "Store", "arrays", "bits_for", "bucket_of", "mapped", "put", "put_arrays", "remove", "shared_dir", "source", "write"]
+__all__ = ["Sink", "Store", "arrays", "bits_for", "bucket_of", "few", "mapped", "put", "put_arrays", "remove", "shared_dir", "source", "write"]
 
 
 def _fs(uri: str):
@@ -108,6 +108,12 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df):
+    """The rows in no more partitions than twice the cores: for each file of a local folder Spark starts some processes, where Hadoop's
+    native library is missing, and each of them counts as a second executor until its program begins."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def bits_for(rows: int, per_bucket: int = 500_000) -> int:
     """Bucket bits so that a bucket has about ``per_bucket`` rows, whatever the number of rows."""
     return max(0, int(np.ceil(np.log2(max(1, rows / per_bucket)))))
@@ -200,7 +206,7 @@ def write(df, path: str) -> int:
 
     spark, (first, *names) = df.sparkSession, df.columns
     listed = f"{path}-rows"
-    df.select(F.col(first).alias("key"), *names).write.parquet(listed)
+    few(df.select(F.col(first).alias("key"), *names)).write.parquet(listed)
     rows = spark.read.parquet(listed)
     bits = bits_for(rows.count())
 

@@ -19,9 +19,12 @@ Hot groups.  Texts that are equal are one node before anything is compared.  In
 the first one; a bucket whose members are then of one class is done, so a group of near copies costs one
 comparison a member.  In the buckets that are left, leaders of more and more parts of the bucket are compared with the members of other classes, and
 at last all pairs of different classes that exact prefix filtering leaves are, so every pair of a bucket is decided and a passage that a
-third of all texts share costs no square of their number.  These joins emit only pairs that can be within the budget by an
+third of all texts share costs no square of their number.  That join is of texts with blocks of texts; a task looks the block up and emits
+each pair once, at the first shingle that both prefixes have.  Only pairs are emitted that can be within the budget by an
 exact bound: one bit of a text's parity sketch flips for each labelled word, so two sketches differ in no more bits than the texts have words of their own.
 
+Texts' words, and their prefixes, are looked up in stores of the shared folder, so no text is shuffled for a pair.
+
 Classes are connected components by alternating large-star and small-star steps.  Every intermediate is a table in the
 shared folder, deleted once it is not needed; links and labels stay distributed.
 
@@ -51,6 +54,8 @@ SHORT, MIDDLE, WORD_BANDS, SHORT_TAKEN, MIDDLE_TAKEN = 40, 160, 32, 3, 5
 PARITY = 11
 #: Parts of a bucket with a leader each, by round.
 LEADERS = (4,)
+#: Texts of a block that a text is joined with, rows that are looked at together, and bytes of a store's bucket.
+BLOCK, ROWS, SHELF = 64, 1024, 8 << 20
 #: Bytes of text that are looked at together; workers of many small stages stay small.
 PART = 256 << 10
 #: The part of a shingle's hash by which texts with it are counted.
@@ -135,13 +140,6 @@ def _possible(similarity: float):
     return (least <= limit) & (differ <= limit)
 
 
-def _possible_by_array(similarity: float):
-    """The same with sketches as arrays: slower, but a short method beside other conditions."""
-    limit, least = _limit(similarity)
-    each = F.zip_with("bits", "x_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    return (least <= limit) & (F.aggregate(each, least, lambda total, n: total + n) <= limit)
-
-
 def banded(a: list, b: list, most: int) -> int:
     """Edit distance of two lists if it is at most ``most``, else most + 1; only a diagonal band of 2 most + 1 is computed.
 
@@ -219,8 +217,10 @@ class _Tables:
     def __init__(self, spark):
         self.spark, self.path, self.n = spark, hs.shared_dir(spark, "order-minhash"), 0
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, wide: bool = False) -> DataFrame:
+        """``wide``: rows of some hundred bytes and more, which keep their partitions."""
         self.n += 1
+        df = df if wide else hs.few(df)
         df.write.parquet(path := f"{self.path}/{self.n:04d}")
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -309,10 +309,10 @@ def _solve(table: _Tables, docs: DataFrame, id_col: str, text_col: str, similari
     texts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), *one)
     # The lowest bits of a node's number are its class of length, so that pairs of unlike lengths go before anything is joined.
     length = F.least(F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(np.log(1.01 / similarity))), F.lit(63))
-    nodes = table(texts.withColumn("node", F.monotonically_increasing_id() * 64 + length))
+    nodes = table(texts.withColumn("node", F.monotonically_increasing_id() * 64 + length), wide=True)
     labels = _classes(table, docs, text_col, nodes, similarity)
     groups = nodes.select("node", "first", "copies", "h1", "h2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return table(groups.drop("node")), base.select("id", "h1", "h2")
+    return table(groups.drop("node"), wide=True), base.select("id", "h1", "h2")
 
 
 def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -322,7 +322,7 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
     full = table(span.where("leader < last").select("bucket", "leader"))
     members = table(listed.join(full, "bucket").select("bucket", "node", "leader"))
     labels = table(members.select("node").distinct().withColumn("label", F.col("node")))
-    sketches = table(nodes.select("node", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(BITS))).join(labels.select("node"), "node", "left_semi"))
+    sketches = table(nodes.select("node", "n", *(F.col("bits")[k].alias(c) for k, c in enumerate(BITS))).join(labels.select("node"), "node", "left_semi"), wide=True)
     words = _candidate_words(table, docs, text_col, nodes.join(labels.select("node"), "node", "left_semi"))
     alike = F.abs(F.pmod("node", F.lit(64)) - F.pmod("leader", F.lit(64))) <= 1  # other lengths are not within the budget
     pairs = members.where(alike & F.expr("node > leader")).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
@@ -337,7 +337,7 @@ def _classes(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame, s
         if not live.limit(1).count():
             break
         if parts:
-            pairs = _led(table, table(live.join(sketches, "node")), similarity, turn, parts)
+            pairs = _led(table, table(live.join(sketches, "node"), wide=True), similarity, turn, parts)
         else:
             pairs = _all_pairs(table, live, nodes, words, similarity)
         pairs = table(pairs.distinct().join(known, ["u", "v"], "left_anti"))
@@ -356,24 +356,22 @@ def _led(table: _Tables, rows: DataFrame, similarity: float, turn: int, parts: i
     """Pairs of each member and the leaders of the parts of its bucket, if they are of other classes and the bound allows a link."""
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(parts))
     leaders = table(rows.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("node")).select("bucket", "node"))
-    leading = table(_renamed(rows.join(leaders, ["bucket", "node"]), "bucket", *BITS))
+    leading = table(_renamed(rows.join(leaders, ["bucket", "node"]), "bucket", *BITS), wide=True)
     return _pairs(rows.join(leading, "bucket").where((F.col("label") != F.col("x_label")) & _possible(similarity)))
 
 
-def _pairs_of_words(blob, similarity: float) -> tuple[np.ndarray, int]:
+def _pairs_of_words(blob: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
     """Labelled two-word shingles of a text (of one word: the word), and how many of them its prefix has."""
-    words = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.uint64)
+    words = blob.view(np.uint32).astype(np.uint64)
     return labelled(words, 2), int(np.floor(2 * (1 - similarity) * len(words) + 1 + 1e-9))
 
 
-def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
-    """Write a store of how many texts have each shingle, by the top 48 bits of its hash, for those in two or more; returns its bits.
+def _frequencies(each: DataFrame, words: _Shelf, path: str, similarity: float) -> int:
+    """Write a store of how many of the texts (node, n) have each shingle, by the top 48 bits of its hash, for those in two or more; returns its bits.
 
     Shingles are summed in each task and sent as sorted, compressed runs.
     """
-    spark = texts.sparkSession
-    n = texts.agg(F.sum(F.octet_length("words")) / 4).first()[0] or 0
-    bits = hs.bits_for(n, 1 << 19)
+    bits = hs.bits_for(each.agg(F.sum("n")).first()[0] or 0, 1 << 19)
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
         key, count = np.unique(np.concatenate(held), return_counts=True)
@@ -389,9 +387,10 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        read = words.reader()
         for batch in batches:
-            for blob in batch.column("words"):
-                held.append(np.unique(_pairs_of_words(blob, similarity)[0] & _TOP))
+            for own in read(batch.column("node").to_numpy()):
+                held.append(np.unique(_pairs_of_words(own, similarity)[0] & _TOP))
                 n += len(held[-1])
                 if n >= 1 << 19:
                     yield sent(held)
@@ -412,7 +411,7 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
         hs.put(f"{path}/{bucket:05d}.key", key[df > 1])
         return pa.table({"bucket": pa.array([bucket], pa.int32())})
 
-    runs = texts.select("words").mapInArrow(counted, "bucket int, data binary")
+    runs = _dealt(each.select("node")).mapInArrow(counted, "bucket int, data binary")
     done = {r.bucket for r in runs.groupBy("bucket").applyInArrow(write, "bucket int").collect()}
     for b in set(range(1 << bits)) - done:
         for name in ("key", "df"):
@@ -420,7 +419,7 @@ def _frequencies(texts: DataFrame, path: str, similarity: float) -> int:
     return bits
 
 
-def _all_pairs(table: _Tables, live: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(table: _Tables, live: DataFrame, nodes: DataFrame, words: _Shelf, similarity: float) -> DataFrame:
     """Pairs of different classes among all given members that can be links, by exact prefix filtering.
 
     With e edits between texts of M words at most, at least M - 1 - 2 e of their labelled two-word shingles are common, so within the budget at
@@ -429,42 +428,103 @@ def _all_pairs(table: _Tables, live: DataFrame, nodes: DataFrame, words: DataFra
     passage that many texts share come last, so texts do not meet by it.  Any fixed order is exact; this one makes the join small.
     """
     spark, begun = live.sparkSession, table.n
-    each = table(live.select("node", "label").distinct().join(nodes.select("node", "n", "bits"), "node"))
-    texts = table(words.join(each.select("node"), "node", "left_semi"))
+    each = table(live.select("node", "label").distinct().join(nodes.select("node", "n", "bits"), "node"), wide=True)
     path = hs.shared_dir(spark, "frequencies")
-    bits = _frequencies(texts, path, similarity)
+    bits = _frequencies(each, words, path, similarity)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = hs.Store(path, bits, {"key": "u8", "df": "i8"})
+        store, read = hs.Store(path, bits, {"key": "u8", "df": "i8"}), words.reader()
         for batch in batches:
-            nodes, out, last = [], [], []
-            for node, blob in zip(batch.column("node").to_pylist(), batch.column("words"), strict=True):
+            found = []
+            for blob in read(batch.column("node").to_numpy()):
                 own, n = _pairs_of_words(blob, similarity)
                 own = np.sort(own)
                 df = store.lookup(own & _TOP, "df")[1]
                 first = np.lexsort((own, df))[:n]
-                shared = own[first][df[first] > 1]
-                nodes.append(np.full(len(shared), node, np.int64))
-                out.append(shared.view(np.int64))
-                last.append(np.concatenate([[0], out[-1][:-1]])[: len(shared)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out, last)], ["node", "word", "last"])
+                found.append(own[first][df[first] > 1].view(np.int64))
+            columns = [batch.column(c) for c in ("node", "label", "n", "bits")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], ["node", "label", "n", "bits", "prefix"])
 
-    keyed = table(texts.mapInArrow(prefixes, "node long, word long, last long").join(each.select("node", "label"), "node"))
+    known = table(_dealt(each).mapInArrow(prefixes, "node long, label long, n int, bits array<long>, prefix array<long>"), wide=True)
+    shelf = _shelved_prefixes(known)
+    keyed = table(known.select("node", "label", F.explode("prefix").alias("word")))
     kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
-    kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    met = keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most", "label").join(each, "node")
-    # Joined from the side of members outside the shingle's largest class; a pair of two such comes from its larger node.
-    near = _renamed(met.where("minor"), "word", "last", "bits")
-    once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
-    # Two texts with the same shingle before this one in their prefixes have met by that one.
-    first = (F.col("last") != F.col("x_last")) | (F.col("last") == 0)
-    apart = F.col("label") != F.col("x_label")
-    pairs = table(_pairs(met.join(near, "word").where(once & first & apart & _possible_by_array(similarity))).distinct())
+    kinds = kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c"), F.sum("c").alias("size")).where("c > 1")
+    met = keyed.join(table(kinds.drop("c")), "word")
+    # A text outside the shingle's largest class meets blocks of its texts; a task then looks up what each pair needs.
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    blocks = met.groupBy("word", block.alias("block")).agg(F.collect_list("node").alias("others"))
+    minor = met.where(F.col("label") != F.col("most")).select("word", "node", "most")
+    joined = minor.join(blocks, "word").select("word", "node", "most", "others")
+    pairs = table(_dealt(joined).mapInArrow(_within_blocks(shelf, similarity), "u long, v long"))
     hs.remove(spark, path)
+    hs.remove(spark, shelf.path)
     table.since(begun)
     return pairs
 
 
+def _shelved_prefixes(known: DataFrame) -> _Shelf:
+    """A store of label, n, bits and prefix of each node."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = np.column_stack([batch.column("label").to_numpy(), batch.column("n").to_numpy().astype(np.int64), batch.column("bits").flatten().to_numpy().reshape(len(batch), -1)])
+            blobs = [np.concatenate([h, np.asarray(p.values, np.int64)]).tobytes() for h, p in zip(head, batch.column("prefix"), strict=True)]
+            yield shelf.rows(batch.column("node").to_numpy(), blobs)
+
+    size = known.agg(F.sum(8 * (F.size("prefix") + 2 + len(BITS)))).first()[0] or 0
+    shelf = _Shelf(hs.shared_dir(known.sparkSession, "prefixes"), hs.bits_for(size, SHELF))
+    return shelf.write(known.mapInArrow(packed, _Shelf.SCHEMA))
+
+
+def _within_blocks(shelf: _Shelf, similarity: float):
+    """Of a node and the other nodes that have the word in their prefixes, the pairs of different labels that the bound allows and
+    that have no word before this one in common; so each pair comes once, at the first word that both prefixes have."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = shelf.reader()
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                rows = batch.slice(at, ROWS)
+                size, others = rows.column("others").value_lengths().to_numpy(), rows.column("others").flatten().to_numpy()
+                own, inverse = np.unique(np.concatenate([rows.column("node").to_numpy(), others]), return_inverse=True)
+                a, b = np.repeat(inverse[: len(rows)], size), inverse[len(rows) :]
+                word, most = (np.repeat(rows.column(c).to_numpy(), size) for c in ("word", "most"))
+                blobs = [x.view(np.int64) for x in read(own)]
+                head = np.stack([x[: 2 + len(BITS)] for x in blobs])
+                label, n, bits = head[:, 0], head[:, 1], head[:, 2:].view(np.uint64)
+                # A pair of two texts outside the largest class comes from its smaller node.
+                wanted = (label[b] != label[a]) & ((label[b] == most) | (own[b] > own[a]))
+                a, b, word = a[wanted], b[wanted], word[wanted]
+                limit, least = 2 * np.floor(np.maximum(n[a], n[b]) * (1 - similarity) + 1e-9), np.abs(n[a] - n[b])
+                near = least + np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= limit
+                a, b, word = a[near], b[near], word[near]
+                prefixes = [x[2 + len(BITS) :] for x in blobs]
+                length = np.array([len(x) for x in prefixes])
+                begin, values = np.cumsum(length) - length, np.concatenate(prefixes).view(np.uint64)
+                part = np.cumsum(length[a] + length[b]) >> 20
+                for own_part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(part)) + 1):
+                    x, y = a[own_part], b[own_part]
+                    first = _first_met(values, begin, length, x, y, word[own_part].view(np.uint64))
+                    u, v = own[x[first]], own[y[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    return of
+
+
+def _first_met(values: np.ndarray, begin: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """For pairs of prefixes, which are ranges of ``values`` and hold the word: is it the first that both have?"""
+    left, right = (tc.gather(values, begin[x], length[x]) for x in (a, b))
+    pair, other = (np.repeat(np.arange(len(x)), length[x]) for x in (a, b))
+    at = np.flatnonzero(left == word[pair])  # one for each pair
+    before = np.arange(len(left)) < at[pair]
+    of_pair = lambda x, k: tc.mix(x + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    met = np.isin(of_pair(left[before], pair[before]), of_pair(right, other))
+    first = np.ones(len(a), bool)
+    first[pair[before][met]] = False
+    return first
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.greatest("node", "x_node").alias("u"), F.least("node", "x_node").alias("v"))
 
@@ -486,10 +546,62 @@ def _joined(table: _Tables, labels: DataFrame, known: DataFrame) -> DataFrame:
     return table(moved.select("node", F.coalesce("least", "label").alias("label")))
 
 
-def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """node and its words' hashes, for the nodes of buckets; texts are read again instead of being shuffled."""
-    path = hs.shared_dir(docs.sparkSession, "candidates")
+class _Shelf:
+    """A store of a few bytes or many for each node, in the shared folder."""
+
+    SCHEMA = "bucket int, node long, blob binary"
+
+    def __init__(self, path: str, bits: int):
+        self.path, self.bits = path, bits
+
+    def rows(self, nodes: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+        """Rows for write()."""
+        bucket = hs.bucket_of(tc.mix(nodes.view(np.uint64)), self.bits).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(nodes), pa.array(blobs, pa.binary())], ["bucket", "node", "blob"])
+
+    def write(self, rows: DataFrame) -> _Shelf:
+        """Write what rows() gave; of a node's rows, which are equal, one stays."""
+        path = self.path
+
+        def build(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            key, first = np.unique(tc.mix(table["node"].to_numpy().view(np.uint64)), return_index=True)
+            blobs = [table["blob"][k].as_buffer() for k in first.tolist()]
+            hs.put(f"{path}/{bucket:05d}.blob", *(bytes(b) for b in blobs))
+            hs.put(f"{path}/{bucket:05d}.end", np.cumsum([b.size for b in blobs], dtype=np.int64))
+            hs.put(f"{path}/{bucket:05d}.key", key)
+            return pa.table({"bucket": pa.array([bucket], pa.int32())})
+
+        rows.groupBy("bucket").applyInArrow(build, "bucket int").count()
+        return self
+
+    def reader(self):
+        """A function of nodes, which must be in the store, in any order and repeated, that gives their bytes."""
+        store = hs.Store(self.path, self.bits, {"key": "u8", "end": "i8", "blob": "u1"})
+
+        def read(nodes: np.ndarray) -> list[np.ndarray]:
+            keys, inverse = np.unique(tc.mix(nodes.view(np.uint64)), return_inverse=True)
+            out = []
+            for bucket, _, at, found in store.parts(keys):
+                assert found.all()
+                end, blob = store.column(bucket, "end"), store.column(bucket, "blob")
+                out += [blob[end[k - 1] if k else 0 : end[k]] for k in at.tolist()]
+            return [out[k] for k in inverse.tolist()]
+
+        return read
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows over tasks for all cores: what is done for a row takes longer than its bytes tell."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: DataFrame) -> _Shelf:
+    """A store of the words' hashes of the nodes of buckets; texts are read again instead of being shuffled with them."""
+    spark = docs.sparkSession
+    path = hs.shared_dir(spark, "candidates")
     bits = hs.write(nodes.select("h1", F.col("h2").alias("check"), "node"), path)
+    shelf = _Shelf(f"{table.path}/words", hs.bits_for(4 * (nodes.agg(F.sum("n")).first()[0] or 0), SHELF))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = hs.Store(path, bits, {"key": "u8", "check": "i8", "node": "i8"})
@@ -507,31 +619,30 @@ def _candidate_words(table: _Tables, docs: DataFrame, text_col: str, nodes: Data
             for i, j in tc.slices(col, PART):
                 words, bounds = _words(col.slice(i, j - i))
                 words = (words >> np.uint64(32)).astype(np.uint32)
-                blobs = [words[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(node[own[i:j]]), pa.array(blobs, pa.binary())], ["node", "words"])
+                yield shelf.rows(node[own[i:j]], [words[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
 
     h1, h2 = _halves(F.col(text_col))
-    found = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text")).mapInArrow(of, "node long, words binary")
-    out = table(found.groupBy("node").agg(F.first("words").alias("words")))
-    hs.remove(docs.sparkSession, path)
-    return out
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
+    shelf.write(rows.mapInArrow(of, shelf.SCHEMA))
+    hs.remove(spark, path)
+    return shelf
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, words: _Shelf, similarity: float) -> DataFrame:
     """u, v and near: is their edit distance within the budget?"""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = words.reader()
         for batch in batches:
             near = []
-            for a, b in zip(batch.column("wu"), batch.column("wv"), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)
-                most = budget(len(a), len(b), similarity)
-                near.append(distance(a, b, most) <= most)
+            for at in range(0, len(batch), ROWS):
+                ends = [read(batch.column(c).slice(at, ROWS).to_numpy()) for c in ("u", "v")]
+                for a, b in zip(*(([x.view(np.uint32) for x in end]) for end in ends), strict=True):
+                    most = budget(len(a), len(b), similarity)
+                    near.append(distance(a, b, most) <= most)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.bool_())], ["u", "v", "near"])
 
-    both = pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("wv")), "v")
-    both = both.join(words.select(F.col("node").alias("u"), F.col("words").alias("wu")), "u")
-    return both.select("u", "v", "wu", "wv").mapInArrow(of, "u long, v long, near boolean")
+    return _dealt(pairs.select("u", "v")).mapInArrow(of, "u long, v long, near boolean")
 
 
 def _components(table: _Tables, edges: DataFrame) -> DataFrame:
