@@ -19,11 +19,10 @@ Hot groups.  Texts that are equal are one node before anything is compared.  In
 the first one; a bucket whose members are then of one class is done, so a group of near copies costs one
 comparison a member.  In the buckets that are left, leaders of more and more parts of the bucket are compared with the members of other classes, and
 at last all pairs of different classes that exact prefix filtering leaves are, so every pair of a bucket is decided and a passage that a
-third of all texts share costs no square of their number.  That join is of texts with blocks of texts; a task looks the block up and emits
-each pair once, at the first shingle that both prefixes have.  Only pairs are emitted that can be within the budget by an
+third of all texts share costs no square of their number.  These joins emit only pairs that can be within the budget by an
 exact bound: one bit of a text's parity sketch flips for each labelled word, so two sketches differ in no more bits than the texts have words of their own.
 
-Texts' words, and their prefixes, are looked up in stores of the shared folder, so no text is shuffled for a pair.
+Texts' words are looked up in a store of the shared folder, so no text is shuffled for a pair.
 
 Classes are connected components by alternating large-star and small-star steps.  Every intermediate is a table in the
 shared folder, deleted once it is not needed; links and labels stay distributed.
@@ -54,8 +53,8 @@ SHORT, MIDDLE, WORD_BANDS, SHORT_TAKEN, MIDDLE_TAKEN = 40, 160, 32, 3, 5
 PARITY = 11
 #: Parts of a bucket with a leader each, by round.
 LEADERS = (4,)
-#: Texts of a block that a text is joined with, rows that are looked at together, and bytes of a store's bucket.
-BLOCK, ROWS, SHELF = 64, 1024, 8 << 20
+#: Rows that are looked at together, and bytes of a store's bucket.
+ROWS, SHELF = 1024, 8 << 20
 #: Bytes of text that are looked at together; workers of many small stages stay small.
 PART = 256 << 10
 #: The part of a shingle's hash by which texts with it are counted.
@@ -140,6 +139,13 @@ def _possible(similarity: float):
     return (least <= limit) & (differ <= limit)
 
 
+def _possible_by_array(similarity: float):
+    """The same with sketches as arrays: slower, but a short method beside other conditions."""
+    limit, least = _limit(similarity)
+    each = F.zip_with("bits", "x_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return (least <= limit) & (F.aggregate(each, least, lambda total, n: total + n) <= limit)
+
+
 def banded(a: list, b: list, most: int) -> int:
     """Edit distance of two lists if it is at most ``most``, else most + 1; only a diagonal band of 2 most + 1 is computed.
 
@@ -435,96 +441,34 @@ def _all_pairs(table: _Tables, live: DataFrame, nodes: DataFrame, words: _Shelf,
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, read = hs.Store(path, bits, {"key": "u8", "df": "i8"}), words.reader()
         for batch in batches:
-            found = []
-            for blob in read(batch.column("node").to_numpy()):
+            nodes, out, last = [], [], []
+            for node, blob in zip(batch.column("node").to_pylist(), read(batch.column("node").to_numpy()), strict=True):
                 own, n = _pairs_of_words(blob, similarity)
                 own = np.sort(own)
                 df = store.lookup(own & _TOP, "df")[1]
                 first = np.lexsort((own, df))[:n]
-                found.append(own[first][df[first] > 1].view(np.int64))
-            columns = [batch.column(c) for c in ("node", "label", "n", "bits")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], ["node", "label", "n", "bits", "prefix"])
+                shared = own[first][df[first] > 1]
+                nodes.append(np.full(len(shared), node, np.int64))
+                out.append(shared.view(np.int64))
+                last.append(np.concatenate([[0], out[-1][:-1]])[: len(shared)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, out, last)], ["node", "word", "last"])
 
-    known = table(_dealt(each).mapInArrow(prefixes, "node long, label long, n int, bits array<long>, prefix array<long>"), wide=True)
-    shelf = _shelved_prefixes(known)
-    keyed = table(known.select("node", "label", F.explode("prefix").alias("word")))
+    keyed = table(_dealt(each.select("node")).mapInArrow(prefixes, "node long, word long, last long").join(each.select("node", "label"), "node"))
     kinds = keyed.groupBy("word", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("word")
-    kinds = kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c"), F.sum("c").alias("size")).where("c > 1")
-    met = keyed.join(table(kinds.drop("c")), "word")
-    # A text outside the shingle's largest class meets blocks of its texts; a task then looks up what each pair needs.
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    blocks = met.groupBy("word", block.alias("block")).agg(F.collect_list("node").alias("others"))
-    minor = met.where(F.col("label") != F.col("most")).select("word", "node", "most")
-    joined = minor.join(blocks, "word").select("word", "node", "most", "others")
-    pairs = table(_dealt(joined).mapInArrow(_within_blocks(shelf, similarity), "u long, v long"))
+    kinds = table(kinds.agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    met = keyed.join(kinds, "word").withColumn("minor", F.col("label") != F.col("most")).drop("most", "label").join(each, "node")
+    # Joined from the side of members outside the shingle's largest class; a pair of two such comes from its larger node.
+    near = _renamed(met.where("minor"), "word", "last", "bits")
+    once = ~F.col("minor") | (F.col("x_node") < F.col("node"))
+    # Two texts with the same shingle before this one in their prefixes have met by that one.
+    first = (F.col("last") != F.col("x_last")) | (F.col("last") == 0)
+    apart = F.col("label") != F.col("x_label")
+    pairs = table(_pairs(met.join(near, "word").where(once & first & apart & _possible_by_array(similarity))).distinct())
     hs.remove(spark, path)
-    hs.remove(spark, shelf.path)
     table.since(begun)
     return pairs
 
 
-def _shelved_prefixes(known: DataFrame) -> _Shelf:
-    """A store of label, n, bits and prefix of each node."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            head = np.column_stack([batch.column("label").to_numpy(), batch.column("n").to_numpy().astype(np.int64), batch.column("bits").flatten().to_numpy().reshape(len(batch), -1)])
-            blobs = [np.concatenate([h, np.asarray(p.values, np.int64)]).tobytes() for h, p in zip(head, batch.column("prefix"), strict=True)]
-            yield shelf.rows(batch.column("node").to_numpy(), blobs)
-
-    size = known.agg(F.sum(8 * (F.size("prefix") + 2 + len(BITS)))).first()[0] or 0
-    shelf = _Shelf(hs.shared_dir(known.sparkSession, "prefixes"), hs.bits_for(size, SHELF))
-    return shelf.write(known.mapInArrow(packed, _Shelf.SCHEMA))
-
-
-def _within_blocks(shelf: _Shelf, similarity: float):
-    """Of a node and the other nodes that have the word in their prefixes, the pairs of different labels that the bound allows and
-    that have no word before this one in common; so each pair comes once, at the first word that both prefixes have."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = shelf.reader()
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                rows = batch.slice(at, ROWS)
-                size, others = rows.column("others").value_lengths().to_numpy(), rows.column("others").flatten().to_numpy()
-                own, inverse = np.unique(np.concatenate([rows.column("node").to_numpy(), others]), return_inverse=True)
-                a, b = np.repeat(inverse[: len(rows)], size), inverse[len(rows) :]
-                word, most = (np.repeat(rows.column(c).to_numpy(), size) for c in ("word", "most"))
-                blobs = [x.view(np.int64) for x in read(own)]
-                head = np.stack([x[: 2 + len(BITS)] for x in blobs])
-                label, n, bits = head[:, 0], head[:, 1], head[:, 2:].view(np.uint64)
-                # A pair of two texts outside the largest class comes from its smaller node.
-                wanted = (label[b] != label[a]) & ((label[b] == most) | (own[b] > own[a]))
-                a, b, word = a[wanted], b[wanted], word[wanted]
-                limit, least = 2 * np.floor(np.maximum(n[a], n[b]) * (1 - similarity) + 1e-9), np.abs(n[a] - n[b])
-                near = least + np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= limit
-                a, b, word = a[near], b[near], word[near]
-                prefixes = [x[2 + len(BITS) :] for x in blobs]
-                length = np.array([len(x) for x in prefixes])
-                begin, values = np.cumsum(length) - length, np.concatenate(prefixes).view(np.uint64)
-                part = np.cumsum(length[a] + length[b]) >> 20
-                for own_part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(part)) + 1):
-                    x, y = a[own_part], b[own_part]
-                    first = _first_met(values, begin, length, x, y, word[own_part].view(np.uint64))
-                    u, v = own[x[first]], own[y[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
-    return of
-
-
-def _first_met(values: np.ndarray, begin: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """For pairs of prefixes, which are ranges of ``values`` and hold the word: is it the first that both have?"""
-    left, right = (tc.gather(values, begin[x], length[x]) for x in (a, b))
-    pair, other = (np.repeat(np.arange(len(x)), length[x]) for x in (a, b))
-    at = np.flatnonzero(left == word[pair])  # one for each pair
-    before = np.arange(len(left)) < at[pair]
-    of_pair = lambda x, k: tc.mix(x + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    met = np.isin(of_pair(left[before], pair[before]), of_pair(right, other))
-    first = np.ones(len(a), bool)
-    first[pair[before][met]] = False
-    return first
-
-
 def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.greatest("node", "x_node").alias("u"), F.least("node", "x_node").alias("v"))
 
