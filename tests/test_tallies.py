@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +60,31 @@ def test_no_table_of_pairs_is_made_for_counts(spark):
     assert not [k for k in registry._MEMO if "md" in k]
     some = registry._near(spark, TABLES)
     assert some.select("frame", "sidx").distinct().count() <= 40  # two solute molecules a frame
+
+
+@pytest.mark.parametrize("query", ["min_distance", "ref_atom_distance", "mddf_self"])
+def test_all_pairs_are_kept_nowhere(spark, monkeypatch, query):
+    """The pairs are quadratic in the atoms of a frame: their rows go to the result and to no table, and only atoms are shuffled."""
+    registry.forget()
+    names, settled = [], registry.settled
+    monkeypatch.setattr(registry, "settled", lambda df, name="stage": names.append(name) or settled(df, name))
+    rows = registry.queries()[query](spark, TABLES)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "pairs" not in names and "Aggregate" not in plan and "Join" not in plan.split("MapGroups")[0]
+    found = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        found.execute(f"CREATE VIEW {name} AS FROM '{TABLES}/{name}.parquet'")
+    assert sorted(map(tuple, rows.collect())) == sorted(found.execute(registry.oracle_sql()[query]).fetchall())
+
+
+@pytest.mark.parametrize("kind", ["plain", "self", "skewed"])
+def test_streamed_pairs_are_those_of_the_join(spark, kind):
+    far = {"autocorrelation": True, "dbulk": 25.0, "cutoff": 29.0} if kind == "self" else {}
+    s = registry.tables.system(spark, TABLES, **far)
+    if kind == "skewed":
+        cell = F.array(*(F.lit(float(x)) for x in registry.registry_sql.SKEWED))
+        s = replace(s, ortho=False, frames=s.frames.withColumn("m", cell))
+    # Of some molecules an atom is missing, and of some the reference atom.
+    s = replace(s, solute=s.solute.where("satom % 7 > 0"), solvent=s.solvent.where("vatom % 5 > 0"))
+    own = ("frame", "smol", "vmol", "i", "j", F.round("d", 9), F.coalesce(F.round("d_ref", 9), F.lit(-1.0)))
+    assert _rows(engine.least_pairs(s), *own) == _rows(engine.minimum_distances(s), *own) != []
