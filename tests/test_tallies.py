@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,31 @@ def test_streamed_pairs_are_those_of_the_join(spark, kind):
     s = replace(s, solute=s.solute.where("satom % 7 > 0"), solvent=s.solvent.where("vatom % 5 > 0"))
     own = ("frame", "smol", "vmol", "i", "j", F.round("d", 9), F.coalesce(F.round("d_ref", 9), F.lit(-1.0)))
     assert _rows(engine.least_pairs(s), *own) == _rows(engine.minimum_distances(s), *own) != []
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_single_precision_decides_only_what_it_can(classes):
+    """Coordinates in hundredths of an Å have many distances at the bins' edges and many equal ones: counts are those of exact distances."""
+    rng, tables = np.random.default_rng(3), []
+    for n, s, p, first in ((90, "s", "p", 0), (200, "v", "q", 1000)):
+        at = np.round(rng.random((n, 1, 3)) * 14 + rng.integers(-20, 21, (n, 3, 3)) / 20, 2).reshape(-1, 3)
+        mol, rank = np.repeat(np.arange(first, first + n), 3), np.tile([1, 2, 3], n)
+        on = (rng.random(3 * n) > 0.1) | (rank == 1)
+        at, mol, rank = at[on], mol[on], rank[on]
+        turn = 60.0 * rng.integers(-1, 2, n)[mol - first]
+        of = {f"{s}idx": mol, f"{s}atom": 3 * mol + rank, "isref": rank == 1, f"{s}class": (mol % classes * 3 + rank).astype(str), "frame": np.ones(len(mol), np.int32)}
+        tables.append(pa.table(of | {s + a: at[:, k] + turn for k, a in enumerate("xyz")} | {p + a: turn for a in "xyz"}))
+    met = ta._Met(*tables, "sidx", "vidx")
+    codes = tuple(np.unique(t[c].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] for t, c in zip(tables, ("sclass", "vclass"), strict=True))
+    counts, ref_counts, ssig, vsig = ta._single(met, codes, 10.0, 0.1, 103, False)
+    best, which, ref = met.least(np.arange(len(met.smol)), np.arange(len(met.vmol)), 10.0, False)
+    bin_of = lambda d: np.maximum(1, np.ceil(d / 0.1)).astype(int)
+    m, n = np.nonzero(best < np.inf)
+    expected = np.zeros((103, 9), np.int64)
+    np.add.at(expected, (bin_of(best[m, n]), which[m, n]), 1)
+    assert (counts.sum(axis=(0, 1)).reshape(103, 9) == expected).all() and expected.sum() > 5000
+    assert (ref_counts == np.bincount(bin_of(ref[ref < np.inf]), minlength=103)).all()
+    s, v = codes[0][met.sall[which[m, n] // 3, m]], codes[1][met.vall[which[m, n] % 3, n]]
+    for axes, sig, own in (((1, 2, 4), ssig, s), ((0, 2, 3), vsig, v)):
+        by = counts.sum(axis=axes)
+        assert {c: k for c in set(own.tolist()) for k in [by.T[sig == c].sum()]} == dict(zip(*np.unique(own, return_counts=True), strict=True))
