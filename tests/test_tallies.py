@@ -117,3 +117,11 @@ def test_single_precision_decides_only_what_it_can(classes):
     for axes, sig, own in (((1, 2, 4), ssig, s), ((0, 2, 3), vsig, v)):
         by = counts.sum(axis=axes)
         assert {c: k for c in set(own.tolist()) for k in [by.T[sig == c].sum()]} == dict(zip(*np.unique(own, return_counts=True), strict=True))
+
+
+def test_weights_of_frames_make_no_atoms(spark, monkeypatch):
+    """The atoms are made once for a query, however many systems it looks at."""
+    registry.forget()
+    made, atoms = [], registry.tables.atoms
+    monkeypatch.setattr(registry.tables, "atoms", lambda *a, **k: made.append(a) or atoms(*a, **k))
+    assert registry.queries()["histogram"](spark, TABLES).count() > 0 and len(made) == 1
