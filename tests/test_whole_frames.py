@@ -96,3 +96,14 @@ def test_smaller_cells_have_fewer_candidates(spark):
         met.append(every.count())
     assert found[0] == found[1] == found[2] and len(found[0]) > 300
     assert met[2] < met[1] < met[0] < 400 * 400 * 3 / 2
+
+
+def test_range_joins_make_no_table_of_atoms(spark, monkeypatch):
+    """They need no numbers of molecules: lines and orders are shuffled once, and their atoms go to the join."""
+    registry.forget()
+    names, settled = [], registry.settled
+    for module in (registry, registry.tables):
+        monkeypatch.setattr(module, "settled", lambda df, name="stage": names.append(name) or settled(df, name))
+    for query in ("range_join", "range_join_lcell", "range_join_triclinic"):
+        plan = registry.queries()[query](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+        assert not names and "dense_rank" not in plan and "l_shipdate" not in plan.split("Relation")[0]
